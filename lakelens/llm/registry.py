@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import quality_rules, sharding
+from lakelens.llm import bpe, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_shards": sharding.op4_byte_shards,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
