@@ -27,7 +27,7 @@ from lakelens.llm.common import arrow_schema, map_arrow, read_documents
 
 #: A stretch that the piece pattern never looks across: an optional space and what follows without white space, or white space.
 STRETCH = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHED_STRETCHES = 300_000
+CACHED_STRETCHES = 600_000
 CACHED_PAIRS = 1_000_000
 CACHED_BYTES = 32
 WINDOW = 4096
@@ -55,7 +55,7 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.stretches: dict[str, list[int]] = {}
+        self.stretches: dict[str, list[int]] = {}  # of whole stretches and of single pieces, which give the same ids
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -124,7 +124,12 @@ class ByteBPE:
             if got is None:
                 got = []
                 for piece in pieces(stretch):
-                    got += self.encode_piece(piece.encode())
+                    part = known.get(piece)
+                    if part is None:
+                        part = self.encode_piece(piece.encode())
+                        if len(piece) <= CACHED_BYTES and len(known) < CACHED_STRETCHES and piece != stretch:
+                            known[piece] = part
+                    got += part
                 if len(stretch) <= CACHED_BYTES and len(known) < CACHED_STRETCHES:
                     known[stretch] = got
             ids += got

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import bpe, quality_rules, sharding, simhash
+from lakelens.llm import bpe, quality_rules, sharding, simhash, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wavelet_token_ids": wavelet.op3_wavelet_token_ids,
     "op4_byte_shards": sharding.op4_byte_shards,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,

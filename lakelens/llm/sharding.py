@@ -12,7 +12,7 @@ extra columns are ignored. doc_id is taken to be near unique: rows that share on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.common import read_documents
@@ -24,27 +24,32 @@ ROW_OVERHEAD = 8
 def range_bounds(docs: DataFrame, n_ranges: int) -> list[int]:
     """Ascending, distinct cut points of doc_id; their number is at most n_ranges, whatever the size of the table."""
     shares = [i / n_ranges for i in range(1, n_ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("q")).first()["q"] if shares else None
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * n_ranges)).alias("q")).first()["q"] if shares else None
     return sorted(set(found or []))
 
 
+def range_index(column: str, bounds: list[int]) -> Column:
+    """How many of ``bounds`` lie below the column's value (0 for null): binary search over a constant array."""
+    if not bounds:
+        return F.lit(0)
+    array, value = F.lit(bounds).cast("array<bigint>"), F.col(column)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(array, low + step - 1) < value, low + step).otherwise(low))
+    return F.when(value.isNull(), F.lit(0)).otherwise(found)
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int, n_ranges: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs`` (columns doc_id and text)."""
     spark = docs.sparkSession
     n_ranges = n_ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(docs, min(n_ranges, 2048))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    part = F.lit(0)  # how many cut points lie below doc_id: binary search over a constant array
-    if bounds:
-        array = F.lit(bounds).cast("array<bigint>")
-        steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
-        part = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(array, low + step - 1) < F.col("doc_id"), low + step).otherwise(low))
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
-    keyed = cut(keyed.select("*", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part).cast("int").alias("part")))
+    keyed = cut(keyed.select("*", range_index("doc_id", bounds).alias("part")))
     totals = keyed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
