@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import bpe, quality_rules, sharding, simhash, wavelet
+from lakelens.llm import bpe, quality_mil, quality_rules, sharding, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_wavelet_token_ids": wavelet.op3_wavelet_token_ids,
     "op4_byte_shards": sharding.op4_byte_shards,
+    "op7_quality_mil": quality_mil.op7_quality_mil,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
