@@ -1,6 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features are densities of a lexicon (a short fixed list and words learned from the training labels), how many hits stand
+Features are densities of a lexicon (a short fixed list, and words and word beginnings learned from
+the training labels), how many hits stand
 near a second-person word, capitals, punctuation and obfuscation rates (digits or symbols written for letters, masked
 letters). Trees and calibration are fitted on the driver from a bounded sample (TRAIN_DOCUMENTS) of feature rows; only
 those rows and LEARNED_WORDS words come to the driver. Every whole text is scored where it is read.
@@ -25,12 +26,16 @@ from lakelens.llm.labelled import read_labels, remainder, training_sample
 from lakelens.session import cut
 
 TRAIN_DOCUMENTS = 8000
-LEARNED_WORDS = 64
-MIN_DOCUMENTS = 8
+LEARNED_ENTRIES = 256
+MIN_DOCUMENTS = 6
+MIN_ODDS, MIN_Z = 2.5, 4.0
+STEMS = (5, 6, 7, 8)
+STRONG_WEIGHT = 4.0
+REMEMBERED_WORDS = 300_000
 NEAR_WORDS = 4
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF = 80, 3, 0.15, 32, 20
 
-LEXICON = "idiot idiots moron stupid dumb fool trash garbage worthless pathetic loser losers clown disgusting scum vermin hate ugly shut kill die freak creep jerk coward liar".split()
+LEXICON = "idiot idiots moron stupid dumb fool trash garbage worthless pathetic loser losers clown disgusting scum vermin hate ugly shut kill freak creep jerk coward liar".split()
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes tus ti".split())
 
 _SPLIT = {c: 32 for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or 65 <= c <= 90)}
@@ -41,14 +46,34 @@ UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 DIGITS, STRONG, SYMBOLS = b"0123456789", b"!?", b"#*$%&|<>@_~^"
 MARKS = b".,;:!?'\"()-"
 
-FEATURES = ("log_words", "hits", "hit_density", "distinct_hits", "weight_density", "near_second_person", "second_person", "obfuscated_hits", "masked_words", "capitals", "shouted_words", "strong_marks", "marks", "digits", "symbols", "densest_window")
+FEATURES = ("log_words", "hits", "hit_density", "distinct_hits", "weight_density", "near_second_person", "second_person", "obfuscated_hits", "masked_words", "capitals", "shouted_words", "strong_marks", "marks", "digits", "symbols", "densest_window", "largest_weight", "strong_hit_density")
 
 
-def features(text: bytes, lexicon: dict[bytes, float]) -> list[float]:
-    """Values of FEATURES; ``lexicon`` maps a word to its weight."""
+class Lexicon:
+    """Weights of words and, under a leading space, of word beginnings; a word has the largest that fits it."""
+
+    def __init__(self, entries: dict[bytes, float]):
+        self.entries, self.known = entries, {}
+
+    def __reduce__(self) -> tuple:
+        return Lexicon, (self.entries,)
+
+    def weights(self, words: list[bytes]) -> list[float]:
+        known = self.known
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        for word in words:
+            if word not in known:
+                known[word] = max(self.entries.get(word, 0.0), *(self.entries.get(b" " + word[:k], 0.0) for k in STEMS if len(word) >= k), 0.0)
+        return [known[word] for word in words]
+
+
+def features(text: bytes, lexicon: Lexicon) -> list[float]:
+    """Values of FEATURES."""
     words = text.translate(PLAIN).split()
     n, size = len(words), max(1, len(text))
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    weights = lexicon.weights(words)
+    hits = [i for i, w in enumerate(weights) if w]
     persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near = densest = 0
     if hits:
@@ -58,13 +83,13 @@ def features(text: bytes, lexicon: dict[bytes, float]) -> list[float]:
             to = np.array([-(1 << 40), *persons, 1 << 40])
             k = np.searchsorted(to, at)
             near = int((np.minimum(to[k] - at, at - to[k - 1]) <= NEAR_WORDS).sum())
-    obfuscated = sum(w in lexicon for w in text.translate(LEET).split()) - len(hits) if len(text) != len(text.translate(None, DIGITS + b"@$")) else 0
+    obfuscated = sum(map(bool, lexicon.weights(text.translate(LEET).split()))) - len(hits) if len(text) != len(text.translate(None, DIGITS + b"@$")) else 0
     masked = sum(0 < w.find(b"*") < len(w) - 1 for w in text.split()) if b"*" in text else 0
     count = lambda chars: len(text) - len(text.translate(None, chars))
     upper, lower = count(UPPER), count(LOWER)
     shouted = sum(w.isupper() and len(w) > 1 for w in text.split()) if upper * 4 > lower else 0
     found, m = {words[i] for i in hits}, max(1, n)
-    return [float(np.log1p(n)), min(len(hits), 50), len(hits) / m, len(found), sum(lexicon[words[i]] for i in hits) / m, near / max(1, len(hits)), len(persons) / m, max(0, obfuscated), masked / m, upper / max(1, upper + lower), shouted / m, count(STRONG) / size, count(MARKS) / size, count(DIGITS) / size, count(SYMBOLS) / size, densest]
+    return [float(np.log1p(n)), min(len(hits), 50), len(hits) / m, len(found), sum(weights) / m, near / max(1, len(hits)), len(persons) / m, max(0, obfuscated), masked / m, upper / max(1, upper + lower), shouted / m, count(STRONG) / size, count(MARKS) / size, count(DIGITS) / size, count(SYMBOLS) / size, densest, max(weights, default=0.0), sum(w > STRONG_WEIGHT for w in weights) / m]
 
 
 class Boosted:
@@ -154,8 +179,8 @@ class Constant:
         return np.full(len(x), self.value)
 
 
-def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
-    """The fixed list, and the words of the sample whose documents are labelled most unlike the rest, with log odds."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """The fixed list, and the words and word beginnings of the sample most told apart by the labels, with log odds."""
     out = "word binary, bad long, n long"
     schema = arrow_schema(out)
 
@@ -164,6 +189,7 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
             bad, n = Counter(), Counter()
             for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(text.translate(PLAIN).split())
+                words |= {b" " + w[:k] for w in words for k in STEMS if len(w) >= k}
                 n.update(words)
                 if y:
                     bad.update(words)
@@ -175,18 +201,18 @@ def learn_lexicon(sample: DataFrame) -> dict[bytes, float]:
     total = counts.filter(F.col("word") == F.lit(b"")).first()
     lexicon = {w.encode(): 2.0 for w in LEXICON}
     if total is None or not 0 < total["bad"] < total["n"]:
-        return lexicon
+        return Lexicon(lexicon)
     bad, good = total["bad"], total["n"] - total["bad"]
     a, b = F.col("bad"), F.col("n") - F.col("bad")
     odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    ranked = counts.filter(F.length("word") >= 3).select("word", odds.alias("odds"), (odds / error).alias("z")).filter("z > 5 and odds > 1.5")
-    for row in ranked.orderBy(F.desc("z"), "word").limit(LEARNED_WORDS).collect():
+    ranked = counts.filter(F.length("word") >= 3).select("word", odds.alias("odds"), (odds / error).alias("z")).filter(f"z > {MIN_Z} and odds > {MIN_ODDS}")
+    for row in ranked.orderBy(F.desc("odds"), "word").limit(LEARNED_ENTRIES).collect():
         lexicon[bytes(row["word"])] = float(row["odds"])
-    return lexicon
+    return Lexicon(lexicon)
 
 
-def map_features(docs: DataFrame, lexicon: dict[bytes, float], keep: str, kind: str, model: object | None = None) -> DataFrame:
+def map_features(docs: DataFrame, lexicon: Lexicon, keep: str, kind: str, model: object | None = None) -> DataFrame:
     """The column ``keep`` (of type ``kind``) with the features as a binary of doubles, or with the model's score."""
     out = f"{keep} {kind}, " + ("features binary" if model is None else "score double")
     schema = arrow_schema(out)
@@ -200,7 +226,7 @@ def map_features(docs: DataFrame, lexicon: dict[bytes, float], keep: str, kind:
     return map_arrow(docs.select(F.col(keep).cast(kind).alias(keep), text_bytes().alias("text")), run, out)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], Calibrated | Constant]:
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, Calibrated | Constant]:
     sample = cut(training_sample(docs, labels, "toxic", remainder(5) == 0, TRAIN_DOCUMENTS))
     lexicon = learn_lexicon(sample)
     rows = sorted((bytes(r["features"]), r["y"]) for r in map_features(sample, lexicon, "y", "int").collect())
