@@ -15,6 +15,7 @@ their texts; an empty table gives no shard and no rows; extra columns are ignore
 from __future__ import annotations
 
 import functools
+import string
 import struct
 import unicodedata
 import uuid
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,9 +36,11 @@ from lakelens.session import ensure_checkpoint_dir
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 512
 MAGIC = b"WMX1"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 CACHED_CHARS = 32
-TAIL = ".,;:!?"
+TAIL = string.punctuation
+ENCODE_ROWS = 4000
+ENCODE_CHARS = 6_000_000
 MAX_RANGES = 20_000
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -55,7 +59,7 @@ class WaveletMatrix:
         levels = max(1, int(values.max()).bit_length()) if len(values) else 1
         zeros, planes, ranks = [], [], []
         for level in reversed(range(levels)):
-            ones = (values >> level & 1).astype(bool)
+            ones = values & values.dtype.type(1 << level) != 0
             packed = np.packbits(ones, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK_BITS // 8), np.uint8)])
             per_block = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
@@ -169,17 +173,34 @@ class WordEncoder:
     """Ids of whole texts from the tokenizers library, which is asked once for each different word.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its words; a word's final
-    punctuation is a token of its own after letters, and ASCII letters are lower-cased, so such words share an entry.
+    ASCII punctuation is a run of its own after letters, and ASCII letters are lower-cased, so such words share an entry.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
-    def _ask(self, words: list[str]) -> None:
+    def _ask_each(self, words: list[str]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(got.ids, "<u4").tobytes()
+            self.cores[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _ask_letters(self, words: list[str]) -> None:
+        """Words of letters only, in one call: each is one run for the tokenizer, whose last token ends a word."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            self._ask_each(words)
+            return
+        data, ends = ids.tobytes(), (ends * 4).tolist()
+        self.cores.update(zip(words, [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
@@ -190,25 +211,50 @@ class WordEncoder:
         whole = unicodedata.normalize("NFC", core).lower().isalpha()
         return (core, word[len(core) :]) if whole else (word, "")
 
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of words not yet known to the caches."""
+        known, cores = self.words, self.cores
+        parts = [(word, *self._parts(word)) for word in new]
+        asked = {core for _, core, _ in parts if core not in cores}
+        letters = sorted(core for core in asked if core.isascii() and core.isalpha() or not core.isascii() and unicodedata.normalize("NFC", core).lower().isalpha())
+        self._ask_letters(letters)
+        self._ask_each(sorted(asked.difference(letters) | {tail for _, _, tail in parts if tail not in cores}))
+        for word, core, tail in parts:
+            known[word] = cores[core] + cores[tail]
+        if len(cores) > CACHED_WORDS:  # what came first is most frequent, so a full cache keeps it
+            for core in asked:
+                del cores[core]
+        else:
+            for core in asked:
+                if len(core) > CACHED_CHARS:
+                    del cores[core]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text; dictionaries are asked once for each different word of all."""
+        if not texts:
+            return []
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = words.values.dictionary_encode()
+        different, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.words
+        new = [word for word in different if word not in known]
+        self._learn(new)
+        found = [known[word] for word in different]
         if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {word for words in split for word in words if word not in known}
-        parts = {word: self._parts(word) for word in new}
-        self._ask(sorted({p for pair in parts.values() for p in pair if p not in known}))
-        for word, (core, tail) in parts.items():
-            known[word] = known[core] + known[tail]
-        out = [b"".join([known[word] for word in words]) for words in split]
-        for word in new:
-            if len(word) > CACHED_CHARS:
-                for part in (word, *parts[word]):
-                    if part:
-                        known.pop(part, None)
-        return out
+            for word in new:
+                del known[word]
+        else:
+            for word in new:
+                if len(word) > CACHED_CHARS:
+                    del known[word]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        counts = sizes[index]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], counts)
+        at += np.arange(len(at))
+        data, cuts = ids[at].tobytes(), (ends[words.offsets.to_numpy()] * 4).tolist()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -241,9 +287,21 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, shard_tok
             size, seq = 0, seq + 1
             return out
 
-        for batch in batches:
-            ids, texts, parts = (c.to_pylist() for c in batch.columns)
-            at = parts[0] if parts else at
+        def gathered() -> Iterator[tuple[list, list[str]]]:
+            nonlocal at
+            ids, texts, chars = [], [], 0
+            for batch in batches:
+                more, parts = batch.column(1).to_pylist(), batch.column(2)
+                at = parts[0].as_py() if len(more) else at
+                ids += batch.column(0).to_pylist()
+                texts += more
+                chars += sum(map(len, more))
+                if len(texts) >= ENCODE_ROWS or chars >= ENCODE_CHARS:
+                    yield ids, texts
+                    ids, texts, chars = [], [], 0
+            yield ids, texts
+
+        for ids, texts in gathered():
             for i, b in zip(ids, encoder.encode(texts), strict=True):
                 b += end
                 if held and size + len(b) // 4 > shard_tokens:
