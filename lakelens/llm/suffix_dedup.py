@@ -13,8 +13,9 @@ the ends of repeated passages, goes with its bytes to the suffix families, one f
 with more than HOT_CORE different contexts is split further by what groups of eight windows have in common, so that a
 passage that a third of all documents share is indexed by many tasks.
 
-Texts are shuffled once, by document; copies of a whole text are told by digest and only one of them is indexed. All
-grouping is by hashes of content with counts combined, so no document pairs or all-pairs of a group are made.
+Texts are shuffled once, by document. Texts that have a copy are told by their digest and go whole; a task indexes one of
+its copies, so a group of them is indexed at most once a task. All grouping is by hashes of content, so no document pairs
+or all-pairs of a group are made.
 
 Defined results: null or empty text has nothing to remove; repeated rows count as elsewhere, so texts of LENGTH bytes and
 more that have a copy are removed whole; an empty table gives no rows; null doc_ids are kept; extra columns are ignored.
@@ -41,6 +42,7 @@ GRAM = 8
 GROUP = 8
 HOT_CORE = 5000
 BATCH_SUFFIXES = 1 << 18
+REMEMBERED_TEXTS = 200_000
 NO_ID = -(1 << 63)
 
 U = np.uint64
@@ -50,7 +52,7 @@ BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 ANCHORS = "core long, full long, rep long, c1 long, run long, weight int"
 SPANS = "rep long, c1 long, begin long, end long"
 SUFFIXES = "part long, core long, rep long, c1 long, begin long, open boolean, bytes binary"
-KEPT = "rep long, c1 long, n_removed long, n_spans long, kept binary"
+KEPT = "rep long, c1 long, digest string, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 @functools.lru_cache(maxsize=4)
@@ -117,7 +119,7 @@ def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Contexts that a document repeats are found here: one row stands for them with weight 2, and the windows of all of
     them are given as rows of weight 0 whose core is scattered, so they only pass through.
     """
-    schema = arrow_schema(ANCHORS)
+    schema, seen = arrow_schema(ANCHORS), set()
     for batch in batches:
         columns: list[list[np.ndarray]] = [[] for _ in schema]
 
@@ -126,8 +128,10 @@ def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(value)
 
         for rep, c1, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(data) < LENGTH:
-                continue
+            if len(data) < LENGTH or (digest := hashlib.md5(data).digest()) in seen:
+                continue  # texts with a copy go whole, so one of a task's copies is enough for others to match
+            if len(seen) < REMEMBERED_TEXTS:
+                seen.add(digest)
             at, first, last, core, full = anchors(data)
             _, once, which, count = np.unique(core * MIX_A ^ full, return_index=True, return_inverse=True, return_counts=True)
             run = at << 16 | (at - first) << 8 | (at - last)
@@ -279,70 +283,54 @@ def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for rep, c1, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pairs = np.array(spans or [], np.int64).reshape(-1, 2)
-            begin, end = merged(pairs[:, 0], pairs[:, 1])
+            packed = np.array(spans or [], np.int64)
+            begin, end = merged(packed >> 32, packed & 0xFFFFFFFF)
             kept, at = [], 0
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            rows.append((rep, c1, int((end - begin).sum()), len(begin), b"".join(kept)))
+            rows.append((rep, c1, hashlib.md5(data).hexdigest(), len(data), int((end - begin).sum()), len(begin), b"".join(kept)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def flat(column: str, *parts: str) -> Column:
-    """An array of longs with the given fields of collected structs one after another."""
-    return F.flatten(F.transform(column, lambda x: F.array(*(x[p].cast("long") for p in parts)))).alias(column)
-
-
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: rows (doc_id, c1, c2, n_bytes, rep, copies) of ``docs``, and (rep, c1, n_removed, n_spans, kept) of the texts.
-
-    ``rep`` and ``c1`` name the document that stands for all rows with a text; rows with a copy are not yet overridden.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = text_bytes()
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("bytes"))
-    hashed = hashed.select("doc_id", "bytes", F.xxhash64("bytes").alias("c1"), F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"))
-    rows = cut(hashed.select("doc_id", "c1", F.xxhash64(F.lit(7), "bytes", F.octet_length("bytes")).alias("c2"), F.octet_length("bytes").cast("long").alias("n_bytes"), "rep"))
-    classes = cut(rows.groupBy("c1", "c2").agg(F.min("rep").alias("rep"), F.count("*").alias("copies")))
-    rows = rows.drop("rep").join(classes, ["c1", "c2"])
-    stands = classes.select("rep", "c1").distinct()
-    # the one shuffle of texts; the three uses below share it
-    texts = hashed.select("rep", "c1", "bytes").repartition(n, "rep", "c1")
-    found = map_arrow(texts.join(stands.hint("shuffle_hash"), ["rep", "c1"], "left_semi").select("rep", "c1", "bytes"), map_anchors, ANCHORS).repartition(n, "core")
-    same = Window.partitionBy("core", "full")
-    core = Window.partitionBy("core")
-    judged = found.select("*", F.sum("weight").over(same).alias("times"), F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
-    judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.max(((F.col("times") == 1) & (F.col("weight") == 1)).cast("int")).over(core).alias("any_open"))
-    judged = judged.filter("weight = 0 or times > 1 or contexts > 1")
-    at, first, last = F.expr("run >> 16"), F.expr("(run >> 16) - ((run >> 8) & 255)"), F.expr("(run >> 16) - (run & 255)")
-    passed = judged.filter("weight = 0").select("rep", "c1", F.col("run").alias("begin"), F.col("full").alias("end"))
-    sure = judged.filter("weight > 0 and times > 1").select("rep", "c1", first.alias("begin"), (last + LENGTH).alias("end"))
-    work = judged.filter("weight > 0 and nth = 1 and contexts > 1 and any_open = 1")
-    work = work.select("rep", "c1", F.struct("core", "run", F.expr(f"if(times = 1, 1, 0) + if(contexts > {HOT_CORE}, 2, 0)").alias("flags")).alias("work"))
-    work = work.groupBy("rep", "c1").agg(F.collect_list("work").alias("work")).select("rep", "c1", flat("work", "core", "run", "flags"))
-    suffixes = map_arrow(texts.join(work.hint("shuffle_hash"), ["rep", "c1"]).select("rep", "c1", "bytes", "work"), map_suffixes, SUFFIXES).repartition(n, "part")
-    spans = passed.unionByName(sure).unionByName(map_arrow(suffixes, map_families, SPANS))
-    spans = spans.groupBy("rep", "c1").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).select("rep", "c1", flat("spans", "begin", "end"))
-    whole = texts.join(stands.hint("shuffle_hash"), ["rep", "c1"], "left_semi").join(spans.hint("shuffle_hash"), ["rep", "c1"], "left")
-    return rows, map_arrow(whole.select("rep", "c1", "bytes", "spans"), map_removal, KEPT)
-
-
 def remove_repeats(docs: DataFrame, kept: str = "kept") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (an expression over the kept bytes) for every row of ``docs``."""
-    rows, texts = repeated_spans(docs)
-    texts = texts.select("rep", "c1", "n_removed", "n_spans", F.expr(kept).alias("kept")).dropDuplicates(["rep", "c1"])
-    nothing = F.expr(kept.replace("kept", "cast('' as binary)"))
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    return rows.join(texts, ["rep", "c1"]).select(
-        "doc_id",
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), text_bytes().alias("bytes"))
+    texts = texts.select("rep", F.xxhash64("bytes").alias("c1"), "bytes")
+
+    # runs that the hashes decide, and those they leave open
+    same, core = Window.partitionBy("core", "full"), Window.partitionBy("core")
+    judged = map_arrow(texts, map_anchors, ANCHORS).repartition(n, "core")
+    judged = judged.select("*", F.sum("weight").over(same).alias("times"), F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
+    judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.max(((F.col("times") == 1) & (F.col("weight") == 1)).cast("int")).over(core).alias("any_open"))
+    span = F.expr(f"""case when weight = 0 then shiftleft(run, 32) | full
+                      when times > 1 then shiftleft((run >> 16) - ((run >> 8) & 255), 32) | ((run >> 16) - (run & 255) + {LENGTH}) end""")
+    work = F.when(F.expr("weight > 0 and nth = 1 and contexts > 1 and any_open = 1"), F.struct("core", "run", F.expr(f"if(times = 1, 1, 0) + if(contexts > {HOT_CORE}, 2, 0)").alias("flags")))
+    judged = judged.select("rep", "c1", span.alias("span"), work.alias("work")).filter("span is not null or work is not null")
+    judged = judged.groupBy("rep", "c1").agg(F.collect_list("span").alias("spans"), F.collect_list("work").alias("work"))
+    judged = cut(judged.select("rep", "c1", "spans", F.flatten(F.transform("work", lambda x: F.array(x["core"], x["run"], x["flags"].cast("long")))).alias("work")))
+
+    # the one shuffle of texts, which both uses share
+    dealt = texts.repartition(n, "rep", "c1")
+    opened = dealt.join(judged.filter("size(work) > 0").select("rep", "c1", "work").hint("shuffle_hash"), ["rep", "c1"])
+    suffixes = map_arrow(opened.select("rep", "c1", "bytes", "work"), map_suffixes, SUFFIXES).repartition(n, "part")
+    spans = map_arrow(suffixes, map_families, SPANS).groupBy("rep", "c1").agg(F.collect_list(F.expr("shiftleft(begin, 32) | end")).alias("found"))
+    spans = judged.select("rep", "c1", "spans").join(spans, ["rep", "c1"], "full").select("rep", "c1", F.concat(F.coalesce("spans", F.array().cast("array<long>")), F.coalesce("found", F.array().cast("array<long>"))).alias("spans"))
+    left = map_arrow(dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans"), map_removal, KEPT)
+
+    # texts that have a copy go whole
+    copied = texts.groupBy(F.md5("bytes").alias("digest")).agg(F.count("*").alias("copies")).filter("copies > 1")
+    left = left.select("rep", "digest", "n_bytes", "n_removed", "n_spans", F.expr(kept).alias("kept")).join(copied.select("digest", F.lit(True).alias("copied")), "digest", "left")
+    whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= LENGTH)
+    return left.select(
+        F.when(F.col("rep") != NO_ID, F.col("rep")).alias("doc_id"),
         "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-        F.when(copied, nothing).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+        F.when(whole, F.expr(kept.replace("kept", "cast('' as binary)"))).otherwise(F.col("kept")).alias("kept"),
     )
 
 
