@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import bpe, licences, quality_mil, quality_rules, sharding, simhash, suffix_dedup, toxicity, wavelet
+from lakelens.llm import bpe, decontamination, licences, quality_mil, quality_rules, sharding, simhash, suffix_dedup, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wavelet_token_ids": wavelet.op3_wavelet_token_ids,
     "op4_byte_shards": sharding.op4_byte_shards,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_mil": quality_mil.op7_quality_mil,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
