@@ -160,7 +160,7 @@ def map_encoded(docs: DataFrame, path: str, pattern: str, fn: Callable[[ByteBPE,
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array) of every row of ``docs``."""
-    return map_encoded(docs, path, pattern, lambda _, ids: (ids,), "ids array<long>")
+    return map_encoded(docs, path, pattern, lambda _, ids: (ids,), "ids array<int>")
 
 
 def digests(bpe: ByteBPE, ids: list[int]) -> tuple[int, str, str]:
@@ -171,6 +171,11 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_encoded(docs, path, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_with_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids and their digests."""
+    return map_encoded(docs, path, pattern, lambda bpe, ids: (ids, *digests(bpe, ids)), "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

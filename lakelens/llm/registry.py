@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from lakelens.llm import bpe, decontamination, licences, quality_mil, quality_rules, sharding, simhash, suffix_dedup, toxicity, wavelet
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.

@@ -165,6 +165,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for a component: the least (doc_id, text hash) of each.
+
+    Rows are named by doc_id and a hash of the text; only where such names repeat is one of the equal rows chosen.
+    """
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), text_bytes().alias("text"))
+    out = "doc_id long, th long, fp long"
+    rows = cut(map_arrow(named, per_row(lambda i, h, t: (i, h, signed(fingerprint(t))), out), out))
+    classes = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "th", "doc_id")).alias("least"), F.count("*").alias("n"))
+    roots = connected_components(link_forests(classes.select("fp"), radius))
+    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    stays = classes.select(F.col("least.doc_id").alias("k"), F.col("least.th").alias("k_th")).distinct()
+    kept = docs.join(stays.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("k")) & (th == F.col("k_th")), "left_semi")
+    if rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        return kept
+    columns = kept.columns
+    kept = kept.groupBy(F.col("doc_id").alias("one_id"), F.xxhash64("text").alias("one_th")).agg(F.first(F.struct(*columns)).alias("row"))
+    return kept.select("row.*")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

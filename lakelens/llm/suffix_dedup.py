@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakelens.llm.common import arrow_schema, map_arrow, read_documents, text_bytes
 from lakelens.session import cut
@@ -282,7 +283,7 @@ def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(KEPT)
     for batch in batches:
         rows = []
-        for rep, c1, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rep, c1, data, spans in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
             packed = np.array(spans or [], np.int64)
             begin, end = merged(packed >> 32, packed & 0xFFFFFFFF)
             kept, at = [], 0
@@ -292,18 +293,24 @@ def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(data[at:])
             rows.append((rep, c1, hashlib.md5(data).hexdigest(), len(data), int((end - begin).sum()), len(begin), b"".join(kept)))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(4)], names=[*schema.names, "rest"])
+
 
+def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, ``kept`` (an expression over the kept bytes) and rest for every row of ``docs``.
 
-def remove_repeats(docs: DataFrame, kept: str = "kept") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (an expression over the kept bytes) for every row of ``docs``."""
+    rest is a struct of the columns named in ``carry``, taken along in the one shuffle of texts.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), text_bytes().alias("bytes"))
-    texts = texts.select("rep", F.xxhash64("bytes").alias("c1"), "bytes")
+    rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), text_bytes().alias("bytes"), rest.alias("rest"))
+    texts = texts.select("rep", F.xxhash64("bytes").alias("c1"), "bytes", "rest")
+    kept_schema = StructType([*StructType.fromDDL(KEPT), texts.schema["rest"]])
 
     # runs that the hashes decide, and those they leave open
     same, core = Window.partitionBy("core", "full"), Window.partitionBy("core")
-    judged = map_arrow(texts, map_anchors, ANCHORS).repartition(n, "core")
+    judged = map_arrow(texts.select("rep", "c1", "bytes"), map_anchors, ANCHORS).repartition(n, "core")
     judged = judged.select("*", F.sum("weight").over(same).alias("times"), F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
     judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.max(((F.col("times") == 1) & (F.col("weight") == 1)).cast("int")).over(core).alias("any_open"))
     span = F.expr(f"""case when weight = 0 then shiftleft(run, 32) | full
@@ -319,11 +326,11 @@ def remove_repeats(docs: DataFrame, kept: str = "kept") -> DataFrame:
     suffixes = map_arrow(opened.select("rep", "c1", "bytes", "work"), map_suffixes, SUFFIXES).repartition(n, "part")
     spans = map_arrow(suffixes, map_families, SPANS).groupBy("rep", "c1").agg(F.collect_list(F.expr("shiftleft(begin, 32) | end")).alias("found"))
     spans = judged.select("rep", "c1", "spans").join(spans, ["rep", "c1"], "full").select("rep", "c1", F.concat(F.coalesce("spans", F.array().cast("array<long>")), F.coalesce("found", F.array().cast("array<long>"))).alias("spans"))
-    left = map_arrow(dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans"), map_removal, KEPT)
+    left = map_arrow(dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans", "rest"), map_removal, kept_schema)
 
     # texts that have a copy go whole
     copied = texts.groupBy(F.md5("bytes").alias("digest")).agg(F.count("*").alias("copies")).filter("copies > 1")
-    left = left.select("rep", "digest", "n_bytes", "n_removed", "n_spans", F.expr(kept).alias("kept")).join(copied.select("digest", F.lit(True).alias("copied")), "digest", "left")
+    left = left.select("rep", "digest", "n_bytes", "n_removed", "n_spans", F.expr(kept).alias("kept"), "rest").join(copied.select("digest", F.lit(True).alias("copied")), "digest", "left")
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= LENGTH)
     return left.select(
         F.when(F.col("rep") != NO_ID, F.col("rep")).alias("doc_id"),
@@ -331,8 +338,9 @@ def remove_repeats(docs: DataFrame, kept: str = "kept") -> DataFrame:
         F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.expr(kept.replace("kept", "cast('' as binary)"))).otherwise(F.col("kept")).alias("kept"),
+        "rest",
     )
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_documents(spark, sf_dir), "sha2(kept, 256)").withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(read_documents(spark, sf_dir), "sha2(kept, 256)").drop("rest").withColumnRenamed("kept", "kept_sha256")
