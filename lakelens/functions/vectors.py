@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,10 +30,13 @@ def cosine(a: Column, b: Column, low: float = -1.0) -> Column:
 
 def hash_embedding(text: Column, dims: int) -> Column:
     """Unit vector from the bytes of the text's SHA-256, cycled and mixed with the position; rounded to six digits."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR((i % 256).cast("int")) / 127.5 - 1.0,
-    )
-    length = norm(raw)
-    return F.when(length == 0, F.array_repeat(F.lit(dims**-0.5), dims)).otherwise(F.transform(raw, lambda x: F.round(x / length, 6)))
+
+    def raw(digest: Column) -> Column:
+        byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: byte(i).bitwiseXOR((i % 256).cast("int")) / 127.5 - 1.0)
+
+    def unit(pair: Column) -> Column:
+        scaled = F.transform(pair["raw"], lambda x: F.round(x / pair["length"], 6))
+        return F.when(pair["length"] == 0, F.array_repeat(F.lit(dims**-0.5), dims)).otherwise(scaled)
+
+    return let(let(F.sha2(text, 256), raw), lambda r: let(F.struct(r.alias("raw"), norm(r).alias("length")), unit))

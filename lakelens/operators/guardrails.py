@@ -65,7 +65,7 @@ MASKS = [
 SENSITIVE_NAME = r"(?i)^(.*[_-])?(api[_-]?key|token|secret|password|passwd|authorization|access[_-]?key|private[_-]?key)$"
 
 KINDS = [("SSN", SSN), ("EMAIL", EMAIL), ("PHONE", PHONE), *(("API_KEY", p) for p in API_KEYS)]
-MATCHES = ArrayType(StructType().add("entity_type", "string").add("start", "int").add("end", "int").add("raw", "string"))
+MATCHES = ArrayType(StructType().add("entity_type", "string").add("start", "integer").add("end", "integer").add("raw", "string"))
 
 
 def luhn_ok(digits: str) -> bool:

@@ -15,6 +15,8 @@ from lakelens.functions import text as T
 from lakelens.functions import vectors as V
 
 K1, B = 1.2, 0.75
+#: Added before rounding, so that ties which floating point leaves undecided always go up.
+TIE = 1e-9
 BROADCAST_TERMS = 200_000
 
 
@@ -108,7 +110,7 @@ def fuse_linear(dense: DataFrame, sparse: DataFrame, k: int = 10, dense_weight:
         scale = F.when(best > 0, best).otherwise(F.lit(1.0))
         return F.when(F.col(column) > 0, F.col(column) / scale).otherwise(F.lit(0.0))
 
-    score = F.round(wd * part("dense_score") + ws * part("sparse_score"), 4)
+    score = F.round(wd * part("dense_score") + ws * part("sparse_score") + TIE, 4)
     return _ranked(_sides(dense, sparse).withColumn("combined_score", score), k, min_score)
 
 
@@ -124,7 +126,7 @@ def rerank_lexical(queries: DataFrame, candidates: DataFrame, k: int = 5, forced
     """0.7 of the query words found plus 0.3 of the score; ties keep the initial order. Candidates carry content, score, rank."""
     words = F.col("qw")
     overlap = F.size(F.array_intersect(words, T.rerank_words(F.col("content")))) / F.greatest(F.size(words), F.lit(1))
-    score = F.round(0.7 * overlap + 0.3 * F.col("score"), 4)
+    score = F.round(0.7 * overlap + 0.3 * F.col("score") + TIE, 4)
     if forced:
         table = F.create_map(*(F.lit(x) for item in forced.items() for x in item))
         score = F.coalesce(table[F.col("chunk_id")], score)

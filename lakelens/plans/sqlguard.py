@@ -22,7 +22,7 @@ FORBIDDEN_FUNCTIONS = "LOAD_EXTENSION READFILE WRITEFILE EDIT".split()
 #: Functions of this engine that reach outside the tables.
 ENGINE_FUNCTIONS = "REFLECT JAVA_METHOD TRY_REFLECT INPUT_FILE_NAME READ_FILES".split()
 QUERY_NODES = frozenset(
-    "Project Aggregate Filter Join Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith With WithWindowDefinition "
+    "CTE Project Aggregate Filter Join Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith With WithWindowDefinition "
     "UnresolvedHaving Generate OneRowRelation UnresolvedInlineTable LocalRelation Window Pivot Unpivot LateralJoin UnresolvedTableValuedFunction CTERelationDef CTERelationRef WithCTE Expand GroupingSets BaseGroupingSets UnresolvedHint Hint View Sample".split()
 )
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][A-Za-z0-9_]*|.", re.S)

@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from lakelens.functions import text as T
 
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252")
-PARSED = StructType().add("title", StringType()).add("content", StringType()).add("sections", ArrayType(StringType())).add("pages", ArrayType(StructType().add("page", "int").add("text", "string")))
+PARSED = StructType().add("title", StringType()).add("content", StringType()).add("sections", ArrayType(StringType())).add("pages", ArrayType(StructType().add("page", "integer").add("text", "string")))
 
 
 def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
