@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group that SimHash links hold together."""
+    """One document, that of least doc_id, of each group that links of a similarity of 0.8 (five-word shingles) hold together."""
     return simhash.one_of_each(docs)
 
 

@@ -7,6 +7,9 @@ the population counts of their four 16-bit parts. Every remaining pair is compar
 edges of a spanning forest of its links, not all links, so a large group of near copies gives no quadratic output; the
 components of the forests' union are those of all links.
 
+Where similarity decides (one_of_each), fingerprints are of 256 bits: the first word goes through the tiles with its own
+radius, and the pairs that pass are held to the distance of all four.
+
 Defined results: null or empty text has fingerprint 0 and links like any other; a null doc_id is never a component's
 least id unless it has no other; repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
 """
@@ -30,25 +33,51 @@ SEED = 42
 RADIUS = 4
 TILE = 8192
 RUN = 128
+#: For links by similarity: 256-bit fingerprints of five-word shingles. At most WIDE_RADIUS differing bits stand for a
+#: similarity of 0.8 with room for the estimate's error (0.8: 39 bits +- 6); FIRST_RADIUS is tested on the first word.
+WIDE_WORDS = 5
+WIDE_RADIUS = 47
+FIRST_RADIUS = 20
 BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of the XXH64 values of the text's word shingles, repeats included."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 values of the text's word shingles, repeats included; the whole sequence if it has fewer words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-width])).tolist()
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; 0 of none."""
+    if not len(hashes):
+        return 0
     lanes = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64-bit SimHash of the XXH64 values of the text's word shingles."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: bytes, width: int = WIDE_WORDS) -> list[int]:
+    """SimHash of 256 bits as four words: the shingles' hashes, and three remixings of them."""
+    hashes, out = shingle_hashes(text, width), []
+    for k in range(4):
+        out.append(majority(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(k + 1)
+        hashes ^= hashes >> np.uint64(32)
+    return out
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -62,17 +91,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class Runs:
     """Fingerprints sorted by the population counts of their 16-bit parts, in runs with the range of each count."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, rows: np.ndarray):
+        values = rows[:, 0]
         parts = np.bitwise_count(np.ascontiguousarray(values).view(np.uint16).reshape(-1, 4)).astype(np.int16)
         order = np.lexsort(parts.T)
-        self.values, parts = values[order], parts[order]
+        self.values, self.rows, parts = values[order], rows[order], parts[order]
         starts = np.arange(0, len(values), RUN)
         self.low, self.high = np.minimum.reduceat(parts, starts), np.maximum.reduceat(parts, starts)
-        self.order = order
 
 
-def linked(a: Runs, b: Runs, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in a, in b) of the pairs within ``radius``, some at a time."""
+def linked(a: Runs, b: Runs, radius: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in a, in b) of the pairs within ``radius`` in the first word and ``total`` in all, some at a time."""
     for r in range(len(a.low)):
         gap = np.maximum(0, np.maximum(a.low[r] - b.high, b.low - a.high[r])).sum(axis=1)
         near = np.flatnonzero(gap <= radius)
@@ -82,7 +111,11 @@ def linked(a: Runs, b: Runs, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
         at = at[at < len(b.values)]
         mine = np.arange(r * RUN, min((r + 1) * RUN, len(a.values)))
         i, j = np.nonzero(np.bitwise_count(a.values[mine][:, None] ^ b.values[at][None, :]) <= radius)
-        yield mine[i], at[j]
+        i, j = mine[i], at[j]
+        if a.rows.shape[1] > 1 and len(i):
+            near = np.bitwise_count(a.rows[i] ^ b.rows[j]).sum(axis=1) <= total
+            i, j = i[near], j[near]
+        yield i, j
 
 
 class Forest:
@@ -112,12 +145,12 @@ class Forest:
             self.edges.append((high, low))
 
 
-def tile_forest(first: np.ndarray, second: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tile_forest(first: np.ndarray, second: np.ndarray | None, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (by value) of a spanning forest of the links between two tiles, or inside one."""
     a = Runs(first)
     b = a if second is None else Runs(second)
     forest, shift = Forest(len(first) + (0 if second is None else len(second))), 0 if second is None else len(first)
-    for i, j in linked(a, b, radius):
+    for i, j in linked(a, b, radius, total):
         forest.add(i, j + shift)
     values = a.values if second is None else np.concatenate([a.values, b.values])
     if not forest.edges:
@@ -125,18 +158,25 @@ def tile_forest(first: np.ndarray, second: np.ndarray | None, radius: int) -> tu
     return values[np.concatenate([e[0] for e in forest.edges])], values[np.concatenate([e[1] for e in forest.edges])]
 
 
-def link_forests(values: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) whose components are those of all links among the distinct fingerprints ``values`` (column fp)."""
-    counts = values.groupBy(F.bit_count("fp").alias("cell")).agg(F.count("*").alias("n")).collect()  # 65 rows at most
+def link_forests(values: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of all links among the distinct fingerprints ``values``.
+
+    The column fp is the node and the first word of a fingerprint; an array rest, where there is one, holds the others,
+    and pairs link at ``radius`` bits or fewer in the first word and ``total`` or fewer in all.
+    """
+    step = max(1, (radius + 1) // 5)  # population counts in a cell
+    cell = F.floor(F.bit_count("fp") / step).cast("int")
+    counts = values.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()  # 65 rows at most
     n_tiles = {r["cell"]: -(-r["n"] // TILE) for r in counts}
     if not n_tiles:
         return values.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     tiles_of = F.create_map(*(F.lit(x).cast("int") for item in n_tiles.items() for x in item))
     spread = max(1, -(-max(n_tiles.values()) // 4))  # tasks that share the pairs of one cell
-    cell = F.bit_count("fp").cast("int")
     tile = F.pmod(F.xxhash64("fp"), tiles_of[cell]).cast("int")
-    tiles = values.groupBy(cell.alias("cell"), tile.alias("tile")).agg(F.collect_list("fp").alias("fps"))
-    left = tiles.select("cell", "tile", "fps", F.explode(F.array(*(F.lit(d) for d in range(radius + 1)))).alias("step"))
+    row = F.concat(F.array("fp"), "rest") if "rest" in values.columns else F.array("fp")
+    words = 4 if "rest" in values.columns else 1
+    tiles = values.groupBy(cell.alias("cell"), tile.alias("tile")).agg(F.flatten(F.collect_list(row)).alias("fps"))
+    left = tiles.select("cell", "tile", "fps", F.explode(F.array(*(F.lit(d) for d in range(-(-radius // step) + 1)))).alias("step"))
     left = left.select((F.col("cell") + F.col("step")).alias("meets"), F.pmod("tile", F.lit(spread)).alias("share"), "step", F.col("tile").alias("tile_a"), F.col("fps").alias("a"))
     right = tiles.select(F.col("cell").alias("meets"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"), F.col("tile").alias("tile_b"), F.col("fps").alias("b"))
     pairs = left.join(right, ["meets", "share"]).filter("step > 0 or tile_a <= tile_b")
@@ -145,9 +185,9 @@ def link_forests(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                a, b = (batch.column(c)[row].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (1, 2))
-                u, v = tile_forest(a, None if batch.column(0)[row].as_py() else b, radius)
+            for n in range(batch.num_rows):
+                a, b = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words) for c in (1, 2))
+                u, v = tile_forest(a, None if batch.column(0)[n].as_py() else b, radius, radius if total is None else total)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
@@ -165,17 +205,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = FIRST_RADIUS, total: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for a component: the least (doc_id, text hash) of each.
 
+    Links are of 256-bit fingerprints of five-word shingles, by an estimated similarity of 0.8 or more.
     Rows are named by doc_id and a hash of the text; only where such names repeat is one of the equal rows chosen.
     """
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), text_bytes().alias("text"))
-    out = "doc_id long, th long, fp long"
-    rows = cut(map_arrow(named, per_row(lambda i, h, t: (i, h, signed(fingerprint(t))), out), out))
-    classes = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "th", "doc_id")).alias("least"), F.count("*").alias("n"))
-    roots = connected_components(link_forests(classes.select("fp"), radius))
+    out = "doc_id long, th long, fp long, rest array<long>"
+
+    def wide(doc_id: int | None, th: int, text: bytes) -> tuple:
+        first, *rest = map(signed, wide_fingerprint(text))
+        return doc_id, th, first, rest
+
+    rows = cut(map_arrow(named, per_row(wide, out), out))
+    classes = rows.groupBy("fp").agg(F.min("rest").alias("rest"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "th", "doc_id")).alias("least"), F.count("*").alias("n"))
+    roots = connected_components(link_forests(classes.select("fp", "rest"), radius, total))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     stays = classes.select(F.col("least.doc_id").alias("k"), F.col("least.th").alias("k_th")).distinct()
     kept = docs.join(stays.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("k")) & (th == F.col("k_th")), "left_semi")
