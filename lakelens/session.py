@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to Python workers that would not find it by their path; once for each session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in map(os.path.abspath, [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]):
+        return
+    context = spark.sparkContext
+    if getattr(context, "_lakelens_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(os.path.join(folder, "lakelens"), "zip", root, "lakelens")
+        context.addPyFile(archive)
+    context._lakelens_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
