@@ -45,9 +45,8 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_lakelens_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(os.path.join(folder, "lakelens"), "zip", root, "lakelens")
-        context.addPyFile(archive)
+    # the driver serves the archive for as long as the session lives
+    context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lakelens-package-"), "lakelens"), "zip", root, "lakelens"))
     context._lakelens_shipped = True
 
 
