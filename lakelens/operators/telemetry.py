@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SPAN = "trace_id string, span_id string, parent_span_id string, name string, kind string, attributes map<string,string>, start_time_ns long, end_time_ns long, duration_ms double, status_code string, error_message string, ordinal long"
 TRACEPARENT = r"^00-([0-9a-f]{32})-([0-9a-f]{16})-([0-9a-f]{2})$"
+#: Added before rounding, so that ties which floating point leaves undecided always go up.
+TIE = 1e-9
 SERVICE, SCOPE = "lakelens", "lakelens.tracer"
 
 
@@ -62,8 +64,8 @@ def trace_stats(traces: DataFrame) -> DataFrame:
     return traces.agg(
         n.alias("total_traces"),
         F.coalesce(F.sum("span_count"), F.lit(0)).alias("total_spans"),
-        F.round(F.coalesce(F.avg("total_duration_ms"), F.lit(0.0)), 2).alias("avg_duration_ms"),
-        F.round(F.coalesce(bad / F.nullif(n, F.lit(0)), F.lit(0.0)), 4).alias("error_rate"),
+        F.round(F.coalesce(F.avg("total_duration_ms"), F.lit(0.0)) + TIE, 2).alias("avg_duration_ms"),
+        F.round(F.coalesce(bad / F.nullif(n, F.lit(0)), F.lit(0.0)) + TIE, 4).alias("error_rate"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
     )
 
@@ -76,8 +78,8 @@ def newest_traces(spans: DataFrame, keep: int) -> DataFrame:
 
 def latency_percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Exact, linearly interpolated percentiles and the mean, rounded to 0.01."""
-    cuts = [F.round(F.percentile(value, p), 2).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
-    return df.groupBy(*by).agg(*cuts, F.round(F.avg(value), 2).alias("mean"))
+    cuts = [F.round(F.percentile(value, p) + TIE, 2).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))]
+    return df.groupBy(*by).agg(*cuts, F.round(F.avg(value) + TIE, 2).alias("mean"))
 
 
 def parse_traceparent(header: Column) -> Column:

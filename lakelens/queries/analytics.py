@@ -148,7 +148,7 @@ def trace_filter(spark, sf):
     return found.select("trace_id", "root_span_name", "total_duration_ms")
 
 
-@query("trace_stats", TRACES + " SELECT count(*) AS total_traces, CAST(sum(span_count) AS BIGINT) AS total_spans, round(avg(total_duration_ms), 2) AS avg_duration_ms, round(avg(CASE WHEN status_code = 'ERROR' THEN 1.0 ELSE 0.0 END), 4) AS error_rate, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t")
+@query("trace_stats", TRACES + " SELECT count(*) AS total_traces, CAST(sum(span_count) AS BIGINT) AS total_spans, round(avg(total_duration_ms) + 1e-9, 2) AS avg_duration_ms, round(avg(CASE WHEN status_code = 'ERROR' THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS error_rate, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM t")
 def trace_stats(spark, sf):
     return telemetry.trace_stats(telemetry.roll_up(spans(spark, sf)))
 
@@ -158,7 +158,7 @@ def otlp_payloads(spark, sf):
     return telemetry.otlp_payload(spans(spark, sf).withColumn("error_message", F.lit(None).cast("string")))
 
 
-@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90, round(quantile_cont(value, 0.99), 2) AS p99, round(avg(value), 2) AS mean FROM events GROUP BY event_type")
+@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5) + 1e-9, 2) AS p50, round(quantile_cont(value, 0.9) + 1e-9, 2) AS p90, round(quantile_cont(value, 0.99) + 1e-9, 2) AS p99, round(avg(value) + 1e-9, 2) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
     return telemetry.latency_percentiles(table(spark, sf, "events"), "value", "event_type")
 
@@ -239,7 +239,7 @@ def verify_answers(spark, sf):
 
 
 SQL_QUERIES = {
-    "sql_join_group_having": "SELECT n_name, count(*) AS n_customers, round(avg(c_acctbal), 2) AS avg_balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 3 ORDER BY avg_balance DESC",
+    "sql_join_group_having": "SELECT n_name, count(*) AS n_customers, round(avg(c_acctbal), 6) AS avg_balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 3 ORDER BY avg_balance DESC",
     "sql_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT c_mktsegment, count(*) AS n, round(sum(total), 2) AS total FROM big JOIN customer ON o_custkey = c_custkey WHERE total > 100000 GROUP BY c_mktsegment",
     "sql_window": "SELECT l_orderkey, l_linenumber, round(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS place, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS before FROM lineitem",
     "sql_setops": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1",
