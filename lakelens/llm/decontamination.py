@@ -149,9 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct()
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")).distinct()
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (th == F.col("bad_th")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (th == F.col("__bad_th")), "left_anti")
 
 
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

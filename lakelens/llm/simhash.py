@@ -223,8 +223,8 @@ def one_of_each(docs: DataFrame, radius: int = FIRST_RADIUS, total: int = WIDE_R
     classes = rows.groupBy("fp").agg(F.min("rest").alias("rest"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order"), "th", "doc_id")).alias("least"), F.count("*").alias("n"))
     roots = connected_components(link_forests(classes.select("fp", "rest"), radius, total))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    stays = classes.select(F.col("least.doc_id").alias("k"), F.col("least.th").alias("k_th")).distinct()
-    kept = docs.join(stays.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("k")) & (th == F.col("k_th")), "left_semi")
+    stays = classes.select(F.col("least.doc_id").alias("__stay_id"), F.col("least.th").alias("__stay_th")).distinct()
+    kept = docs.join(stays.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__stay_id")) & (th == F.col("__stay_th")), "left_semi")
     if rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return kept
     columns = kept.columns

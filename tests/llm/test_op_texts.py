@@ -21,7 +21,7 @@ ODD = [(1, None, "x"), (2, "", "x"), (3, " \n\t ", "x"), (None, "null id", "x"),
 
 def odd(spark, *extra):
     docs = spark.createDataFrame([r[:2] for r in ODD], "doc_id long, text string")
-    return docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(1).alias("score"), F.lit("a").alias("n_words"), F.lit(2).alias("th"))
+    return docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(1).alias("score"), F.lit("a").alias("n_words"), F.lit(2).alias("th"), *(F.lit(c).alias(c) for c in ("k", "rep", "bytes", "rest", "kept", "fp", "h")))
 
 
 def texts(spark, folder=TINY):
