@@ -39,8 +39,8 @@ MAGIC = b"WMX1"
 CACHED_WORDS = 500_000
 CACHED_CHARS = 32
 TAIL = string.punctuation
-ENCODE_ROWS = 4000
-ENCODE_CHARS = 6_000_000
+ENCODE_ROWS = 8000
+ENCODE_CHARS = 10_000_000
 MAX_RANGES = 20_000
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -65,9 +65,9 @@ class WaveletMatrix:
             per_block = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4"))
-            low = values[~ones]
+            low = np.compress(~ones, values)
             zeros.append(len(low))
-            values = np.concatenate([low, values[ones]])
+            values = np.concatenate([low, np.compress(ones, values)])
         return cls(len(values), zeros, planes, ranks)
 
     def _bits(self, level: int) -> np.ndarray:
@@ -79,8 +79,8 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             ones, z = self._bits(level), self.zeros[level]
             before = np.empty_like(out)
-            before[~ones] = out[:z]
-            before[ones] = out[z:] | out.dtype.type(1 << (self.levels - 1 - level))
+            before[np.flatnonzero(~ones)] = out[:z]
+            before[np.flatnonzero(ones)] = out[z:] | out.dtype.type(1 << (self.levels - 1 - level))
             out = before
         return out
 
@@ -169,6 +169,39 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     return [None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], lengths, WaveletMatrix(n, zeros, planes, ranks)
 
 
+class Memo:
+    """Ids of known strings as columns, so that lookups of many strings are one vectorised call."""
+
+    def __init__(self, most: int):
+        self.most, self.words = most, pa.array([""], pa.large_string())
+        self.begin, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+    def add(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Keep short new words while there is room: what comes first is most frequent."""
+        if len(self.words) >= self.most or not len(words):
+            return
+        short = pc.less_equal(pc.utf8_length(words), CACHED_CHARS).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(short)
+        begins = np.cumsum(sizes) - sizes
+        kept = gather(begins[at], sizes[at], ids)
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(short))])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes[at]) - sizes[at]])
+        self.size = np.concatenate([self.size, sizes[at]])
+        self.ids = np.concatenate([self.ids, kept])
+
+
+def gather(begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The slices ids[begin : begin + size] one after another."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(begins - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return ids[at]
+
+
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, which is asked once for each different word.
 
@@ -183,77 +216,84 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _ask_each(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.cores[word] = np.array(got.ids, "<u4").tobytes()
-
-    def _ask_letters(self, words: list[str]) -> None:
-        """Words of letters only, in one call: each is one run for the tokenizer, whose last token ends a word."""
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            self._ask_each(words)
-            return
-        data, ends = ids.tobytes(), (ends * 4).tolist()
-        self.cores.update(zip(words, [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        core = word.rstrip(TAIL)
-        if core.isascii():
-            return (core.lower(), word[len(core) :]) if core.isalpha() else (word, "")
-        # letters may turn to a letter and a mark, which would join the punctuation after it
-        whole = unicodedata.normalize("NFC", core).lower().isalpha()
-        return (core, word[len(core) :]) if whole else (word, "")
-
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of words not yet known to the caches."""
-        known, cores = self.words, self.cores
-        parts = [(word, *self._parts(word)) for word in new]
-        asked = {core for _, core, _ in parts if core not in cores}
-        letters = sorted(core for core in asked if core.isascii() and core.isalpha() or not core.isascii() and unicodedata.normalize("NFC", core).lower().isalpha())
-        self._ask_letters(letters)
-        self._ask_each(sorted(asked.difference(letters) | {tail for _, _, tail in parts if tail not in cores}))
-        for word, core, tail in parts:
-            known[word] = cores[core] + cores[tail]
-        if len(cores) > CACHED_WORDS:  # what came first is most frequent, so a full cache keeps it
-            for core in asked:
-                del cores[core]
-        else:
-            for core in asked:
-                if len(core) > CACHED_CHARS:
-                    del cores[core]
+        self.words, self.cores = Memo(CACHED_WORDS), Memo(CACHED_WORDS)
+
+    def _ask(self, words: list[str], one_run: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of each word; words that are one run for the tokenizer go in one call, cut at their last tokens."""
+        if one_run and words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words):
+                return np.diff(ends, prepend=0), ids
+        got = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(map(len, got)), np.int64), np.concatenate([*got, np.zeros(0, "<u4")])
+
+    def _of_cores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of different strings, from the memo of cores or the library."""
+        found = self.cores.find(words)
+        new = np.flatnonzero(found < 0)
+        asked = words.take(pa.array(new))
+        ascii_letters = pc.and_(pc.string_is_ascii(asked), pc.utf8_is_alpha(asked)).to_numpy(zero_copy_only=False)
+        texts = asked.to_pylist()
+        # letters may turn to a letter and a mark, which are not one run
+        run = [bool(a) or not w.isascii() and unicodedata.normalize("NFC", w).lower().isalpha() for w, a in zip(texts, ascii_letters, strict=True)]
+        order = np.argsort(~np.array(run, bool), kind="stable")
+        n_run = int(sum(run))
+        first = self._ask([texts[i] for i in order[:n_run]], True)
+        second = self._ask([texts[i] for i in order[n_run:]], False)
+        sizes, ids = np.concatenate([first[0], second[0]]), np.concatenate([first[1], second[1]])
+        all_ids = np.concatenate([self.cores.ids, ids])
+        begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        old = found >= 0
+        begin[old], size[old] = self.cores.begin[found[old]], self.cores.size[found[old]]
+        begin[new[order]], size[new[order]] = len(self.cores.ids) + np.cumsum(sizes) - sizes, sizes
+        self.cores.add(asked.take(pa.array(order)), sizes, ids)
+        return size, gather(begin, size, all_ids)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of different words that the memo of words lacks."""
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        core = pc.utf8_rtrim(words, characters=TAIL)
+        ascii_, alpha = pc.string_is_ascii(core), pc.utf8_is_alpha(core)
+        cuts = pc.and_(pc.not_equal(core, words), alpha).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(cuts & ~ascii_.to_numpy(zero_copy_only=False))
+        for i, c in zip(other.tolist(), core.take(pa.array(other)).to_pylist(), strict=True):
+            cuts[i] = unicodedata.normalize("NFC", c).lower().isalpha()
+        core = pc.if_else(pa.array(cuts), core, words)
+        core = pc.if_else(pc.and_(pc.string_is_ascii(core), pc.utf8_is_alpha(core)), pc.ascii_lower(core), core)
+        at = np.flatnonzero(cuts)
+        lengths = pc.utf8_length(core).to_numpy()[at].tolist()
+        tails = pa.array([w[n:] for w, n in zip(words.take(pa.array(at)).to_pylist(), lengths, strict=True)], pa.large_string())
+        coded = pa.concat_arrays([core, tails]).dictionary_encode()
+        sizes, ids = self._of_cores(coded.dictionary)
+        begins, index = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        # each word's core, then its tail: two slices, of which the second may be empty
+        begin, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        begin[:, 0], size[:, 0] = begins[index[: len(words)]], sizes[index[: len(words)]]
+        begin[at, 1], size[at, 1] = begins[index[len(words) :]], sizes[index[len(words) :]]
+        return size.sum(axis=1), gather(begin.ravel(), size.ravel(), ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; dictionaries are asked once for each different word of all."""
+        """Little-endian unsigned 32-bit ids of each text."""
         if not texts:
             return []
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = words.values.dictionary_encode()
-        different, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.words
-        new = [word for word in different if word not in known]
-        self._learn(new)
-        found = [known[word] for word in different]
-        if len(known) > CACHED_WORDS:
-            for word in new:
-                del known[word]
-        else:
-            for word in new:
-                if len(word) > CACHED_CHARS:
-                    del known[word]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        counts = sizes[index]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        at = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], counts)
-        at += np.arange(len(at))
-        data, cuts = ids[at].tobytes(), (ends[words.offsets.to_numpy()] * 4).tolist()
+        found = self.words.find(coded.dictionary)
+        new = np.flatnonzero(found < 0)
+        unknown = coded.dictionary.take(pa.array(new))
+        sizes, ids = self._learn(unknown)
+        all_ids = np.concatenate([self.words.ids, ids])
+        begin, size = np.empty(len(found), np.int64), np.empty(len(found), np.int64)
+        old = found >= 0
+        begin[old], size[old] = self.words.begin[found[old]], self.words.size[found[old]]
+        begin[new], size[new] = len(self.words.ids) + np.cumsum(sizes) - sizes, sizes
+        self.words.add(unknown, sizes, ids)
+        index = coded.indices.to_numpy()
+        data = gather(begin[index], size[index], all_ids).tobytes()
+        ends = np.concatenate(([0], np.cumsum(size[index])))
+        cuts = (ends[words.offsets.to_numpy()] * 4).tolist()
         return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
