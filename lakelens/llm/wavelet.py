@@ -33,14 +33,14 @@ from lakelens.llm.common import arrow_schema, map_arrow, read_documents
 from lakelens.llm.sharding import range_bounds, range_index
 from lakelens.session import ensure_checkpoint_dir
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 512
 MAGIC = b"WMX1"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CACHED_CHARS = 32
 TAIL = string.punctuation
-ENCODE_ROWS = 8000
-ENCODE_CHARS = 10_000_000
+ENCODE_ROWS = 3000
+ENCODE_CHARS = 4_000_000
 MAX_RANGES = 20_000
 
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -342,7 +342,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, shard_tok
             yield ids, texts
 
         for ids, texts in gathered():
-            for i, b in zip(ids, encoder.encode(texts), strict=True):
+            encoded = encoder.encode(texts)
+            pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch took
+            for i, b in zip(ids, encoded, strict=True):
                 b += end
                 if held and size + len(b) // 4 > shard_tokens:
                     yield shard()
