@@ -27,7 +27,7 @@ from lakelens.llm.common import arrow_schema, map_arrow, read_documents
 
 #: A stretch that the piece pattern never looks across: an optional space and what follows without white space, or white space.
 STRETCH = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHED_STRETCHES = 600_000
+CACHED_STRETCHES = 400_000
 CACHED_PAIRS = 1_000_000
 CACHED_BYTES = 32
 WINDOW = 4096
