@@ -28,7 +28,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str, dims: int = 768, embed: Embedder | None = None, model: Callable[[str], str] | None = None):
         self.spark, self.store, self.dims = spark, store.rstrip("/"), dims
         self.embed = embed or (lambda text: V.hash_embedding(text, dims))
-        self.model = model or (lambda prompt: f"[MOCK RESPONSE] Processed query: '{prompt}'. Result: Mocked enterprise response.")
+        self.model = model or (lambda prompt: f"[MOCK RESPONSE] Processed query: '{prompt}'. Result: Mock result.")
         self.tracer = telemetry.Tracer()
 
     # tables
@@ -112,7 +112,8 @@ class Engine:
     def rag(self, *texts: str, k: int = 5, max_tokens: int = 4000, where: Column | None = None) -> DataFrame:
         queries = self.queries(*texts)
         found = retrieve.dense_search(queries, self.table("vectors"), k, where)
-        rows = retrieve.with_content(found, self.table("vectors")).join(self.table("vectors").select("chunk_id", "document_id", "source"), "chunk_id")
+        rows = F.broadcast(found) if retrieve.fits(queries, k) else found
+        rows = rows.join(self.table("vectors").select("chunk_id", "document_id", "source", "content"), "chunk_id")
         answer = F.udf(self.model, "string")  # one call to a model for each query
         return rag.rag_query(queries, rows, max_tokens, answer)
 

@@ -48,7 +48,7 @@ def user_prompt(context: Column, query: Column) -> Column:
     return F.format_string(USER_PROMPT, context, F.trim(query))
 
 
-def mock_answer(prompt: Column, result: str = "Mocked enterprise response.") -> Column:
+def mock_answer(prompt: Column, result: str = "Mock result.") -> Column:
     """Deterministic stand-in for a language model."""
     return F.concat(F.lit("[MOCK RESPONSE] Processed query: '"), prompt, F.lit(f"'. Result: {result}"))
 

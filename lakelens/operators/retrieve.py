@@ -40,6 +40,11 @@ def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fits(queries: DataFrame, per_query: int = 1, rows: int = BROADCAST_TERMS) -> bool:
+    """Whether at most ``per_query`` rows for each query are few enough to broadcast; looks at the queries only."""
+    return queries.limit(rows + 1).count() * per_query <= rows
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times) from (query_id, query); a repeated term counts again."""
     return queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -48,13 +53,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Raw positive scores (query_id, chunk_id, raw). Postings are cut to the queries' terms before they are counted."""
     wanted = query_terms(queries)
-    terms = small(wanted.select("term").distinct())
+    hint = F.broadcast if fits(wanted) else (lambda df: df)  # the weights have a row for each query term at most
+    terms = hint(wanted.select("term").distinct())
     tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     postings = tokens.join(terms, "term").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequencies = term_frequencies(postings)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = small(wanted.join(frequencies, "term").crossJoin(F.broadcast(corpus_stats(chunks))))  # statistics: one row
+    weighted = hint(wanted.join(frequencies, "term").crossJoin(F.broadcast(corpus_stats(chunks))))  # statistics: one row
     return postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw")).filter("raw > 0")
 
 
@@ -141,16 +147,17 @@ def rerank_with(model: Column, queries: DataFrame, candidates: DataFrame, k: int
     return top_k(joined.withColumn("rerank_score", F.round(model, 6)), k, F.desc("rerank_score"), F.asc("initial_rank")).withColumnRenamed("rank", "final_rank")
 
 
-def with_content(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Contents are joined after top-k, so scoring plans never carry them."""
-    return small(results).join(chunks.select("chunk_id", "content"), "chunk_id")
+def with_content(results: DataFrame, chunks: DataFrame, broadcast: bool = False) -> DataFrame:
+    """Contents are joined after top-k, so scoring plans never carry them; ``broadcast`` if the results are known to fit."""
+    return (F.broadcast(results) if broadcast else results).join(chunks.select("chunk_id", "content"), "chunk_id")
 
 
 def two_stage(queries: DataFrame, chunks: DataFrame, k: int = 5, candidate_k: int = 25, strategy: str = "sparse", where: Column | None = None) -> DataFrame:
     search = {"sparse": bm25_search, "semantic": dense_search, "hybrid": hybrid_search}[strategy]
     found = search(queries, chunks, max(candidate_k, k), where=where)
     found = found.withColumnRenamed("combined_score", "score") if strategy == "hybrid" else found
-    return rerank_lexical(queries, with_content(found.select("query_id", "chunk_id", "score", "rank"), chunks), k)
+    found = found.select("query_id", "chunk_id", "score", "rank")
+    return rerank_lexical(queries, with_content(found, chunks, fits(queries, max(candidate_k, k))), k)
 
 
 def merge_by_max(results: list[DataFrame], k: int = 10) -> DataFrame:

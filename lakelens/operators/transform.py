@@ -47,4 +47,4 @@ def transformed_search(queries: DataFrame, vectors: DataFrame, mode: str, model:
     merged = retrieve.top_k(best, max(2 * k, 20), F.desc("score"), F.asc("seen")).drop("seen")
     if not rerank:
         return merged.filter(F.col("rank") <= k)
-    return retrieve.rerank_lexical(queries, retrieve.with_content(merged, vectors), k)
+    return retrieve.rerank_lexical(queries, retrieve.with_content(merged, vectors, retrieve.fits(queries, max(2 * k, 20))), k)

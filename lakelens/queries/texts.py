@@ -177,7 +177,7 @@ RERANK = bm25_sql(
 @query("rerank_lexical", RERANK)
 def rerank_lexical(spark, sf):
     queries, chunks = benchmark_queries(spark, sf), as_chunks(spark, sf)
-    found = retrieve.with_content(retrieve.bm25_search(queries, chunks, 25), chunks)
+    found = retrieve.with_content(retrieve.bm25_search(queries, chunks, 25), chunks, retrieve.fits(queries, 25))
     return retrieve.rerank_lexical(queries, found, 5).select("query_id", "chunk_id", "rerank_score", "initial_rank", "final_rank")
 
 
