@@ -42,7 +42,7 @@ CORE = 64
 GRAM = 8
 GROUP = 8
 HOT_CORE = 5000
-BATCH_SUFFIXES = 1 << 18
+BATCH_SUFFIXES = 1 << 17
 REMEMBERED_TEXTS = 200_000
 NO_ID = -(1 << 63)
 
