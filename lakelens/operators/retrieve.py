@@ -6,10 +6,15 @@ too, so any number of them run in one job. Query terms are broadcast only up to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
@@ -18,6 +23,7 @@ K1, B = 1.2, 0.75
 #: Added before rounding, so that ties which floating point leaves undecided always go up.
 TIE = 1e-9
 BROADCAST_TERMS = 200_000
+MATRIX_QUERIES = 4096
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
@@ -79,15 +85,53 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, where: Colum
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """Exact cosine top-k of a stated query set against all vectors, which are read once; the filter comes before top-k."""
+    """Exact cosine top-k of a stated query set against all vectors, which are read once; the filter comes before top-k.
+
+    Up to MATRIX_QUERIES queries are a matrix sent to the workers: each Arrow batch of vectors is one matrix product of which
+    the k best of each query are kept, so only k rows for each query and batch are shuffled. More queries go through a join.
+    """
     vectors = vectors if where is None else vectors.filter(where)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.select("chunk_id", "embedding").join(small(q, 10_000))
-    scored = pairs.select("query_id", "chunk_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    given = queries.select("query_id", "embedding").limit(MATRIX_QUERIES + 1).collect()
+    if len(given) <= MATRIX_QUERIES:
+        scored = _matrix_scores(given, queries.schema["query_id"].dataType, vectors.select("chunk_id", "embedding"), k, min_score)
+    else:
+        pairs = vectors.select("chunk_id", "embedding").join(queries.select("query_id", F.col("embedding").alias("q")))
+        scored = pairs.select("query_id", "chunk_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     scored = scored.filter(F.col("score") >= min_score) if min_score > 0 else scored
     return top_k(scored, k, F.desc("score"), F.asc("chunk_id"))
 
 
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
+def _matrix_scores(given: list, id_type: DataType, vectors: DataFrame, k: int, min_score: float) -> DataFrame:
+    """(query_id, chunk_id, score) of the k best of each batch and query; ties at the k-th score are all kept."""
+    number = vectors.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(given)], StructType().add("_q", "long").add("query_id", id_type))
+    wanted = [np.array(r["embedding"] or [], np.float64) for r in given]
+    schema = StructType().add("_q", "long").add(vectors.schema["chunk_id"]).add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[int]] = {}
+        for i, q in enumerate(wanted):
+            by_size.setdefault(len(q), []).append(i)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                values = pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+                asked = by_size.get(size, [])
+                same = np.round(_unit(np.stack([wanted[i] for i in asked])) @ _unit(values).T, 6) if asked and size else np.zeros((len(asked), len(rows)))
+                for i, scores in [*zip(asked, np.clip(same, -1, 1), strict=True), *((i, np.zeros(len(rows))) for n, other in by_size.items() if n != size for i in other)]:
+                    floor = np.partition(scores, len(rows) - k)[len(rows) - k] if len(rows) > k else -2.0
+                    keep = np.flatnonzero(scores >= max(floor, min_score) if min_score > 0 else scores >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), i, np.int64)), batch.column(0).take(pa.array(rows[keep])), pa.array(scores[keep])], names=["_q", "chunk_id", "score"])
+
+    return vectors.mapInArrow(run, schema).join(F.broadcast(number), "_q").drop("_q")  # MATRIX_QUERIES rows at most
+
+
 def _sides(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     d = dense.select("query_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
     s = sparse.select("query_id", "chunk_id", F.col("score").alias("sparse_score"), F.col("rank").alias("sparse_rank"))
