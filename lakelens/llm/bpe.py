@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding in linear time from a rank file.
 
-Bytes are mapped to Latin-1 so that one Aho-Corasick automaton over the vocabulary gives, for each position of a piece,
-all tokens that start there. The encoding takes the longest token at each position, steps back to shorter ones when a
-token can't stand after the one before, and marks positions from which no encoding goes on, so each position is left for
-good at most once. Two tokens can stand together exactly if merging their joined bytes by rank gives the two again;
+Bytes are mapped to Latin-1 so that the trie of one Aho-Corasick automaton over the vocabulary bounds the longest token at
+each position of a piece. The encoding takes the longest token at each position, steps back to shorter ones when a token
+can't stand after the one before, and marks positions from which no encoding goes on, so each position is left for good
+at most once, and a position costs at most the longest token's length, whatever the length of the piece. Two tokens can stand together exactly if merging their joined bytes by rank gives the two again;
 these answers are memoised. An encoding all of whose neighbours can stand together is the one that merging gives.
 
 Defined results: null or empty text has no ids; any text round-trips byte for byte; special-token strings are ordinary
@@ -27,10 +27,10 @@ from lakelens.llm.common import arrow_schema, map_arrow, read_documents
 
 #: A stretch that the piece pattern never looks across: an optional space and what follows without white space, or white space.
 STRETCH = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHED_STRETCHES = 400_000
+CACHED_STRETCHES = 250_000
+CACHED_PIECES = 500_000
 CACHED_PAIRS = 1_000_000
 CACHED_BYTES = 32
-WINDOW = 4096
 
 
 def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -52,10 +52,12 @@ class ByteBPE:
         self.longest = max(map(len, ranks))
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.latin = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.stretches: dict[str, list[int]] = {}  # of whole stretches and of single pieces, which give the same ids
+        self.stretches: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -71,66 +73,51 @@ class ByteBPE:
             self.pairs[left, right] = found
         return found
 
-    def starts(self, text: str, window: int) -> list[list[tuple[int, int]]]:
-        """Tokens (length, rank) by start, shortest first, for the positions of one window of a piece."""
-        base = window * WINDOW
-        found: list[list[tuple[int, int]]] = [[] for _ in range(min(WINDOW, len(text) - base))]
-        for end, (length, rank) in self.automaton.iter(text[base : base + WINDOW + self.longest - 1]):
-            if (start := end - length + 1) < len(found):
-                found[start].append((length, rank))
-        return found
+    def longest_match(self, text: str, start: int, most: int) -> tuple[int, int]:
+        """Length and rank of the longest token of at most ``most`` bytes that stands at ``start``; (0, -1) if none does."""
+        size = self.automaton.longest_prefix(text[start : start + most]) if most > 0 else 0
+        while size:
+            rank = self.latin.get(text[start : start + size])
+            if rank is not None:
+                return size, rank
+            size -= 1
+        return 0, -1
 
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         text, n = piece.decode("latin-1"), len(piece)
-        windows: dict[int, list] = {}
-
-        def at(position: int) -> list[tuple[int, int]]:
-            key = position // WINDOW
-            if key not in windows:
-                if len(windows) > 3:
-                    del windows[min(windows)]
-                windows[key] = self.starts(text, key)
-            return windows[key][position % WINDOW]
-
-        dead = bytearray(n + 1)
-        path: list[tuple[int, int]] = []  # rank, index among the tokens of its start
-        position, choice = 0, None
+        dead, path = bytearray(n + 1), []
+        position, most = 0, self.longest
         while position < n:
-            options = at(position)
-            choice = len(options) - 1 if choice is None else choice
-            before = path[-1][0] if path else None
-            while choice >= 0:
-                length, rank = options[choice]
-                if not dead[position + length] and (before is None or self.together(before, rank)):
-                    break
-                choice -= 1
-            if choice >= 0:
-                path.append((rank, choice))
-                position, choice = position + length, None
-            else:
+            size, rank = self.longest_match(text, position, most)
+            while size and (dead[position + size] or path and not self.together(path[-1], rank)):
+                size, rank = self.longest_match(text, position, size - 1)
+            if size:
+                path.append(rank)
+                position, most = position + size, self.longest
+            else:  # nothing goes on from here: back to a shorter token before
                 dead[position] = 1
-                rank, choice = path.pop()
-                position -= len(self.tokens[rank])
-                choice -= 1
-        return [rank for rank, _ in path]
+                size = len(self.tokens[path.pop()])
+                position, most = position - size, size - 1
+        return path
 
     def encode(self, text: str) -> list[int]:
+        """Ids of a text; the memos keep what comes first, which is most frequent."""
         ids: list[int] = []
-        known, pieces = self.stretches, self.pattern.findall
+        known, memo, pieces = self.stretches, self.pieces, self.pattern.findall
         for stretch in STRETCH.findall(text):
             got = known.get(stretch)
             if got is None:
-                got = []
+                got = ()
                 for piece in pieces(stretch):
-                    part = known.get(piece)
+                    part = memo.get(piece)
                     if part is None:
-                        part = self.encode_piece(piece.encode())
-                        if len(piece) <= CACHED_BYTES and len(known) < CACHED_STRETCHES and piece != stretch:
-                            known[piece] = part
+                        part = tuple(self.encode_piece(piece.encode()))
+                        if len(memo) < CACHED_PIECES and len(piece) <= CACHED_BYTES:
+                            memo[piece] = part
                     got += part
-                if len(stretch) <= CACHED_BYTES and len(known) < CACHED_STRETCHES:
+                if len(known) < CACHED_STRETCHES and len(stretch) <= CACHED_BYTES:
                     known[stretch] = got
             ids += got
         return ids
