@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
+from lakelens.functions import vectors as V
 
 # ---- fixed values: texts and thresholds that decide results ----
 INSUFFICIENT = "Based on the provided documentation, I do not have enough information to answer this question."
@@ -61,18 +62,32 @@ def rag_query(queries: DataFrame, found: DataFrame, max_tokens: int = 4000, mode
     return rows.select("query_id", "query", "context", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), answer.alias("answer"))
 
 
-def with_grounding(pairs: DataFrame, claim: str = "claim", content: str = "content") -> DataFrame:
-    """Adds grounding_score: recall, Jaccard and bigram overlap of a claim's words in a chunk, scaled by its numbers."""
+def grounding_features(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds a struct of a text's content words, token bigrams and numbers, so that a join repeats no tokenizing."""
+    value = F.col(text)
+    rows = df.select("*", T.grounding_tokens(value).alias("_t"))
+    words = T.content_words(F.col("_t"), T.STOPWORDS)
+    return rows.select("*", F.struct(words.alias("words"), T.bigrams(F.col("_t")).alias("bigrams"), T.grounding_numbers(value).alias("numbers")).alias(name)).drop("_t")
+
+
+def grounding_of(claim: str, content: str) -> Column:
+    """Recall, Jaccard and bigram overlap of a claim's features in a content's, scaled by the claim's numbers found."""
     c, d = F.col(claim), F.col(content)
-    rows = pairs.select("*", T.grounding_words(c).alias("_cw"), T.grounding_words(d).alias("_dw"), T.grounding_tokens(c).alias("_ct"), T.grounding_tokens(d).alias("_dt"), T.grounding_numbers(c).alias("_cn"), T.grounding_numbers(d).alias("_dn"))
-    rows = rows.select("*", T.bigrams(F.col("_ct")).alias("_cb"), T.bigrams(F.col("_dt")).alias("_db"))
-    shared = F.size(F.array_intersect("_cw", "_dw"))
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
-    base = 0.55 * ratio(shared, F.size("_cw")) + 0.25 * ratio(shared, F.size(F.array_union("_cw", "_dw"))) + 0.20 * ratio(F.size(F.array_intersect("_cb", "_db")), F.size("_cb"))
-    numbers = F.when(F.size("_cn") > 0, F.size(F.array_intersect("_cn", "_dn")) / F.size("_cn")).otherwise(F.lit(1.0))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(base * (0.5 + 0.5 * numbers), 4)))
-    rows = rows.withColumn("grounding_score", F.when(F.size("_cw") == 0, F.lit(1.0)).otherwise(score))
-    return rows.drop("_cw", "_dw", "_ct", "_dt", "_cn", "_dn", "_cb", "_db")
+
+    def score(shared: Column) -> Column:
+        union = F.size(c["words"]) + F.size(d["words"]) - shared
+        base = 0.55 * ratio(shared, F.size(c["words"])) + 0.25 * ratio(shared, union) + 0.20 * ratio(F.size(F.array_intersect(c["bigrams"], d["bigrams"])), F.size(c["bigrams"]))
+        numbers = F.when(F.size(c["numbers"]) > 0, F.size(F.array_intersect(c["numbers"], d["numbers"])) / F.size(c["numbers"])).otherwise(F.lit(1.0))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(base * (0.5 + 0.5 * numbers), 4)))
+
+    return F.when(F.size(c["words"]) == 0, F.lit(1.0)).otherwise(V.let(F.size(F.array_intersect(c["words"], d["words"])), score))
+
+
+def with_grounding(pairs: DataFrame, claim: str = "claim", content: str = "content") -> DataFrame:
+    """Adds grounding_score to rows that hold both texts."""
+    rows = grounding_features(grounding_features(pairs, claim, "_claim"), content, "_chunk")
+    return rows.withColumn("grounding_score", grounding_of("_claim", "_chunk")).drop("_claim", "_chunk")
 
 
 def best_quote(claim: Column, content: Column) -> Column:

@@ -251,7 +251,9 @@ def bigrams_sql(tokens: str) -> str:
 def grounding_score(spark, sf):
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim"), (F.col("item_id") % 40).alias("k"))
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), (F.col("doc_id") % 40).alias("k"))
-    return rag.with_grounding(docs.join(retrieve.small(items), "k")).select("item_id", "doc_id", "grounding_score")
+    claims = rag.grounding_features(items, "claim", "c").select("item_id", "k", "c")
+    pairs = rag.grounding_features(docs, "content", "d").select("doc_id", "k", "d").join(retrieve.small(claims), "k")
+    return pairs.select("item_id", "doc_id", rag.grounding_of("c", "d").alias("grounding_score"))
 
 
 KEYS = ["", "call 212-555-0187 now ", "key sk-abcdefghij0123456789ABCD ", "mail a.b@example.com ", "id 123-45-6789 "]
