@@ -225,6 +225,54 @@ def test_op9_similar_texts_stay_once(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
 
 
+def brute_stays(rows):
+    """doc_ids that stay if links are exact Jaccard similarities of 0.8 of five-word shingle sets."""
+    sets = {}
+    for i, text in rows:
+        w = text.encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            size = min(len(sets[a]), len(sets[b])) / max(len(sets[a]), len(sets[b]))
+            if b > a and root[a] != root[b] and size >= 0.8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_pipeline_near_dedup_equals_brute_force(spark, monkeypatch):
+    """Repeated lines link nothing, and pairs about a similarity of 0.8 are decided exactly; in one tile and in many."""
+    rng = random.Random(8)
+    prose = lambda n: [f"word{rng.randrange(5000)}" for _ in range(n)]
+    line = prose(13)
+    texts_ = [prose(304) + line * 20, prose(304) + line * 20, prose(1000) + line * 50]
+    for n in (8, 9, 40, 150, 300):
+        for changes in (*range(1, 10), 12, 15):
+            base = prose(n)
+            near = list(base)
+            for k in rng.sample(range(n), min(n, changes)):
+                near[k] = "other"
+            texts_ += [base, near, base[: n - changes] if n > changes else base]
+    chain = prose(200)
+    for k in range(12):
+        texts_.append([*chain])
+        chain[k * 16] = f"new{k}"
+    rows = list(enumerate(map(" ".join, texts_)))
+    want = brute_stays(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, TINY).collect())
+    assert kept() == want and {0, 1, 2} <= set(want) and len(want) < len(rows)
+    monkeypatch.setattr(simhash, "SETS", 2)
+    assert kept() == want
+
+
+def test_pipeline_near_dedup_on_documents(spark):
+    rows = sorted(texts(spark).items())
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, TINY).collect()) == brute_stays(rows)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
