@@ -268,7 +268,7 @@ KEYS = ["", "call 212-555-0187 now ", "key sk-abcdefghij0123456789ABCD ", "mail
 )
 def pii_counts(spark, sf):
     probe = F.get(F.array(*(F.lit(k) for k in KEYS)), (F.col("doc_id") % len(KEYS)).cast("int"))
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(probe, F.substring("text", 1, 20000)).alias("t"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(probe, "text").alias("t"))
     n = lambda p: F.regexp_count("t", F.lit(p)).cast("long")
     return rows.select("doc_id", n(guardrails.EMAIL).alias("emails"), n(guardrails.PHONE).alias("phones"), (n(guardrails.API_KEYS[0]) + n(guardrails.API_KEYS[1]) + n(guardrails.API_KEYS[2])).alias("api_keys"))
 
