@@ -10,7 +10,7 @@ from lakelens.functions import text as T
 from lakelens.operators import evaluate, experiments, rag, retrieve, security, telemetry
 from lakelens.plans import sqlguard
 from lakelens.queries.common import micros, query, table
-from lakelens.queries.texts import sql_words
+from lakelens.queries.texts import as_chunks, sql_words
 from lakelens.streaming import limits
 
 EVAL_TOKENS = "list_transform(regexp_extract_all(%s, '[\\p{L}\\p{N}_]+'), lambda x: lower(x))"
@@ -20,12 +20,20 @@ def eval_words_sql(column: str) -> str:
     return f"list_filter(list_distinct({EVAL_TOKENS % column}), lambda w: len(w) > 1 AND NOT list_contains({sql_words(T.EVAL_STOPWORDS)}, w))"
 
 
+def ranked_documents(spark, sf, k: int):
+    """query_id, rank and content of the k documents that BM25 over all documents ranks best for each whole item."""
+    docs = as_chunks(spark, sf).select("chunk_id", "content")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = retrieve.bm25_search(queries, docs, k).select("query_id", "chunk_id", "rank")
+    return docs.join(F.broadcast(hits) if retrieve.fits(queries, k) else hits, "chunk_id").select("query_id", "rank", "content")
+
+
 def samples(spark, sf):
-    """Items as ground truths; the four documents of the same id modulo 40 (and the lowest ids) as their contexts."""
-    docs = table(spark, sf, "documents").filter("doc_id < 160").select((F.col("doc_id") % 40).alias("k"), F.struct("doc_id", F.concat_ws(" ", F.substring("text", 1, 3000)).alias("t")).alias("d"))
-    contexts = docs.groupBy("k").agg(F.array_sort(F.collect_list("d")).alias("c")).select("k", F.transform("c", lambda x: x["t"]).alias("contexts"))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("ground_truth"), (F.col("item_id") % 40).alias("k"))
-    return items.join(retrieve.small(contexts), "k").select("sample_id", F.substring("ground_truth", 1, 60).alias("query"), F.lit(None).cast("string").alias("answer"), "ground_truth", "contexts")
+    """Items as ground truths; the whole texts of the four documents that BM25 ranks best for them as their contexts."""
+    contexts = ranked_documents(spark, sf, 4).groupBy(F.col("query_id").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("ground_truth"))
+    texts = F.coalesce(F.transform("c", lambda x: x["content"]), F.array().cast("array<string>"))
+    return items.join(contexts, "sample_id", "left").select("sample_id", F.substring("ground_truth", 1, 60).alias("query"), F.lit(None).cast("string").alias("answer"), "ground_truth", texts.alias("contexts"))
 
 
 @query(
@@ -232,9 +240,9 @@ def key_validation(spark, sf):
 
 @query("verify_answers")
 def verify_answers(spark, sf):
-    """Items answered by their own words with citations of two documents each."""
+    """Items answered by their own words with citations of the two documents that BM25 ranks best for each."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("item_id").alias("query_id"), F.concat("text", F.lit(" It holds [Source 1]. This one is invented entirely [Source 2].")).alias("answer"))
-    sources = table(spark, sf, "documents").filter("doc_id < 80").select((F.col("doc_id") % 40).alias("query_id"), (F.floor(F.col("doc_id") / 40) + 1).cast("int").alias("source_index"), F.col("text").alias("content"))
+    sources = ranked_documents(spark, sf, 2).select("query_id", F.col("rank").cast("int").alias("source_index"), "content")
     return rag.verify_answers(items, sources)
 
 
