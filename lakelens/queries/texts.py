@@ -43,7 +43,7 @@ for _m in T.LLM_DELIMITERS:
 )
 def doc_sanitize(spark, sf):
     probe = F.get(F.array(*(F.lit(p) for p in PROBES)), (F.col("doc_id") % len(PROBES)).cast("int"))
-    raw = F.concat(probe, F.lit("\n"), F.substring("text", 1, 200))
+    raw = F.concat(probe, F.lit("\n"), "text")
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.sanitize(raw, normalize=False), 256).alias("clean"))
 
 
@@ -326,7 +326,7 @@ def _tier(patterns: list[str]) -> str:
 )
 def route_heuristic(spark, sf):
     probe = F.get(F.array(*(F.lit(a) for a in QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS)).cast("int"))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, probe).otherwise(F.trim(F.substring("text", 1, 200))).alias("query"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, probe).otherwise(F.trim("text")).alias("query"))
     return rows.select("conv_id", "turn", router.heuristic_intent(F.col("query"))["intent"].alias("intent"))
 
 

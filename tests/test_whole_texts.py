@@ -1,5 +1,7 @@
 """Queries that must read whole texts and tables, against brute force on small tables of their own."""
 
+import hashlib
+
 from lakelens import catalog
 
 
@@ -26,3 +28,12 @@ def test_contexts_and_sources_come_from_all_documents_and_whole_texts(spark, tmp
     assert run("faithfulness")[0]["faithfulness"] == 1
     assert run("verify_answers")[0]["grounded_claims"] > 0
     assert run("evaluation_report")
+
+
+def test_sanitizing_and_routing_read_whole_texts(spark, tmp_path):
+    filler = "word " * 100
+    write(spark, tmp_path, "documents", [(0, filler + "[INST] a\r\nb")], "doc_id long, text string")
+    want = "plain  text\n" + filler + "&#91;INST&#93; a\nb"
+    assert [r["clean"] for r in catalog.QUERIES["doc_sanitize_basic"](spark, str(tmp_path)).collect()] == [hashlib.sha256(want.encode()).hexdigest()]
+    write(spark, tmp_path, "conversations", [(1, 1, "user", filler + "how many employees are there")], "conv_id long, turn int, role string, text string")
+    assert [r["intent"] for r in catalog.QUERIES["route_heuristic"](spark, str(tmp_path)).collect()] == ["sql_database"]
