@@ -1,24 +1,27 @@
 """Suffix-array dedup: every byte covered by a LENGTH-byte string that also starts elsewhere is found and removed.
 
-A family of suffix indexes of geometrically growing size (SuffixFamily) does the matching: a new batch of suffixes gets an
-array sorted by the fingerprint of its first LENGTH bytes, is merge-scanned against the array of every level for long
-matches, and becomes a level; levels of about equal size merge. Sorting by fingerprint instead of by bytes keeps equal
-beginnings together, which is all that matches of LENGTH bytes need, and costs 16 bytes a suffix.
-
-Only suffixes that can match are indexed. Each LENGTH-byte window is assigned the leftmost least hash of the 8-byte strings
-that begin in its first WINDOW positions, its anchor; windows of one anchor are a run, and equal windows have anchors at
-the same place in them, followed by the same CORE bytes. Anchors whose CORE bytes occur once are dropped. If an anchor's
-whole context (all bytes that windows of the anchor can hold) occurs twice, all its windows do. What is left, around
-the ends of repeated passages, goes with its bytes to the suffix families, one for each part of the core hashes. A core
-with more than HOT_CORE different contexts is split further by what groups of eight windows have in common, so that a
-passage that a third of all documents share is indexed by many tasks.
+A family of suffix arrays of geometrically growing size (SuffixFamily) does the matching: the suffixes of a new batch are
+sorted by their bytes, the sorted batch is merge-scanned against the array of every level for matches of LENGTH bytes,
+and becomes a level; levels of about equal size merge. Bytes decide, hashes only route:
+
+Each LENGTH-byte window is assigned the leftmost least hash of the 8-byte strings that begin in its first WINDOW
+positions, its anchor; windows of one anchor are a run, and equal windows have anchors at the same place in them, followed
+by the same CORE bytes. Runs go to the family of their core's hash, and suffixes are sorted by core and place of the
+anchor first, then by bytes, so that only windows that can be equal are ever compared. A run whose core occurs once has no
+equal windows and goes nowhere. Of runs whose whole context (all bytes that windows of the anchor can hold) is the same
+by a hash of 128 bits, two are indexed and compared byte by byte; all further ones are repeated as those are.
+
+A core with more than HOT_CORE different contexts is split further by what groups of eight windows have in common, so
+that a passage that a third of all documents share is indexed by many tasks; of the contexts of a batch of texts that
+repeat, only two leave the task that reads them. There are more tasks the more runs there are (TASK_RUNS).
 
 Texts are shuffled once, by document. Texts that have a copy are told by their digest and go whole; a task indexes one of
-its copies, so a group of them is indexed at most once a task. All grouping is by hashes of content, so no document pairs
-or all-pairs of a group are made.
+its copies, so a group of them is indexed at most once a task. No document pairs or all-pairs of a group are made.
 
 Defined results: null or empty text has nothing to remove; repeated rows count as elsewhere, so texts of LENGTH bytes and
-more that have a copy are removed whole; an empty table gives no rows; null doc_ids are kept; extra columns are ignored.
+more that have a copy are removed whole; texts of any length are handled in pieces of PIECE bytes, as if whole; ties (equal
+windows, equal hashes of 8 bytes) go to the leftmost and change no result; an empty table gives no rows; null doc_ids are
+kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ GRAM = 8
 GROUP = 8
 HOT_CORE = 5000
 BATCH_SUFFIXES = 1 << 17
+BATCH_RUNS = 1 << 19
+TASK_RUNS = 1 << 17
+PIECE = 1 << 21
 REMEMBERED_TEXTS = 200_000
 NO_ID = -(1 << 63)
 
@@ -52,7 +58,7 @@ BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 ANCHORS = "core long, full long, rep long, c1 long, run long, weight int"
 SPANS = "rep long, c1 long, begin long, end long"
-SUFFIXES = "part long, core long, rep long, c1 long, begin long, open boolean, bytes binary"
+SUFFIXES = "part long, core long, rep long, c1 long, begin long, ahead int, bytes binary"
 KEPT = "rep long, c1 long, digest string, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -84,8 +90,27 @@ class Hashes:
         return (self.sums[end - GRAM + 1] - self.sums[begin]) * self.inverse[begin]
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """Anchor, first and last window of each run, core hash and context hash, for data of at least LENGTH bytes."""
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchor, first and last window of each run, core hash and context hash, for data of at least LENGTH bytes.
+
+    Long data are looked at in pieces of PIECE bytes with margins, cut between runs, so memory is bounded.
+    """
+    total, window = len(data), 0
+    while True:
+        begin = max(0, window - WINDOW)
+        at, first, last, core, full = _anchors(data[begin : begin + PIECE])
+        at, first, last = at + begin, first + begin, last + begin
+        use = first >= window
+        rest = begin + PIECE < total
+        if rest:
+            use &= (at + LENGTH <= begin + PIECE) & (np.arange(len(at)) < len(at) - 1)
+        yield at[use], first[use], last[use], core[use], full[use]
+        if not rest:
+            return
+        window = int(last[use][-1]) + 1
+
+
+def _anchors(data: bytes) -> tuple[np.ndarray, ...]:
     n, hashes = len(data), Hashes(data)
     places = n - LENGTH + WINDOW
     least = (hashes.grams[:places] & U(0xFFFFFFFF00000000)) | np.arange(places, dtype=U)  # ties: the leftmost
@@ -114,59 +139,76 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]
 
 
+def first_two(core: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Whether a run is the first or second of its context."""
+    order = np.argsort(core * MIX_A ^ full, kind="stable")
+    c, f = core[order], full[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])))
+    nth = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.empty(len(order), bool)
+    out[order] = nth < 2
+    return out
+
+
 def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each document, one row for each (core, context); run packs anchor and window range.
+    """Runs of the texts' anchors; run packs anchor and window range.
 
-    Contexts that a document repeats are found here: one row stands for them with weight 2, and the windows of all of
-    them are given as rows of weight 0 whose core is scattered, so they only pass through.
+    Of the runs of one context that a batch repeats, two go on; the bytes that windows of the others cover are given as
+    rows of weight 0, whose core is scattered, so they only pass through.
     """
     schema, seen = arrow_schema(ANCHORS), set()
-    for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in schema]
 
-        def add(*values: np.ndarray, to: list[list[np.ndarray]] = columns) -> None:
-            for column, value in zip(to, values, strict=True):
-                column.append(value)
+    def rows(found: list[tuple], reps: list[int], c1s: list[int]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        at, first, last, core, full = (np.concatenate(c) for c in zip(*found, strict=True))
+        rep, c1 = np.array(reps, np.int64), np.array(c1s, np.int64)
+        keep = first_two(core, full)
+        begin, end = merged(first[~keep] + (of[~keep] << 32), last[~keep] + LENGTH + (of[~keep] << 32))
+        owner, begin, end = begin >> 32, begin & 0xFFFFFFFF, end & 0xFFFFFFFF
+        scattered = ((begin.astype(U) + c1[owner].view(U)) * MIX_A).view(np.int64)
+        run, of = (at << 16 | (at - first) << 8 | (at - last))[keep], of[keep]
+        n, m = len(of), len(owner)
+        columns = (core[keep].view(np.int64), scattered), (full[keep].view(np.int64), end), (rep[of], rep[owner]), (c1[of], c1[owner]), (run, begin), (np.ones(n, np.int32), np.zeros(m, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    for batch in batches:
+        found, reps, c1s, size = [], [], [], 0
         for rep, c1, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if len(data) < LENGTH or (digest := hashlib.md5(data).digest()) in seen:
                 continue  # texts with a copy go whole, so one of a task's copies is enough for others to match
             if len(seen) < REMEMBERED_TEXTS:
                 seen.add(digest)
-            at, first, last, core, full = anchors(data)
-            _, once, which, count = np.unique(core * MIX_A ^ full, return_index=True, return_inverse=True, return_counts=True)
-            run = at << 16 | (at - first) << 8 | (at - last)
-            if len(once) < len(at):
-                again = count[which] > 1
-                begin, end = merged(first[again], last[again] + LENGTH)
-                n = len(begin)
-                scattered = ((begin.astype(U) + U(c1 & ((1 << 64) - 1))) * MIX_A).view(np.int64)
-                add(scattered, end, np.full(n, rep), np.full(n, c1), begin, np.zeros(n, np.int32))
-                core, full, run = core[once], full[once], run[once]
-            add(core.view(np.int64), full.view(np.int64), np.full(len(run), rep), np.full(len(run), c1), run, np.minimum(2, count).astype(np.int32))
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for piece in anchors(data):
+                found.append(piece)
+                reps.append(rep)
+                c1s.append(c1)
+                size += len(piece[0])
+                if size >= BATCH_RUNS:
+                    yield rows(found, reps, c1s)
+                    found, reps, c1s, size = [], [], [], 0
+        if found:
+            yield rows(found, reps, c1s)
 
 
 def map_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs that the hashes left open; hot cores are cut in groups of windows with a part of their own."""
+    """The bytes of the runs to index; hot cores are cut in groups of windows with a part of their own."""
     schema = arrow_schema(SUFFIXES)
     for batch in batches:
         rows = []
         for rep, c1, data, work in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for i in range(0, len(work), 3):
-                core, run, flags = work[i : i + 3]
+                core, run, hot = work[i : i + 3]
                 at = run >> 16
                 first, last = at - (run >> 8 & 255), at - (run & 255)
-                if not flags & 2:
-                    rows.append((core, core, rep, c1, first, bool(flags & 1), data[first : last + LENGTH]))
+                if not hot:
+                    rows.append((core, core, rep, c1, first, at - first, data[first : last + LENGTH]))
                     continue
                 # groups are counted from the anchor, so equal windows are in groups with equal common bytes
                 for group in range((at - last) // GROUP, (at - first) // GROUP + 1):
                     a, b = max(first, at - group * GROUP - GROUP + 1), min(last, at - group * GROUP)
                     common = data[at - group * GROUP : at - group * GROUP - GROUP + 1 + LENGTH]
                     digest = hashlib.blake2b(common, digest_size=8, key=group.to_bytes(2, "little")).digest()
-                    rows.append((int.from_bytes(digest, "little", signed=True), core, rep, c1, a, bool(flags & 1), data[a : b + LENGTH]))
+                    rows.append((int.from_bytes(digest, "little", signed=True), core, rep, c1, a, at - a, data[a : b + LENGTH]))
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -174,27 +216,79 @@ def map_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-class Level:
-    """Distinct suffix beginnings in fingerprint order, each with a check hash and the number of one suffix (or -1)."""
+class Suffixes:
+    """Places in ``data`` where suffixes begin, each with the route on which equal ones meet."""
+
+    def __init__(self, data: bytes, at: np.ndarray, route: np.ndarray):
+        self.data, self.at, self.route = data, at, route
+        self.words = np.ndarray(max(0, len(data) - GRAM + 1), "<u8", data, 0, (1,))
+
+    def word(self, k: int, which: np.ndarray) -> np.ndarray:
+        """The k-th eight bytes of some suffixes, as numbers in the order of the bytes."""
+        return self.words[self.at[which] + GRAM * k].byteswap()
+
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes by route and first LENGTH bytes, and which of them, in that order, differ from the one before."""
+        order = np.argsort(self.route, kind="stable")
+        route = self.route[order]
+        new = np.concatenate(([True], route[1:] != route[:-1]))
+        tied = np.arange(len(order))
+        for k in range(LENGTH // GRAM):
+            alone = new & np.concatenate((new[1:], [True]))
+            tied = tied[~alone[tied]]
+            if not len(tied):
+                break
+            key, group = self.word(k, order[tied]), np.cumsum(new[tied])
+            inside = group[1:] == group[:-1]
+            apart = inside & (key[1:] != key[:-1])
+            if not apart.any():
+                continue
+            mixed = np.isin(group, group[1:][apart])  # groups of ties that this word sorts
+            part, key = tied[mixed], key[mixed]
+            by = np.lexsort((key, group[mixed]))
+            order[part], key = order[part][by], key[by]
+            new[part[1:][(group[mixed][1:] == group[mixed][:-1]) & (key[1:] != key[:-1])]] = True
+        return order, new
 
-    def __init__(self, key: np.ndarray, check: np.ndarray, suffix: np.ndarray):
-        self.key, self.check, self.suffix = key, check, suffix
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Place of each sought beginning, or -1; both sides are sorted, so this is a merge scan."""
-        at = np.searchsorted(self.key, key)
-        found = np.full(len(key), -1)
-        open_ = np.flatnonzero(at < len(self.key))
+class Level:
+    """A sorted array of different suffix beginnings, with the number of one suffix of each (or -1)."""
+
+    def __init__(self, suffixes: Suffixes, owner: np.ndarray):
+        self.suffixes, self.owner = suffixes, owner
+
+    def find(self, sought: Suffixes) -> np.ndarray:
+        """Place of each sought beginning, or -1; both sides are sorted: a merge scan by route, then by bytes."""
+        mine = self.suffixes
+        low = np.searchsorted(mine.route, sought.route)
+        found = np.full(len(low), -1)
+        open_ = np.flatnonzero(low < len(mine.route))
+        open_ = open_[mine.route[low[open_]] == sought.route[open_]]
+        low, high = low[open_], np.searchsorted(mine.route, sought.route[open_], side="right")
         while len(open_):
-            open_ = open_[self.key[at[open_]] == key[open_]]
-            hit = self.check[at[open_]] == check[open_]
-            found[open_[hit]] = at[open_[hit]]
-            open_ = open_[~hit]
-            at[open_] += 1  # another beginning with the same fingerprint
-            open_ = open_[at[open_] < len(self.key)]
+            middle = (low + high) // 2
+            side = compare(mine, middle, sought, open_)
+            found[open_[side == 0]] = middle[side == 0]
+            low, high = np.where(side < 0, middle + 1, low), np.where(side > 0, middle, high)
+            go_on = (side != 0) & (low < high)
+            open_, low, high = open_[go_on], low[go_on], high[go_on]
         return found
 
 
+def compare(a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the first LENGTH bytes of suffixes ``i`` of ``a`` are less than, equal to or greater than ``j`` of ``b``."""
+    out, open_ = np.zeros(len(i), np.int8), np.arange(len(i))
+    for k in range(LENGTH // GRAM):
+        x, y = a.word(k, i[open_]), b.word(k, j[open_])
+        differ = x != y
+        if differ.any():
+            out[open_[differ]] = np.where(x[differ] < y[differ], -1, 1)
+            open_ = open_[~differ]
+            if not len(open_):
+                break
+    return out
+
+
 class SuffixFamily:
     """Levels of geometrically growing size; ``add`` gives the suffixes, old and new, now known to be repeated."""
 
@@ -202,37 +296,35 @@ class SuffixFamily:
         self.levels: list[Level] = []
         self.n = 0
 
-    def add(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    def add(self, batch: Suffixes) -> np.ndarray:
         """Numbers of the suffixes, counted over all batches, that this batch shows to be repeated."""
-        number = np.arange(self.n, self.n + len(key))
-        self.n += len(key)
-        order = np.lexsort((check, key))
-        key, check, number = key[order], check[order], number[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])))
-        group = np.cumsum(new) - 1
+        number = np.arange(self.n, self.n + len(batch.at))
+        self.n += len(batch.at)
+        order, new = batch.order()
+        number, group = number[order], np.cumsum(new) - 1
         repeated = np.bincount(group) > 1
-        head_key, head_check, head = key[new], check[new], number[new].copy()
-        known, told = np.zeros(len(head), bool), []
+        heads = Suffixes(batch.data, batch.at[order][new], batch.route[order][new])
+        owner, known, told = number[new].copy(), np.zeros(len(heads.at), bool), []
         for level in self.levels:
-            at = level.find(head_key, head_check)
+            at = level.find(heads)
             hit = at >= 0
             known |= hit
-            owners = level.suffix[at[hit]]
+            owners = level.owner[at[hit]]
             told.append(owners[owners >= 0])
-            level.suffix[at[hit]] = -1
+            level.owner[at[hit]] = -1
         told.append(number[(repeated | known)[group]])
-        head[repeated | known] = -1
-        fresh = ~known
-        self._push(Level(head_key[fresh], head_check[fresh], head[fresh]))
+        owner[repeated | known] = -1
+        self._push(Level(Suffixes(heads.data, heads.at[~known], heads.route[~known]), owner[~known]))
         return np.concatenate(told)
 
     def _push(self, level: Level) -> None:
         self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2].key) < 2 * len(self.levels[-1].key):
+        while len(self.levels) > 1 and len(self.levels[-2].owner) < 2 * len(self.levels[-1].owner):
             b, a = self.levels.pop(), self.levels.pop()
-            key = np.concatenate([a.key, b.key])
-            order = np.argsort(key, kind="stable")  # two sorted runs: a merge
-            self.levels.append(Level(key[order], np.concatenate([a.check, b.check])[order], np.concatenate([a.suffix, b.suffix])[order]))
+            data = a.suffixes.data + b.suffixes.data
+            both = Suffixes(data, np.concatenate([a.suffixes.at, b.suffixes.at + len(a.suffixes.data)]), np.concatenate([a.suffixes.route, b.suffixes.route]))
+            order, _ = both.order()
+            self.levels.append(Level(Suffixes(data, both.at[order], both.route[order]), np.concatenate([a.owner, b.owner])[order]))
 
 
 def map_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +335,16 @@ def map_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
         nonlocal owners, edges
-        cores, reps, c1s, begins, _, data = (list(c) for c in zip(*rows, strict=True))
+        cores, reps, c1s, begins, ahead, data = (list(c) for c in zip(*rows, strict=True))
         sizes = np.array(list(map(len, data)))
-        joined, ends = b"".join(data), np.cumsum(sizes)
-        counts = sizes - LENGTH + 1
+        ends, counts = np.cumsum(sizes), sizes - LENGTH + 1
         of = np.repeat(np.arange(len(rows)), counts)
-        start = np.arange(len(of)) - (np.cumsum(counts) - counts)[of] + (ends - sizes)[of]
-        key = Hashes(joined, BASES[0]).of(start, start + LENGTH)
-        check = Hashes(joined, BASES[1], 0x5DEECE66D).of(start, start + LENGTH) ^ np.array(cores, np.int64).view(U)[of] * MIX_B
+        nth = np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+        place = (np.array(ahead)[of] - nth).astype(U)  # from the window's start to its anchor
+        route = (np.array(cores, np.int64).view(U)[of] ^ place * MIX_A) * MIX_B
         owners = [np.concatenate([o, np.array(v, np.int64)]) for o, v in zip(owners, (reps, c1s, begins), strict=True)]
         edges = np.concatenate([edges, edges[-1] + np.cumsum(counts)])
-        told = np.sort(family.add(key, check))
+        told = np.sort(family.add(Suffixes(b"".join(data), nth + (ends - sizes)[of], route)))
         if not len(told):
             return None
         run = np.searchsorted(edges, told, side="right") - 1
@@ -278,8 +369,17 @@ def map_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each document after its spans go."""
+def to_characters(data: bytes, begin: int, end: int) -> tuple[int, int]:
+    """A span widened to whole UTF-8 characters."""
+    while begin and begin < len(data) and 0x80 <= data[begin] < 0xC0:
+        begin -= 1
+    while end < len(data) and 0x80 <= data[end] < 0xC0:
+        end += 1
+    return begin, end
+
+
+def map_removal(batches: Iterator[pa.RecordBatch], characters: bool = False) -> Iterator[pa.RecordBatch]:
+    """What is left of each document after its spans go; with ``characters``, a character goes whole if a part of it does."""
     schema = arrow_schema(KEPT)
     for batch in batches:
         rows = []
@@ -288,6 +388,7 @@ def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end = merged(packed >> 32, packed & 0xFFFFFFFF)
             kept, at = [], 0
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                a, b = to_characters(data, a, b) if characters else (a, b)
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
@@ -297,10 +398,11 @@ def map_removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, batch.column(4)], names=[*schema.names, "rest"])
 
 
-def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None = None, characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, ``kept`` (an expression over the kept bytes) and rest for every row of ``docs``.
 
-    rest is a struct of the columns named in ``carry``, taken along in the one shuffle of texts.
+    rest is a struct of the columns named in ``carry``, taken along in the one shuffle of texts. With ``characters`` no
+    character is cut: what is kept loses those of which a part is removed (the counts are those of the bytes).
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = F.struct(*(docs[c] for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
@@ -308,25 +410,27 @@ def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None
     texts = texts.select("rep", F.xxhash64("bytes").alias("c1"), "bytes", "rest")
     kept_schema = StructType([*StructType.fromDDL(KEPT), texts.schema["rest"]])
 
-    # runs that the hashes decide, and those they leave open
+    # two runs of each context go to the family of their core; those beyond are repeated as these are
     same, core = Window.partitionBy("core", "full"), Window.partitionBy("core")
     judged = map_arrow(texts.select("rep", "c1", "bytes"), map_anchors, ANCHORS).repartition(n, "core")
-    judged = judged.select("*", F.sum("weight").over(same).alias("times"), F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
-    judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.max(((F.col("times") == 1) & (F.col("weight") == 1)).cast("int")).over(core).alias("any_open"))
+    judged = judged.select("*", F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
+    judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.count("*").over(core).alias("runs"))
     span = F.expr(f"""case when weight = 0 then shiftleft(run, 32) | full
-                      when times > 1 then shiftleft((run >> 16) - ((run >> 8) & 255), 32) | ((run >> 16) - (run & 255) + {LENGTH}) end""")
-    work = F.when(F.expr("weight > 0 and nth = 1 and contexts > 1 and any_open = 1"), F.struct("core", "run", F.expr(f"if(times = 1, 1, 0) + if(contexts > {HOT_CORE}, 2, 0)").alias("flags")))
+                      when nth > 2 then shiftleft((run >> 16) - ((run >> 8) & 255), 32) | ((run >> 16) - (run & 255) + {LENGTH}) end""")
+    work = F.when(F.expr("weight > 0 and nth <= 2 and runs > 1"), F.struct("core", "run", F.expr(f"if(contexts > {HOT_CORE}, 1L, 0L)").alias("hot")))
     judged = judged.select("rep", "c1", span.alias("span"), work.alias("work")).filter("span is not null or work is not null")
     judged = judged.groupBy("rep", "c1").agg(F.collect_list("span").alias("spans"), F.collect_list("work").alias("work"))
-    judged = cut(judged.select("rep", "c1", "spans", F.flatten(F.transform("work", lambda x: F.array(x["core"], x["run"], x["flags"].cast("long")))).alias("work")))
+    judged = cut(judged.select("rep", "c1", "spans", F.flatten(F.transform("work", lambda x: F.array(x["core"], x["run"], x["hot"]))).alias("work")))
+    tasks = max(n, -(-int(judged.agg(F.sum(F.size("work"))).first()[0] or 0) // (3 * TASK_RUNS)))
 
     # the one shuffle of texts, which both uses share
     dealt = texts.repartition(n, "rep", "c1")
     opened = dealt.join(judged.filter("size(work) > 0").select("rep", "c1", "work").hint("shuffle_hash"), ["rep", "c1"])
-    suffixes = map_arrow(opened.select("rep", "c1", "bytes", "work"), map_suffixes, SUFFIXES).repartition(n, "part")
+    suffixes = map_arrow(opened.select("rep", "c1", "bytes", "work"), map_suffixes, SUFFIXES).repartition(tasks, "part")
     spans = map_arrow(suffixes, map_families, SPANS).groupBy("rep", "c1").agg(F.collect_list(F.expr("shiftleft(begin, 32) | end")).alias("found"))
     spans = judged.select("rep", "c1", "spans").join(spans, ["rep", "c1"], "full").select("rep", "c1", F.concat(F.coalesce("spans", F.array().cast("array<long>")), F.coalesce("found", F.array().cast("array<long>"))).alias("spans"))
-    left = map_arrow(dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans", "rest"), map_removal, kept_schema)
+    left = dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans", "rest")
+    left = map_arrow(left, functools.partial(map_removal, characters=characters), kept_schema)
 
     # texts that have a copy go whole
     copied = texts.groupBy(F.md5("bytes").alias("digest")).agg(F.count("*").alias("copies")).filter("copies > 1")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,14 +84,47 @@ def test_op5_query(spark):
 
 
 def test_op5_family_in_batches():
+    """Bytes decide, also where routes are equal by chance; levels are sorted by bytes and grow geometrically."""
     rng = np.random.default_rng(0)
-    keys = rng.integers(0, 3000, 4000).astype(np.uint64)
+    stock = [rng.integers(97, 99, 200).astype(np.uint8).tobytes() for _ in range(700)]
+    stock += [s[:k] + bytes([s[k] ^ 1]) + s[k + 1 :] for s in stock[:300] for k in (199,)]
+    which = rng.integers(0, len(stock), 1500)
     family, told = suffix_dedup.SuffixFamily(), []
-    for part in np.array_split(keys, 23):
-        told += family.add(part, part * np.uint64(7)).tolist()
-    counts = Counter(keys.tolist())
-    assert sorted(told) == [i for i, k in enumerate(keys.tolist()) if counts[k] > 1]
-    assert len(family.levels) <= 14 and all(len(a.key) >= 2 * len(b.key) for a, b in zip(family.levels, family.levels[1:], strict=False))
+    for part in np.array_split(which, 23):
+        at, route = np.arange(len(part)) * 200, (part % 300 % 7).astype(np.uint64)  # few routes, so most are shared
+        told += family.add(suffix_dedup.Suffixes(b"".join(stock[k] for k in part), at, route)).tolist()
+    counts = Counter(which.tolist())
+    assert sorted(told) == [i for i, k in enumerate(which.tolist()) if counts[k] > 1]
+    assert all(len(a.owner) >= 2 * len(b.owner) for a, b in zip(family.levels, family.levels[1:], strict=False))
+    for level in family.levels:
+        s = level.suffixes
+        rows = [(r, s.data[a : a + 200]) for r, a in zip(s.route.tolist(), s.at.tolist(), strict=True)]
+        assert rows == sorted(rows) and len(set(rows)) == len(rows)
+
+
+def test_op5_bytes_decide(monkeypatch):
+    """Runs with one core hash are told apart by bytes, and matches between batches come from the scans of the levels."""
+    schema = pa.schema([("part", pa.int64()), ("core", pa.int64()), ("rep", pa.int64()), ("c1", pa.int64()), ("begin", pa.int64()), ("ahead", pa.int32()), ("bytes", pa.binary())])
+    same, other = b"q" * 100 + b"r" * 110, b"q" * 100 + b"r" * 99 + b"s" * 11
+    rows = [(1, 1, i, i, 50, 20, b) for i, b in enumerate([same, other, same])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    spans = lambda: sorted(tuple(r.values()) for out in suffix_dedup.map_families(iter([batch])) for r in out.to_pylist())
+    want = [(0, 0, 50, 260), (2, 2, 50, 260)]
+    assert spans() == want
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 1)
+    assert spans() == want
+    monkeypatch.setattr(suffix_dedup, "compare", lambda a, i, b, j: np.ones(len(i), np.int8))
+    assert spans() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op5_pieces_of_a_long_text(monkeypatch, seed):
+    rng = random.Random(seed)
+    data = "".join(rng.choice("abcd ") for _ in range(6000)).encode() + b"x" * 1500 + b"ab" * 800
+    whole = [np.concatenate(c) for c in zip(*suffix_dedup.anchors(data), strict=True)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1100)
+    pieces = [np.concatenate(c) for c in zip(*suffix_dedup.anchors(data), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
 
 
 def test_op5_odd_rows(spark):
