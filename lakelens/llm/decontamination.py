@@ -4,17 +4,20 @@ An item's window in a document has as many SHINGLE_WORDS-word shingles as the it
 shorter). Similarity is the weighted Jaccard of the two shingle multisets; at SIMILARITY or more a document is
 contaminated by the item. DataFrame functions only:
 
-1. Documents' shingle hashes are joined with the items' (broadcast while the items' shingles are at most BROADCAST_ROWS).
-   A window of similar content shares shingles, and sliding it right to its next shared shingle loses none, so only
-   windows that begin at a shared shingle and hold enough of them are candidates; nothing is lost by leaving out others.
-2. Candidate windows and items get 64-bit SimHashes of their words. Seven blocks of the fingerprint are indexed with all
-   values up to two bits away, so all fingerprints within RADIUS = 7 * 3 - 1 = 20 bits meet in a block.
-3. Pairs that meet are checked for the radius, then verified exactly on the shingles' texts.
+1. Windows. Items of one size share their windows. A window of similar content shares shingles, and sliding it right to
+   its next shared shingle loses none, so windows of a size that begin at a shingle of any item of that size, and hold
+   enough of such shingles, hold all similar passages; which item they are like is left open. The items' shingles are
+   broadcast while their rows and bytes are few (BROADCAST_ROWS, BROADCAST_BYTES).
+2. Search. Windows and items get 64-bit SimHashes of their words. Seven blocks of the items' fingerprints are indexed with
+   all values up to two bits away, so that all fingerprints of one size within RADIUS = 7 * 3 - 1 = 20 bits meet in a
+   block. Only this index proposes pairs of a window and an item.
+3. Pairs are held to the radius, then verified exactly on the shingles' texts.
 
 Words are runs of letters and digits, lower-cased; punctuation and case do not hide a passage.
 
-Defined results: null or empty texts and texts or items of under SHINGLE_WORDS words match nothing; repeated documents
-give one row for each (doc_id, item_id), that of the best window; null ids are kept as null; extra columns are ignored.
+Defined results: null or empty texts and texts or items of under SHINGLE_WORDS words match nothing; texts of any length
+are searched whole; repeated documents give one row for each (doc_id, item_id), that of the best window, of equally good
+ones the first; null ids are kept as null; an empty table on either side gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ SIMILARITY = 0.8
 BLOCKS = ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))
 FLIPS = 2
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
-#: Items' shingles that may be broadcast; beyond it the same joins run as shuffle joins.
-BROADCAST_ROWS = 2_000_000
+#: Rows and bytes that may be broadcast; beyond either the same joins run as shuffle joins.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,44 +107,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``th`` is a hash of the text, so that (doc_id, th) names a document even where doc_id is null or repeated.
     """
     items = prepared_items(benchmark)
-    shingles = items.select("item_key", "m", F.explode(F.array_distinct(shingle_hashes(F.col("item_words")))).alias("h"))
-    small = items.agg(F.sum("m")).first()[0] or 0
-    hint = F.broadcast if small <= BROADCAST_ROWS else (lambda df: df)
+    shingles = items.select("m", F.explode(shingle_hashes(F.col("item_words"))).alias("h")).distinct()
+    n_items, n_shingles, n_bytes = (x or 0 for x in items.agg(F.count("*"), F.sum("m"), F.sum(F.octet_length(F.array_join("item_words", " ")))).first())
+    as_is = lambda df: df
+    hint = F.broadcast if n_shingles <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else as_is
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = text.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     hashed = keyed.select("doc_id", "th", shingle_hashes(F.col("words")).alias("hashes"))
     places = hashed.select("doc_id", "th", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
-    hits = places.join(hint(shingles), "h").groupBy("doc_id", "th", "n", "item_key", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    hits = places.join(hint(shingles), "h").groupBy("doc_id", "th", "n", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
     # windows of enough shared shingles: the ``need``-th shared one from the start lies inside
     held = F.least("m", "n")
     need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("m") + held) - 1e-9).cast("int")
     starts = F.filter(F.transform("at", lambda p, i: F.when(F.get("at", i + F.col("need") - 1) < p + F.col("held"), F.least(p, F.col("n") - F.col("held")))), lambda p: p.isNotNull())
     windows = hits.select("*", held.alias("held"), need.alias("need")).filter(F.size("at") >= F.col("need"))
-    windows = windows.select("doc_id", "th", "item_key", "held", F.array_distinct(starts).alias("starts")).filter(F.size("starts") > 0)
-    windows = cut(windows)
-    found = windows.count()
-
-    # the texts of documents with candidates, by a second, pruned read
-    by_doc = windows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_key", "held", "starts")).alias("candidates"))
-    by_doc = by_doc.select(F.col("doc_id").alias("k"), F.col("th").alias("k_th"), "candidates")
-    by_doc = F.broadcast(by_doc) if found <= BROADCAST_ROWS // 64 else by_doc
+    windows = cut(windows.select("doc_id", "th", "m", "held", F.array_distinct(starts).alias("starts")).filter(F.size("starts") > 0))
+    found, n_starts = (x or 0 for x in windows.agg(F.count("*"), F.sum(F.size("starts"))).first())
+
+    # the texts of documents with windows, by a second, pruned read
+    by_doc = windows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("m", "held", "starts")).alias("windows"))
+    by_doc = by_doc.select(F.col("doc_id").alias("k"), F.col("th").alias("k_th"), "windows")
+    by_doc = F.broadcast(by_doc) if found * 8 + n_starts <= BROADCAST_ROWS // 2 else by_doc
     again = text.select("doc_id", "text", F.xxhash64("text").alias("th")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("k_th")))
-    again = again.select("doc_id", "th", words_of(F.col("text")).alias("words"), F.explode("candidates").alias("c")).select("doc_id", "th", "words", "c.*")
+    again = again.select("doc_id", "th", words_of(F.col("text")).alias("words"), F.explode("windows").alias("w")).select("doc_id", "th", "words", "w.*")
     window = F.slice(F.col("words"), F.col("start") + 1, F.col("held") + (SHINGLE_WORDS - 1))
-    cut_out = again.withColumn("start", F.explode("starts")).select("doc_id", "th", "item_key", "start", window.alias("window"))
+    cut_out = again.withColumn("start", F.explode("starts")).select("doc_id", "th", "m", "start", window.alias("window"))
     printed = cut(cut_out.distinct().withColumn("fp", simhash(F.col("window"))))
 
     # multi-index blocks: the items' fingerprints under every change of at most FLIPS bits of a block
-    flips = F.array(*(F.array(*(F.lit(v).cast("long") for v in near_values(b))) for b in BLOCKS))
-    index = items.select("item_key", F.explode(block_values("item_fp")).alias("b")).select("item_key", F.col("b.block").alias("block"), F.explode(F.transform(flips[F.col("b.block")], lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
-    index_hint = F.broadcast if small * 10 <= BROADCAST_ROWS else (lambda df: df)
-    met = printed.select("doc_id", "th", "item_key", "start", "fp", F.explode(block_values("fp")).alias("b")).select("doc_id", "th", "item_key", "start", "fp", "b.*")
-    met = met.join(index_hint(index), ["item_key", "block", "value"]).select("doc_id", "th", "item_key", "start", "fp").distinct()
-    met = met.join(hint(items.select("item_key", "item_id", "item_words", "item_fp")), "item_key").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int"))
-    met = met.filter(F.col("distance") <= RADIUS).select(F.col("doc_id").alias("k"), F.col("th").alias("k_th"), F.col("item_key").alias("k_item"), F.col("start").alias("k_start"), "item_id", "item_words", "distance")
-    same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("k_th")) & (F.col("item_key") == F.col("k_item")) & (F.col("start") == F.col("k_start"))
+    changes = [near_values(b) for b in BLOCKS]
+    flips = F.array(*(F.array(*(F.lit(v).cast("long") for v in c)) for c in changes))
+    index = items.select("item_key", "m", "item_fp", F.explode(block_values("item_fp")).alias("b"))
+    index = index.select("item_key", "m", "item_fp", F.col("b.block").alias("block"), F.explode(F.transform(flips[F.col("b.block")], lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
+    index = F.broadcast(index) if n_items * sum(map(len, changes)) <= BROADCAST_ROWS // 2 else index
+    met = printed.select("doc_id", "th", "m", "start", "fp", F.explode(block_values("fp")).alias("b")).select("doc_id", "th", "m", "start", "fp", "b.*").join(index, ["m", "block", "value"])
+    met = met.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")).filter(F.col("distance") <= RADIUS)
+    met = met.select("doc_id", "th", "m", "start", "item_key", "distance").distinct().join(hint(items.select("item_key", "item_id", "item_words")), "item_key")
+    met = met.select(F.col("doc_id").alias("k"), F.col("th").alias("k_th"), F.col("m").alias("k_m"), F.col("start").alias("k_start"), "item_id", "item_words", "distance")
+    same = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("k_th")) & (F.col("m") == F.col("k_m")) & (F.col("start") == F.col("k_start"))
     verified = printed.join(met, same).withColumn("similarity", weighted_jaccard(shingle_texts(F.col("window")), shingle_texts(F.col("item_words")))).filter(F.col("similarity") >= SIMILARITY)
     best = verified.groupBy("doc_id", "th", "item_id").agg(F.max_by(F.struct("start", F.size("window").alias("n"), "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
     return best.select("doc_id", "th", "item_id", F.col("best.start").cast("long").alias("window_start"), F.col("best.n").cast("long").alias("window_words"), F.col("best.distance").alias("distance"), F.round("best.similarity", 6).alias("similarity"))

@@ -183,6 +183,45 @@ def test_op6_edited_passages_and_odd_rows(spark):
     assert decontamination.contaminated(frame, bench.filter("false")).isEmpty()
 
 
+def edited(rng, words, share):
+    """The words with some of them changed, so that about ``share`` of the shingles stay."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), max(0, round(len(out) * (1 - share) / 5.5))):
+        out[k] = f"z{rng.randrange(10**6)}"
+    return out
+
+
+def test_op6_recall_on_edits(spark):
+    """Edited passages about the limit: as many pairs as brute force finds, each proposed by the Hamming index."""
+    rng = random.Random(11)
+    items = [[f"v{int(rng.paretovariate(0.7)) % 900}" for _ in range(rng.randint(13, 160))] for _ in range(150)]
+    docs = []
+    for k, item in enumerate(items):
+        for share in (0.85, 0.9, 0.95):
+            docs.append((len(docs), " ".join([f"x{rng.randrange(10**6)}" for _ in range(30)] + edited(rng, item, share) + items[k - 1][:9])))
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
+    want = brute_contamination(docs, bench)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = decontamination.contaminated(*frames).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows} == want and len(want) > 200
+    assert sum(s < 0.85 for s in want.values()) > 40 and max(r["distance"] for r in rows) <= decontamination.RADIUS
+
+
+def test_op6_index_does_the_search(spark, monkeypatch):
+    frames = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    assert decontamination.contaminated(*frames).count() == 1
+    monkeypatch.setattr(decontamination, "near_values", lambda block: [1 << 40])
+    assert decontamination.contaminated(*frames).isEmpty()
+
+
+def test_op6_blocks_reach_the_radius():
+    """Any two fingerprints within the radius agree in a block up to FLIPS bits."""
+    rng = random.Random(2)
+    for _ in range(2000):
+        change = sum(1 << b for b in rng.sample(range(64), decontamination.RADIUS))
+        assert any((change >> at & (1 << width) - 1) in decontamination.near_values((at, width)) for at, width in decontamination.BLOCKS)
+
+
 def test_op6_is_native(spark):
     plan = decontamination.contaminated(odd(spark), spark.read.parquet(f"{TINY}/benchmark.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
