@@ -11,6 +11,7 @@ from lakelens.operators import evaluate, experiments, rag, retrieve, security, t
 from lakelens.plans import sqlguard
 from lakelens.queries.common import micros, query, table
 from lakelens.queries.texts import as_chunks, sql_words
+from lakelens.session import DEFAULTS, scratch
 from lakelens.streaming import limits
 
 EVAL_TOKENS = "list_transform(regexp_extract_all(%s, '[\\p{L}\\p{N}_]+'), lambda x: lower(x))"
@@ -190,13 +191,9 @@ def rate_window_counts(spark, sf):
 @query("rate_limit_stream")
 def rate_limit_stream(spark, sf):
     """The streaming limiter over the table as a stream, run to its end; its state store needs RocksDB."""
-    import uuid
-
-    from lakelens.session import DEFAULTS, ensure_checkpoint_dir
-
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, DEFAULTS[key])
-    folder = f"{ensure_checkpoint_dir(spark)}/limits-{uuid.uuid4().hex}"
+    folder = scratch(spark, "limits")
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")
     rows = events.select(F.col("user_id").cast("string").alias("client_key"), "event_id", (micros("ts") / 3.6e9).alias("at"))

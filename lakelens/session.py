@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whole texts go to Python workers: batches are bounded in rows and in bytes.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    **TEXT_BATCHES,
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
@@ -28,15 +34,41 @@ def build_session(master: str | None = None, app: str = "lakelens", **conf: str)
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make a session that was built elsewhere fit for registered queries: the package on workers, batches for texts."""
+    ship_package(spark)
+    for key, value in TEXT_BATCHES.items():
+        spark.conf.set(key, value)
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set (local tests)."""
+    """The shared checkpoint folder the cluster names; a temporary one only in local mode, and removed with the session."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakelens-checkpoint-"))
+        if named is None:
+            if not is_local(spark):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="lakelens-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for tables that a query writes and rereads; removed when the session's JVM ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send the package to Python workers that would not find it by their path; once for each session."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
