@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of text that one Arrow batch holds at most; texts are long, so the default of 10,000 would be too many bytes.
-TEXT_ROWS_PER_BATCH = 500
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +23,27 @@ def text_bytes(column: str | Column = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches bounded for long texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS_PER_BATCH:
-        conf.set(key, str(TEXT_ROWS_PER_BATCH))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow whose function gets at most BATCH_ROWS rows, or about BATCH_BYTES bytes, at a time.
+
+    Spark's own batches are bounded by its settings ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+    ``maxBytesPerBatch`` (``lakelens.session.DEFAULTS``), which are left as they are; what is cut here is what the
+    function's arrays grow with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(small_batches(batches))
+
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, int(batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))))
+        if batch.num_rows <= rows:
+            yield batch
+        else:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
 
 
 def arrow_type(name: str) -> pa.DataType:

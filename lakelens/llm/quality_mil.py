@@ -2,12 +2,13 @@
 
 A document is a bag of passages of PASSAGE_WORDS words. A passage is encoded by shares of character classes, word-length
 and repetition statistics and a hashed histogram of its words, through a learned tanh layer. Gated attention gives each
-passage a weight learned from document labels only; the weighted sum of the encodings is scored. Fitting takes a bounded
-sample of labelled documents (TRAIN_DOCUMENTS, of each at most TRAIN_PASSAGES evenly spaced passages); scoring takes
+passage a weight learned from document labels only; the weighted sum of the encodings is scored. Fitting takes all
+passages of a bounded sample of labelled documents (TRAIN_DOCUMENTS rows, ``labelled.SAMPLE_BYTES`` bytes); scoring takes
 every passage of every document, and the model broadcast is a few kilobytes whatever the corpus.
 
-Defined results: null or empty text is one passage of zero features; with no usable labels, or one class only, the score
-is the labels' mean, or 0.5; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
+Defined results: null or empty text is one passage of zero features; texts of any length are encoded in pieces of PIECE
+bytes, as if whole; with no usable labels, or one class only, the score is the labels' mean, or 0.5; a score of exactly
+0.5 counts as good; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from lakelens.llm.labelled import read_labels, remainder, training_sample
 PASSAGE_WORDS = 64
 BUCKETS = 64
 TRAIN_DOCUMENTS = 4000
-TRAIN_PASSAGES = 24
+PIECE = 1 << 20
 HIDDEN = 16
 ATTENTION = 8
 EPOCHS = 200
@@ -35,7 +36,7 @@ SCORES = "doc_id long, score double"
 
 
 def _classes() -> np.ndarray:
-    table = np.full(256, 5, np.int64)
+    table = np.full(256, 5, np.uint8)
     table[[9, 10, 11, 12, 13, 32]] = 0
     table[97:123], table[65:91], table[48:58] = 1, 2, 3
     table[[ord(c) for c in ".,;:!?'\"()-"]] = 4
@@ -49,8 +50,50 @@ MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def first_words(text: bytes, at: int, words: int) -> int:
+    """Where in ``text`` the word begins that has ``words`` words before it since ``at``; the end if there is none."""
+    size = PIECE
+    while True:
+        space = CLASS[np.frombuffer(text[at : at + size], np.uint8)] == 0
+        begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        if len(begins) > words:
+            return at + int(begins[(len(begins) - 1) // words * words])
+        if at + size >= len(text):
+            return len(text)
+        size *= 2
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Numbers and bytes of texts, about PIECE bytes at a time; a longer text is cut where a passage begins."""
+    numbers, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text) if len(text) - at <= PIECE else first_words(text, at, PASSAGE_WORDS)
+            numbers.append(i)
+            held.append(text[at:end])
+            size += end - at
+            if size >= PIECE:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if held:
+        yield numbers, held
+
+
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of ``texts``, and each text's first passage (with the end appended); one array pass."""
+    """Features of all passages of ``texts``, and each text's first passage (with the end appended)."""
+    found, counts = [np.zeros((0, FEATURES), np.float32)], np.zeros(len(texts), np.int64)
+    for numbers, held in pieces(texts):
+        x, first = _passages(held)
+        found.append(x)
+        np.add.at(counts, numbers, np.diff(first))
+    return np.concatenate(found), np.concatenate(([0], np.cumsum(counts)))
+
+
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(texts) + b"\n" + bytes(8)
     raw = np.frombuffer(joined, np.uint8)[:-8]
     text_ends = np.cumsum([len(t) + 1 for t in texts])
@@ -67,6 +110,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = int(first[-1])
     out = np.zeros((total, FEATURES), np.float32)
     if not len(starts):
+        out[:, 0] = np.diff(text_ends, prepend=0) > 1  # white space alone
         return out, first
     sizes = ends - starts
     words = np.bincount(passage, minlength=total)
@@ -74,10 +118,13 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     folded = np.frombuffer(joined.translate(FOLD), np.uint8)
     eight = np.ndarray(len(raw) + 1, "<u8", folded.data, 0, (1,))[starts] & MASKS[np.minimum(sizes, 8)]
     hashes = (eight ^ (sizes.astype(np.uint64) << np.uint64(59))) * np.uint64(0x9E3779B97F4A7C15)
-    # character classes by passage: bytes belong to the passage of the last word begun
-    begun = np.searchsorted(starts, np.arange(len(raw)), side="right") if len(raw) < 64 else np.cumsum(~space & after)
-    owner = passage[np.maximum(0, begun - 1)]
-    chars = np.bincount(owner * 8 + kinds, minlength=total * 8).reshape(total, 8)
+    # character classes by passage: bytes belong to the passage of the last word begun in their text, else to its first
+    of_byte = np.repeat(np.arange(len(texts)), np.diff(text_ends, prepend=0))
+    begun = np.cumsum(~space & after) - np.concatenate(([0], np.cumsum(n_words)))[of_byte]
+    owner = first[of_byte] + np.maximum(0, begun - 1) // PASSAGE_WORDS
+    kinds = kinds.copy()
+    kinds[text_ends - 1] = 8  # the line feeds put between texts
+    chars = np.bincount(owner * 9 + kinds, minlength=total * 9).reshape(total, 9)[:, :8]
     out[:, :8] = chars / np.maximum(1, chars.sum(axis=1, keepdims=True))
     out[:, 8] = np.bincount(passage, sizes, total) / safe / 10
     out[:, 9] = np.sqrt(np.maximum(0, np.bincount(passage, sizes.astype(float) ** 2, total) / safe - (out[:, 8] * 10) ** 2)) / 10
@@ -166,10 +213,7 @@ def train(sample: DataFrame) -> AttentionMIL | Constant:
         for batch in batches:
             texts, ys = (c.to_pylist() for c in batch.columns)
             x, first = passages(texts)
-            rows = []
-            for k in range(len(texts)):
-                at = np.unique(np.linspace(first[k], first[k + 1] - 1, min(TRAIN_PASSAGES, first[k + 1] - first[k])).astype(int))
-                rows.append((ys[k], len(at), x[at].tobytes()))
+            rows = [(ys[k], int(first[k + 1] - first[k]), x[first[k] : first[k + 1]].tobytes()) for k in range(len(texts))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

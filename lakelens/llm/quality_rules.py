@@ -1,13 +1,15 @@
 """Quality rules: how far a document's character-class and common-word histograms diverge from language references.
 
-Pass 1 counts, over all documents, the character classes and the short words of each language; the references are
-those counts' distributions (common words: the most frequent short words of a language). Pass 2 takes each document's
-histograms and their Jensen-Shannon distance (base 2, 0 to 1) to every reference; the nearest language counts, so a
-wrong language label does no harm. Documents under the length guards are not judged by a distance, since short
-histograms diverge by chance alone.
+Pass 1 counts, over all documents, the character classes and all words of each language; the references are those counts'
+distributions (common words: the COMMON_WORDS most frequent words of a language and the rest) of the LANGUAGES languages
+with most words. Pass 2 takes each document's histograms and their Jensen-Shannon distances (base 2, 0 to 1) to every
+reference; both distances are those to one language, the nearest by their sum, so a wrong language label does no harm.
+Documents under the length guards are not judged by a distance, since short histograms diverge by chance alone.
 
 Defined results: null or empty text has no words, so base_failed is true; a null language is one of its own; with no
-reference (empty corpus) only the base rules hold; repeated rows are judged alike; extra columns are ignored.
+reference (empty corpus) only the base rules hold; texts of any length are judged whole; ties (equal counts at the last
+common word, equal numbers of words of languages, equally near languages) go to the first in order of bytes; repeated rows
+are judged alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.common import arrow_schema, map_arrow, read_documents, text_bytes
+from lakelens.session import cut
 
+#: The size of the model: words of a reference, and languages that have one.
 COMMON_WORDS = 40
-SHORT_WORD_BYTES = 5
+LANGUAGES = 256
 MIN_WORDS = 100
 MIN_CHARS = 400
 MAX_CLASS_DISTANCE = 0.30
@@ -74,7 +78,7 @@ def count_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             classes += class_counts(text)
             found = text.translate(FOLD).split()
             words[b""] += len(found)
-            words.update([w for w in found if len(w) <= SHORT_WORD_BYTES])
+            words.update(found)
         for lang, (words, classes) in by_lang.items():
             for w, n in words.items():
                 counts[lang, "word" if w else "words", w.decode("utf-8", "replace")] += n
@@ -88,13 +92,15 @@ def count_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def language_references(docs: DataFrame) -> list[tuple]:
     """(lang, class distribution, common words, their distribution and the rest) from counts over all documents.
 
-    What comes to the driver is COMMON_WORDS + 9 rows a language, however large the corpus is.
+    What comes to the driver is COMMON_WORDS + 9 rows for each of LANGUAGES languages, however large the corpus is.
     """
     counts = map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")), count_language, COUNTS)
     counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
+    best = cut(counts.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= COMMON_WORDS).drop("nth"))
+    largest = best.filter("kind = 'words'").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select(F.col("lang").alias("of"))
     found: dict = {}
-    for row in counts.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= COMMON_WORDS).collect():
+    for row in best.join(F.broadcast(largest), F.col("lang").eqNullSafe(F.col("of"))).collect():  # LANGUAGES rows at most
         found.setdefault(row["lang"], {}).setdefault(row["kind"], {})[row["item"]] = row["n"]
     out = []
     for lang in sorted(found, key=str):
@@ -108,12 +114,12 @@ def language_references(docs: DataFrame) -> list[tuple]:
     return out
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Square root of the Jensen-Shannon divergence in bits."""
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Square root of the Jensen-Shannon divergence in bits, of distributions in the last axis."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return float(np.sqrt(max(0.0, parts.sum() / 2)))
+    return np.sqrt(np.maximum(0.0, parts.sum(axis=-1) / 2))
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -145,23 +151,29 @@ class Judge:
     """Distances of a document to its nearest reference."""
 
     def __init__(self, references: list[tuple]):
-        self.classes = [np.array(r[1]) for r in references]
-        self.words = [(r[2], np.array(r[3])) for r in references]
+        self.classes = np.array([r[1] for r in references]).reshape(-1, len(CLASSES))
+        self.column = {w: i for i, w in enumerate(sorted({w for r in references for w in r[2]}))}
+        n = len(self.column)  # a column that stays 0 fills up references of fewer words
+        self.at = np.array([[self.column[w] for w in r[2]] + [n] * (COMMON_WORDS - len(r[2])) for r in references], np.int64).reshape(-1, COMMON_WORDS)
+        self.words = np.array([r[3][:-1] + [0.0] * (COMMON_WORDS + 1 - len(r[3])) + r[3][-1:] for r in references]).reshape(-1, COMMON_WORDS + 1)
 
     def distances(self, text: bytes) -> tuple[float, float, int]:
+        """Class and word distance to the nearest reference, and the number of characters."""
         hist = class_counts(text)
         chars = int(hist.sum())
+        if not chars or not len(self.classes):
+            return 0.0, 0.0, chars
+        by_class, by_word = js_distance(hist / chars, self.classes), np.zeros(len(self.classes))
         words = text.translate(FOLD).split()
-        p = hist / max(1, chars)
-        by_class = min((js_distance(p, q) for q in self.classes), default=0.0) if chars else 0.0
-        if not words or not self.words:
-            return by_class, 0.0, chars
-        counts, n = Counter(words), len(words)
-        best = 1.0
-        for names, q in self.words:
-            got = [counts.get(w, 0) for w in names]
-            best = min(best, js_distance(np.array([*got, n - sum(got)]) / n, q))
-        return by_class, best, chars
+        if words:
+            counts, n = Counter(words), len(words)
+            seen = np.zeros(len(self.column) + 1)
+            for w in counts.keys() & self.column.keys():
+                seen[self.column[w]] = counts[w]
+            got = seen[self.at]
+            by_word = js_distance(np.concatenate([got, n - got.sum(axis=1, keepdims=True)], axis=1) / n, self.words)
+        nearest = int((by_class + by_word).argmin())
+        return float(by_class[nearest]), float(by_word[nearest]), chars
 
     def row(self, doc_id: int | None, text: bytes) -> tuple:
         n_words, chars, symbols, dup_lines, repeats = base_counts(text)

@@ -12,8 +12,9 @@ first word goes through the tiles with its own radius, and the pairs that pass a
 link is a pair of candidates whose sets have an exact Jaccard similarity of SIMILARITY or more. The sets of a component of
 candidates are compared in one place, or in tiles of bounded size; pairs that links found so far join are left out.
 
-Defined results: null or empty text has fingerprint 0 and links like any other; a null doc_id is never a component's
-least id unless it has no other; repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
+Defined results: null or empty text has fingerprint 0 and links like any other; texts of any length count whole; a bit
+that exactly half of the hashes have is 0; a null doc_id is never a component's least id unless it has no other; repeated
+rows give repeated rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from lakelens.session import cut
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-TILE = 8192
+TILE = 4096
+#: Tiles of a cell that one task compares with the tiles of another cell.
+SHARE = 2
 RUN = 128
 #: For links by similarity: 256-bit fingerprints of five-word shingle sets. At SIMILARITY they differ in 39 bits +- 6 (in
 #: 48 +- 6 for sets of four and five), in a word in 10 +- 3; the radii leave room, as they only find candidates.
@@ -189,7 +192,9 @@ def link_forests(values: DataFrame, radius: int = RADIUS, total: int | None = No
     if not n_tiles:
         return values.select(F.col(node).alias("u"), F.col(node).alias("v")).limit(0)
     tiles_of = F.create_map(*(F.lit(x).cast("int") for item in n_tiles.items() for x in item))
-    spread = max(1, -(-max(n_tiles.values()) // 4))  # tasks that share the pairs of one cell
+    spread = max(1, -(-max(n_tiles.values()) // SHARE))  # tasks that share the pairs of one cell
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(n, min(8 * n, len(n_tiles) * spread))  # stated, as the work is in the pairs and not in the bytes
     tile = F.pmod(F.xxhash64(node), tiles_of[cell]).cast("int")
     row = F.concat(F.array("fp"), "rest", F.array("node")) if node == "node" else F.array("fp")
     words = 5 if node == "node" else 1
@@ -197,7 +202,8 @@ def link_forests(values: DataFrame, radius: int = RADIUS, total: int | None = No
     left = tiles.select("cell", "tile", "fps", F.explode(F.array(*(F.lit(d) for d in range(-(-radius // step) + 1)))).alias("step"))
     left = left.select((F.col("cell") + F.col("step")).alias("meets"), F.pmod("tile", F.lit(spread)).alias("share"), "step", F.col("tile").alias("tile_a"), F.col("fps").alias("a"))
     right = tiles.select(F.col("cell").alias("meets"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("share"), F.col("tile").alias("tile_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, ["meets", "share"]).filter("step > 0 or tile_a <= tile_b")
+    left, right = (side.repartition(tasks, "meets", "share") for side in (left, right))
+    pairs = left.join(right.hint("shuffle_hash"), ["meets", "share"]).filter("step > 0 or tile_a <= tile_b")
     pairs = pairs.select(F.expr("step = 0 and tile_a = tile_b").alias("same"), "a", "b")
     schema = arrow_schema("u long, v long")
 

@@ -1,14 +1,17 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features are densities of a lexicon (a short fixed list, and words and word beginnings learned from
-the training labels), how many hits stand
-near a second-person word, capitals, punctuation and obfuscation rates (digits or symbols written for letters, masked
-letters). Trees and calibration are fitted on the driver from a bounded sample (TRAIN_DOCUMENTS) of feature rows; only
-those rows and LEARNED_WORDS words come to the driver. Every whole text is scored where it is read.
-
-Defined results: null or empty text has zero features and gets the score those give; with no usable labels, or one class
-only, the score is the labels' mean, or 0.5; repeated rows give equal rows; an empty table gives none; extra columns are
-ignored.
+Features are densities of a lexicon (a short fixed list, and words and word beginnings learned from the training labels),
+how many hits stand near a second-person word, capitals, punctuation and obfuscation rates (digits or symbols written for
+letters, masked letters). Trees and calibration are fitted on the driver from a bounded sample (TRAIN_DOCUMENTS rows,
+``labelled.SAMPLE_BYTES`` bytes) of feature rows; only those rows and the learned entries come to the driver. The entries
+are part of the model's size: the LEARNED_ENTRIES of greatest odds that enough documents show. The isotonic step is fitted
+on margins out of fold, for which lexicon and trees are learned from the other folds alone. Every whole text is scored
+where it is read.
+
+Defined results: null or empty text has zero features and gets the score those give; texts of any length are scored
+whole; with no usable labels, or one class only, the score is the labels' mean, or 0.5; ties (equal odds at the last
+learned entry) go to the first in order of bytes, equal features get equal scores, and a score of exactly 0.5 counts as
+toxic; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.common import arrow_schema, map_arrow, read_documents, text_bytes
@@ -33,6 +36,7 @@ STEMS = (5, 6, 7, 8)
 STRONG_WEIGHT = 4.0
 REMEMBERED_WORDS = 300_000
 NEAR_WORDS = 4
+FOLDS = 4
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF = 80, 3, 0.15, 32, 20
 
 LEXICON = "idiot idiots moron stupid dumb fool trash garbage worthless pathetic loser losers clown disgusting scum vermin hate ugly shut kill freak creep jerk coward liar".split()
@@ -156,15 +160,18 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Calibrated:
-    """Boosted trees whose margins are mapped to frequencies; a thousandth of the raw score keeps order inside steps."""
+    """Boosted trees whose margins are mapped to frequencies; a thousandth of the raw score keeps order inside steps.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, folds: int = 4):
-        fold = np.arange(len(y)) % folds
+    ``features`` has the rows' features under the lexicon learned without each fold, and last under that of all rows.
+    """
+
+    def __init__(self, features: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
         out = np.zeros(len(y))
-        for k in range(folds):
-            out[fold == k] = Boosted(x[fold != k], y[fold != k]).margin(x[fold == k])
+        for k, x in enumerate(features[:-1]):
+            if (fold == k).any() and (fold != k).any():
+                out[fold == k] = Boosted(x[fold != k], y[fold != k]).margin(x[fold == k])
         self.knots, self.values = isotonic(out, y)
-        self.trees = Boosted(x, y)
+        self.trees = Boosted(features[-1], y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         margin = self.trees.margin(x)
@@ -179,69 +186,89 @@ class Constant:
         return np.full(len(x), self.value)
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """The fixed list, and the words and word beginnings of the sample most told apart by the labels, with log odds."""
-    out = "word binary, bad long, n long"
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """The fixed list, and the words and word beginnings of the sample most told apart by the labels, with log odds.
+
+    One lexicon from the rows outside each fold, and last one from all rows.
+    """
+    out = "word binary, fold int, bad long, n long"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad, n = Counter(), Counter()
-            for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, fold, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(text.translate(PLAIN).split())
                 words |= {b" " + w[:k] for w in words for k in STEMS if len(w) >= k}
-                n.update(words)
+                words.add(b"")
+                n.update((w, fold) for w in words)
                 if y:
-                    bad.update(words)
-            n[b""], bad[b""] = batch.num_rows, sum(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([bad[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], schema=schema)
-
-    counts = map_arrow(sample.select(text_bytes().alias("text"), "y"), run, out).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    counts = cut(counts.filter((F.col("n") >= MIN_DOCUMENTS) | (F.col("word") == F.lit(b""))))
-    total = counts.filter(F.col("word") == F.lit(b"")).first()
-    lexicon = {w.encode(): 2.0 for w in LEXICON}
-    if total is None or not 0 < total["bad"] < total["n"]:
-        return Lexicon(lexicon)
-    bad, good = total["bad"], total["n"] - total["bad"]
+                    bad.update((w, fold) for w in words)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in n], pa.binary()), pa.array([f for _, f in n], pa.int32()), pa.array([bad[w] for w in n], pa.int64()), pa.array(list(n.values()), pa.int64())], schema=schema)
+
+    left_out = [F.struct(F.lit(k).alias("k"), F.sum(F.when(F.col("fold") != k, F.col("bad")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias("n")) for k in range(FOLDS + 1)]
+    counts = map_arrow(sample.select(text_bytes().alias("text"), fold_of(F.col("doc_id")).alias("fold"), "y"), run, out).groupBy("word").agg(F.array(*left_out).alias("x"))
+    counts = cut(counts.select("word", F.explode("x").alias("x")).select("word", "x.*").filter((F.col("n") >= MIN_DOCUMENTS) | (F.col("word") == F.lit(b""))))
+    entries = [{w.encode(): 2.0 for w in LEXICON} for _ in range(FOLDS + 1)]
+    totals = counts.filter((F.col("word") == F.lit(b"")) & (F.col("bad") > 0) & (F.col("bad") < F.col("n")))
+    totals = totals.select("k", F.col("bad").alias("all_bad"), (F.col("n") - F.col("bad")).alias("all_good"))  # a row a fold
     a, b = F.col("bad"), F.col("n") - F.col("bad")
-    odds = F.log((a + 0.5) / (bad - a + 0.5)) - F.log((b + 0.5) / (good - b + 0.5))
+    odds = F.log((a + 0.5) / (F.col("all_bad") - a + 0.5)) - F.log((b + 0.5) / (F.col("all_good") - b + 0.5))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    ranked = counts.filter(F.length("word") >= 3).select("word", odds.alias("odds"), (odds / error).alias("z")).filter(f"z > {MIN_Z} and odds > {MIN_ODDS}")
-    for row in ranked.orderBy(F.desc("odds"), "word").limit(LEARNED_ENTRIES).collect():
-        lexicon[bytes(row["word"])] = float(row["odds"])
-    return Lexicon(lexicon)
+    ranked = counts.filter(F.length("word") >= 3).join(F.broadcast(totals), "k").select("k", "word", odds.alias("odds"), (odds / error).alias("z")).filter(f"z > {MIN_Z} and odds > {MIN_ODDS}")
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("odds"), "word"))).filter(F.col("nth") <= LEARNED_ENTRIES)
+    for row in ranked.collect():  # LEARNED_ENTRIES rows a fold at most
+        entries[row["k"]][bytes(row["word"])] = float(row["odds"])
+    return [Lexicon(e) for e in entries]
+
+
+def training_features(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features of the sample's rows under each lexicon, labels and folds, in an order of their own."""
+    out = "fold int, y int, features binary"
+    schema = arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, folds, ys = (c.to_pylist() for c in batch.columns)
+            rows = [np.array([features(t, x) for x in lexicons]).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+
+    rows = map_arrow(sample.select(text_bytes().alias("text"), fold_of(F.col("doc_id")).alias("fold"), "y"), run, out).collect()
+    rows = sorted((bytes(r["features"]), r["fold"], r["y"]) for r in rows)
+    x = np.array([np.frombuffer(r[0]) for r in rows]).reshape(len(rows), len(lexicons), len(FEATURES))
+    return [x[:, k] for k in range(len(lexicons))], np.array([r[2] for r in rows], float), np.array([r[1] for r in rows], int)
 
 
-def map_features(docs: DataFrame, lexicon: Lexicon, keep: str, kind: str, model: object | None = None) -> DataFrame:
-    """The column ``keep`` (of type ``kind``) with the features as a binary of doubles, or with the model's score."""
-    out = f"{keep} {kind}, " + ("features binary" if model is None else "score double")
+def map_scores(docs: DataFrame, lexicon: Lexicon, model: Calibrated | Constant) -> DataFrame:
+    """doc_id and score of every row of ``docs``."""
+    out = "doc_id long, score double"
     schema = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
-            values = pa.array([r.tobytes() for r in x], pa.binary()) if model is None else pa.array(model.score(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], schema=schema)
 
-    return map_arrow(docs.select(F.col(keep).cast(kind).alias(keep), text_bytes().alias("text")), run, out)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), run, out)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, Calibrated | Constant]:
     sample = cut(training_sample(docs, labels, "toxic", remainder(5) == 0, TRAIN_DOCUMENTS))
-    lexicon = learn_lexicon(sample)
-    rows = sorted((bytes(r["features"]), r["y"]) for r in map_features(sample, lexicon, "y", "int").collect())
-    y = np.array([r[1] for r in rows], float)
+    lexicons = learn_lexicons(sample)
+    x, y, fold = training_features(sample, lexicons)
     if not len(y) or y.min() == y.max():
-        return lexicon, Constant(float(y.mean()) if len(y) else 0.5)
-    x = np.array([np.frombuffer(r[0]) for r in rows])
-    mixed = np.random.default_rng(11).permutation(len(y))
-    return lexicon, Calibrated(x[mixed], y[mixed])
+        return lexicons[-1], Constant(float(y.mean()) if len(y) else 0.5)
+    return lexicons[-1], Calibrated(x, y, fold)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every row of ``docs``."""
     lexicon, model = toxicity_model(docs, labels)
-    return map_features(docs, lexicon, "doc_id", "long", model)
+    return map_scores(docs, lexicon, model)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ their texts; an empty table gives no shard and no rows; extra columns are ignore
 from __future__ import annotations
 
 import functools
+import json
 import string
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lakelens.llm.common import arrow_schema, map_arrow, read_documents
 from lakelens.llm.sharding import range_bounds, range_index
-from lakelens.session import ensure_checkpoint_dir
+from lakelens.session import scratch
 
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 512
@@ -202,6 +202,15 @@ def gather(begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray
     return ids[at]
 
 
+#: The steps of a tokenizer's file that WordEncoder stands for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, which is asked once for each different word.
 
@@ -297,10 +306,31 @@ class WordEncoder:
         return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+class LibraryEncoder:
+    """The same from the library alone, for tokenizers that are not of the kind a WordEncoder knows."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def is_word_tokenizer(path: str) -> bool:
+    """Whether the file's steps are those that WordEncoder stands for."""
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)
+    model = steps["model"]
+    plain = all(model.get(k) == v for k, v in (("type", "BPE"), ("dropout", None), ("continuing_subword_prefix", None), ("end_of_word_suffix", "</w>")))
+    return plain and steps["normalizer"] == NORMALIZER and steps["pre_tokenizer"] == PRE_TOKENIZER and steps["truncation"] is None
+
+
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> WordEncoder:
+def load(path: str) -> WordEncoder | LibraryEncoder:
     """One encoder for each worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path) if is_word_tokenizer(path) else LibraryEncoder(path)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -385,6 +415,6 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op3_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{ensure_checkpoint_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark, 'token-shards')}/shards"
     write_shards(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, folder)
     return read_shards(spark, folder)

@@ -100,6 +100,37 @@ def test_op2_parts():
     assert row["hits"] == 1 and row["obfuscated_hits"] == 1 and row["near_second_person"] == 1.0
 
 
+def test_op7_pieces_of_long_texts(monkeypatch):
+    """Long texts give the passages that they give at once, and fitting sees all of them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcDE1!,\u00e9") for _ in range(rng.randint(1, 9)))
+    cases = ["", "  \n ", "x" * 3000, *(rng.choice(["", " "]) + (" " * rng.randint(1, 3)).join(word() for _ in range(rng.randint(0, 900))) for _ in range(12))]
+    cases = [c.encode() for c in cases]
+    x, first = quality_mil._passages(cases)
+    monkeypatch.setattr(quality_mil, "PIECE", 700)
+    got, at = quality_mil.passages(cases)
+    assert (at == first).all() and np.allclose(got, x)
+
+
+def test_op7_fits_on_all_passages(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality_mil.AttentionMIL, "fit", lambda self, x, first, y, **_: fitted.append(np.diff(first)) or self)
+    rows = [(i, "word and other " * (2000 if i % 2 else 3), i % 2) for i in range(6)]
+    quality_mil.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert sorted(fitted[0].tolist()) == [1, 1, 1, 94, 94, 94]
+
+
+def test_samples_are_bounded_and_whole(spark):
+    from lakelens.llm import labelled
+
+    docs = spark.createDataFrame([(i, "t" * 100, 1) for i in range(40)] + [(3, "t" * 100, 1)] * 30 + [(50, "u" * 900, 1)], "doc_id long, text string, th int")
+    labels = spark.createDataFrame([(i, 1) for i in range(51)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    take = lambda rows, size: labelled.training_sample(docs, labels, "toxic", F.col("doc_id") == 5, rows, size).collect()
+    got = take(1000, 4000)
+    assert len(got) == 39 and {r["doc_id"] for r in got} == set(range(40)) - {5} and all(len(r["text"]) == 100 for r in got)
+    assert len(take(10, 1 << 20)) <= 10 and len(take(1000, 1000)) == 10 and take(1000, 700) == []
+
+
 def test_op7_gradients():
     rng = np.random.default_rng(0)
     x, first, y = rng.normal(size=(9, 5)).astype(np.float32), np.array([0, 4, 5, 9]), np.array([1, 0, 1], np.float32)
@@ -138,6 +169,18 @@ def test_op3_encoder_on_odd_texts():
         assert got == [tokenizer.encode(c, add_special_tokens=False).ids for c in cases]
 
 
+def test_op3_other_tokenizers_go_to_the_library(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert wavelet.is_word_tokenizer(path)
+    steps = json.load(open(path))
+    steps["normalizer"] = {"type": "NFC"}
+    other = f"{tmp_path}/other.json"
+    json.dump(steps, open(other, "w"))
+    cases = ["Some Upper Case text, twice.", "", "\u00e9 \u65e5\u672c"]
+    want = [Tokenizer.from_file(other).encode(c, add_special_tokens=False).ids for c in cases]
+    assert not wavelet.is_word_tokenizer(other) and [np.frombuffer(b, "<u4").tolist() for b in wavelet.load(other).encode(cases)] == want
+
+
 def test_op3_odd_rows_and_small_shards(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     wavelet.write_shards(odd(spark), path, 2, f"{tmp_path}/a", shard_tokens=10)
@@ -211,6 +254,52 @@ def test_op10_keeps_good_and_drops_odd(spark):
     assert quality_rules.quality_rules(odd(spark).filter("false")).isEmpty()
 
 
+def brute_distances(text, references):
+    """(class, word) distances to the reference that is nearest by their sum."""
+    from collections import Counter
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return np.sqrt(max(0, part(p) + part(q)) / 2)
+
+    kind = lambda c: 0 if c in " \t\x0b\x0c\r" else 1 if c == "\n" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if "0" <= c <= "9" else 5 if c in ".,;:!?'\"()-" else 6 if c < "\x80" else 7
+    chars = Counter(map(kind, text))
+    words = re.findall("[a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text))
+    best = []
+    for _, classes, common, shares in references:
+        by_class = js([chars[k] / len(text) for k in range(8)], classes) if text else 0.0
+        counts = [sum(w.encode() == c for w in words) for c in common]
+        by_word = js([n / len(words) for n in [*counts, len(words) - sum(counts)]], shares) if words and text else 0.0
+        best.append((by_class + by_word, by_class, by_word))
+    return min(best)[1:] if best and text else (0.0, 0.0)
+
+
+def test_op10_verdict_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    references = quality_rules.language_references(docs)
+    rows = {r["doc_id"]: r for r in quality_rules.op10_quality_rules(spark, TINY).collect()}
+    for i, text in [*texts(spark).items()][:60]:
+        got, (by_class, by_word) = rows[i], brute_distances(text, references)
+        assert abs(got["class_distance"] - by_class) < 1e-9 and abs(got["word_distance"] - by_word) < 1e-9
+        odd_one = len(text) >= 400 and by_class > 0.30 or got["n_words"] >= 100 and by_word > 0.40
+        assert got["kept"] == (not got["base_failed"] and not odd_one)
+
+
+def test_op10_words_of_any_script_and_ties(spark):
+    rows = [(1, "\u043a\u043e\u0442\u043e\u0440\u044b\u0439 \u0438 \u043a\u043e\u0442\u043e\u0440\u044b\u0439 " * 30, "ru"), (2, "\u56fe\u4e66\u9986 \u7684 \u56fe\u4e66\u9986 " * 30, "zh"), (3, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)), "xx"), (4, "alone", None)]
+    found = {r[0]: r for r in quality_rules.language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))}
+    assert found["ru"][2][0] == "\u043a\u043e\u0442\u043e\u0440\u044b\u0439".encode() and found["zh"][2][0] == "\u56fe\u4e66\u9986".encode()
+    assert found["xx"][2] == sorted(found["xx"][2]) and len(found["xx"][2]) == quality_rules.COMMON_WORDS and None in found
+
+
+def test_op10_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 2)
+    rows = [(i, "some words here " * (i % 5 + 1), f"l{i % 5}") for i in range(50)]
+    found = quality_rules.language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [r[0] for r in found] == ["l3", "l4"]
+
+
 def test_op10_distance():
     p = np.array([0.5, 0.5, 0.0])
     assert quality_rules.js_distance(p, p) == 0 and abs(quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) - 1) < 1e-12
