@@ -140,7 +140,7 @@ def map_encoded(docs: DataFrame, path: str, pattern: str, fn: Callable[[ByteBPE,
         bpe = load(path, pattern)
         for batch in batches:
             rows = [(i, *fn(bpe, bpe.encode(t))) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), run, f"doc_id long, {out}")
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakelens.llm import components, decontamination, sharding, simhash, suffix_dedup
+from lakelens.llm import components, decontamination, quality_mil, sharding, simhash, suffix_dedup
 from tests.conftest import SMALL, TINY
 from tests.llm.test_op_texts import ODD, odd, texts
 
@@ -387,3 +387,57 @@ def test_pipeline_run_and_extra_columns(spark):
         assert docs.columns == odd(spark).columns, name
         assert all(r is not None for r in docs.collect())
     assert F is not None
+
+
+def test_pipeline_stages_on_empty_tables_and_odd_rows(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd(spark).filter("false"), TINY)
+        assert empty.isEmpty() and (name == "tokens" or empty.columns == odd(spark).columns)
+    rows = {name: stage(spark, odd(spark), TINY).collect() for name, stage in corpus_pipeline.STAGES[1:]}
+    assert len(rows["decontaminate"]) == len(rows["tokens"]) == len(ODD)
+    assert sorted(r["doc_id"] for r in rows["near_dedup"] if r["doc_id"] is not None) == [1, 5, 6, 7]
+    assert {r["doc_id"] for r in rows["repeated_passages"]} == {None, 5, 7}  # the long text repeats itself throughout
+
+
+def test_pipeline_run_on_empty_documents_and_again(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{TINY}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    docs.filter("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+    want = corpus_pipeline.run(spark, TINY, f"{tmp_path}/work").count()
+    (tmp_path / "work" / "tokens" / "_SUCCESS").unlink()  # a run that was lost in its last stage
+    again = corpus_pipeline.run(spark, TINY, f"{tmp_path}/work")
+    assert again.count() == want
+
+
+def test_pipeline_quality_equals_the_model(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = quality_mil.quality_model(docs, spark.read.parquet(f"{TINY}/labels.parquet"))
+    want = sorted(i for i, t in texts(spark).items() if slow_score(model, t.encode()) >= 0.5)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, docs, TINY).collect()) == want
+
+
+def slow_score(model, text):
+    """The model's formula, passage by passage."""
+    x = (quality_mil.passages([text])[0] - model.mean) / model.scale
+    p = model.p
+    h = [np.tanh(row @ p["W"] + p["b"]) for row in x]
+    e = [(np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in h]
+    a = np.exp(np.array(e) - max(e))
+    z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
+    return float(1 / (1 + np.exp(-(z @ p["c"] + p["c0"][0]))))
+
+
+def test_pipeline_keeps_characters_whole(spark):
+    """Replacement characters of the source stay; a character of which a part is removed goes whole."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    body = " ".join(word() for _ in range(60))
+    rows = [(1, "start \ufffd mark \u00e9" + body + "\u00e9 end \ufffd"), (2, "other \u00ea" + body + "\u00e8 stop"), (3, "clean \ufffd\ufffd text")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), TINY).collect()}
+    # the first bytes of the four letters are equal, and so are the passages' ends
+    assert got[3] == "clean \ufffd\ufffd text"
+    assert got[1] == "start \ufffd mark \u00e9 end \ufffd" or got[1] == "start \ufffd mark  end \ufffd"
+    assert got[2] == "other \u00ea stop" or got[2] == "other  stop"
+    assert suffix_dedup.to_characters("a\u00e9b".encode(), 2, 2) == (1, 3) and suffix_dedup.to_characters(b"abc", 1, 2) == (1, 2)
