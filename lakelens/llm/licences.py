@@ -6,8 +6,13 @@ MIN_MATCH words are chained, in template order and over gaps of at most MAX_GAP
 template they cover. Phrases are templates too: one stands at a word exactly if the state reached there has the
 phrase's state on its suffix-link path, so all places of all phrases come from the same pass.
 
-Defined results: null or empty text has no words, labels or span and score 0; repeated rows give equal rows; an empty
-table gives none; extra columns are ignored.
+Spans compete: a span claims its template's label if it covers enough of it (LABEL_COVER; SHORT_COVER of a short template,
+whose words are common ones) and at least half of its words are not those of spans of other labels that cover more. So a
+licence that shares paragraphs with another is told by the words of its own.
+
+Defined results: null or empty text has no words, labels or span and score 0; texts of any length are scanned whole; of
+spans that cover equally many words, that of the larger share, then of the earlier place, then of the earlier template
+claims first; repeated rows give equal rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,30 +26,73 @@ from lakelens.llm.common import map_arrow, per_row, read_documents, text_bytes
 
 MIN_MATCH = 4
 MAX_GAP = 12
-LABEL_COVER = 0.5
-LABEL_WORDS = 10
+LABEL_COVER, SHORT_COVER = 0.5, 0.8
+SHORT_WORDS = 40
 
 #: Fixed by the query's contract.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAME = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_WARRANTY = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_BSD_LIABILITY = "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"
+
 TEMPLATES = {
     "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        f"{_WARRANTY} in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
         "released under the mit license",
+        "licensed under the mit license",
     ],
     "apache": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "licensed under the apache license version 2 0",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
     ],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "you should have received a copy of the gnu general public license along with this program if not see",
         "this work is licensed under the gnu general public license version 3",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        "you should have received a copy of the gnu lesser general public license along with this library if not see",
+    ],
+    "agpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+        "you should have received a copy of the gnu affero general public license along with this program if not see",
+    ],
+    "bsd": [_BSD, f"{_BSD} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_WARRANTY} {_BSD_LIABILITY}", f"{_BSD} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAME} {_BSD_WARRANTY} {_BSD_LIABILITY}"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+    ],
+    "boost": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+        "distributed under the boost software license version 1 0",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+    ],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "cc": ["this work is licensed under a creative commons attribution"],
+    "epl": [
+        "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
+    "wtfpl": ["do what the fuck you want to public license terms and conditions for copying distribution and modification", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+    "cc": ["this work is licensed under a creative commons attribution", "this work is licensed under the creative commons attribution", "licensed under the creative commons zero universal public domain dedication"],
     "proprietary": ["all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"],
 }
 
@@ -167,28 +215,47 @@ class LicenceScanner:
             matches.append((before + 1, length, state))
         return places, matches
 
-    def spans(self, matches: list) -> list[tuple[int, int, int, int]]:
-        """(template, first word, end word, words covered) of chained matches."""
-        open_chains: dict[int, list[int]] = {}
+    def spans(self, matches: list) -> list[tuple[int, int, int, list]]:
+        """(template, words covered, end in the template, matched ranges of words) of chained matches."""
+        open_chains: dict[int, list] = {}
         done = []
         for end, length, state in matches:
             for template, at in self.automaton.ends[state].items():
                 chain = open_chains.get(template)
                 start = end - length
-                if chain and start - chain[1] <= MAX_GAP and at > chain[3]:
-                    fresh = min(length, end - chain[1], at - chain[3])
-                    chain[1], chain[2], chain[3] = end, chain[2] + fresh, at
+                if chain and start - chain[2][-1][1] <= MAX_GAP and at > chain[1]:
+                    fresh = min(length, end - chain[2][-1][1], at - chain[1])
+                    chain[0] += fresh
+                    chain[1] = at
+                    chain[2].append((end - fresh, end))
                     continue
                 if chain:
-                    done.append((template, *chain[:3]))
-                open_chains[template] = [start, end, length, at]
-        return done + [(t, *c[:3]) for t, c in open_chains.items()]
+                    done.append((template, *chain))
+                open_chains[template] = [length, at, [(start, end)]]
+        return done + [(t, *c) for t, c in open_chains.items()]
+
+    def claims(self, spans: list) -> list[tuple[str, float, list]]:
+        """(label, cover, ranges) of the spans that win their words."""
+        order = sorted(spans, key=lambda s: (-s[1], -s[1] / self.sizes[s[0]], s[3][0][0], s[0]))
+        taken: dict[int, str] = {}
+        out = []
+        for template, covered, _, ranges in order:
+            size, label = self.sizes[template], self.labels[template]
+            if covered < (SHORT_COVER if size < SHORT_WORDS else LABEL_COVER) * size:
+                continue
+            words = [w for a, b in ranges for w in range(a, b)]
+            if 2 * sum(taken.get(w, label) == label for w in words) >= len(words):
+                out.append((label, covered / size, ranges))
+                for w in words:
+                    taken.setdefault(w, label)
+        return out
 
     def scan(self, text: bytes) -> dict:
         words = text.translate(WORDS).split()
         places, matches = self.stream(words)
-        found = [(self.labels[t], a, b, covered, covered / self.sizes[t]) for t, a, b, covered in self.spans(matches)]
-        return {"n_words": len(words), "places": places, "spans": found}
+        spans = self.spans(matches)
+        best = max((covered / self.sizes[t] for t, covered, _, _ in spans), default=0.0)
+        return {"n_words": len(words), "places": places, "spans": self.claims(spans), "best": min(1.0, best)}
 
 
 @functools.lru_cache(maxsize=1)
@@ -199,15 +266,12 @@ def scanner() -> LicenceScanner:
 
 def scan_row(doc_id: int | None, text: bytes) -> tuple:
     got = scanner().scan(text)
-    places, spans = got["places"], got["spans"]
+    places, claimed = got["places"], got["spans"]
     starts = [at for at, _ in places]
     base = sorted({label for _, label in places})
-    claimed = [s for s in spans if s[4] >= LABEL_COVER or s[3] >= LABEL_WORDS]
-    labels = sorted({*base, *(s[0] for s in claimed)})
-    covered: set[int] = set()
-    for s in claimed:
-        covered.update(range(s[1], s[2]))
-    score = min(1.0, max([*(s[4] for s in spans), 0.5 if base else 0.0], default=0.0))
+    labels = sorted({*base, *(label for label, _, _ in claimed)})
+    covered = {w for _, _, ranges in claimed for w in range(ranges[0][0], ranges[-1][1])}
+    score = max(got["best"], 0.5 if base else 0.0)
     return doc_id, got["n_words"], len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), float(score), len(claimed), len(covered)
 
 

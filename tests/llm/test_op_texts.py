@@ -54,8 +54,49 @@ def test_op1_random_phrases_and_spans():
     for _ in range(300):
         text = " ".join(rng.choice(vocabulary) for _ in range(40))
         assert licences.scan_row(0, text.encode())[1:6] == brute_phrases(text)
-    full = licences.scan_row(0, ("intro words " + licences.TEMPLATES["bsd"][0].replace("met", "met.") + " outro").encode())
-    assert full[6] == "bsd" and full[7] == 1.0 and full[8] == 1
+    full = licences.scan_row(0, ("intro words " + licences.TEMPLATES["mpl"][0].replace("at", "at.") + " outro").encode())
+    assert full[6] == "mpl" and full[7] == 1.0 and full[8] == 1
+
+
+def test_op1_matches_equal_brute_force():
+    """Maximal matches of four words and more, against the longest template substring that ends at each word."""
+    rng = random.Random(7)
+    templates = [t.split() for texts_ in licences.TEMPLATES.values() for t in texts_] + [p.split() for p in licences.BASE_PHRASES]
+    grams = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    for _ in range(60):
+        words = []
+        while len(words) < 120:
+            t = rng.choice(templates)
+            i = rng.randrange(len(t))
+            words += t[i : i + rng.randint(1, 25)] + ["zzz"] * (rng.random() < 0.3)
+        longest = [next((n for n in range(i + 1, 0, -1) if tuple(words[i + 1 - n : i + 1]) in grams), 0) for i in range(len(words))]
+        want = [(i + 1, n) for i, n in enumerate(longest) if n >= 4 and (i + 1 == len(words) or longest[i + 1] <= n)]
+        places, matches = licences.scanner().stream([w.encode() for w in words])
+        assert [m[:2] for m in matches] == want
+
+
+NOTICES = {
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "mit": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "": "This work is licensed under the terms that we agreed on, and may be used with no more ado by all of you.",
+}
+
+
+@pytest.mark.parametrize("label", sorted(NOTICES))
+def test_op1_competing_templates(label):
+    row = dict(zip([c.split()[0] for c in licences.SCAN.split(", ")], licences.scan_row(1, f"Some words before. {NOTICES[label]} And after it.".encode()), strict=True))
+    own = set(filter(None, row["labels"].split(","))) - set(row["base_labels"].split(",")) | ({label} if label == "gpl" else set())
+    assert own == ({label} if label else set()) and (row["score"] > 0.5 or not label)
+
+
+def test_op1_short_templates_need_their_own_words():
+    assert licences.scan_row(1, b"This work is licensed under the MIT license")[6] == "mit"
+    assert licences.scan_row(1, b"this work is licensed under a MIT style grant")[6] == ""
 
 
 def test_op1_odd_rows(spark):
