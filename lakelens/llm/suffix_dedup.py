@@ -11,9 +11,11 @@ anchor first, then by bytes, so that only windows that can be equal are ever com
 equal windows and goes nowhere. Of runs whose whole context (all bytes that windows of the anchor can hold) is the same
 by a hash of 128 bits, two are indexed and compared byte by byte; all further ones are repeated as those are.
 
-A core with more than HOT_CORE different contexts is split further by what groups of eight windows have in common, so
-that a passage that a third of all documents share is indexed by many tasks; of the contexts of a batch of texts that
-repeat, only two leave the task that reads them. There are more tasks the more runs there are (TASK_RUNS).
+A hot core, of more than HOT_CORE different contexts in all or HOT_BATCH runs in one batch of texts, is split further by
+what groups of eight windows have in common, so that a passage that a third of all documents share is indexed by many
+tasks. Of the contexts of a batch that repeat, only two leave the task that reads them. Runs of a core that is hot in their
+batch are counted by parts of their contexts (salts), and a mark tells the runs of batches where it is not hot that it is.
+There are more tasks the more runs there are (TASK_RUNS).
 
 Texts are shuffled once, by document. Texts that have a copy are told by their digest and go whole; a task indexes one of
 its copies, so a group of them is indexed at most once a task. No document pairs or all-pairs of a group are made.
@@ -45,6 +47,8 @@ CORE = 64
 GRAM = 8
 GROUP = 8
 HOT_CORE = 5000
+HOT_BATCH = 16
+SALTS = 64
 BATCH_SUFFIXES = 1 << 17
 BATCH_RUNS = 1 << 19
 TASK_RUNS = 1 << 17
@@ -56,7 +60,8 @@ U = np.uint64
 MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
-ANCHORS = "core long, full long, rep long, c1 long, run long, weight int"
+RUN, COVERED, MARK = 1, 0, -1
+ANCHORS = "core long, salt int, full long, rep long, c1 long, run long, kind int"
 SPANS = "rep long, c1 long, begin long, end long"
 SUFFIXES = "part long, core long, rep long, c1 long, begin long, ahead int, bytes binary"
 KEPT = "rep long, c1 long, digest string, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -154,7 +159,7 @@ def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the texts' anchors; run packs anchor and window range.
 
     Of the runs of one context that a batch repeats, two go on; the bytes that windows of the others cover are given as
-    rows of weight 0, whose core is scattered, so they only pass through.
+    rows of kind COVERED, whose core is scattered, so they only pass through. A core that is hot in a batch has a MARK.
     """
     schema, seen = arrow_schema(ANCHORS), set()
 
@@ -166,9 +171,20 @@ def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, end = merged(first[~keep] + (of[~keep] << 32), last[~keep] + LENGTH + (of[~keep] << 32))
         owner, begin, end = begin >> 32, begin & 0xFFFFFFFF, end & 0xFFFFFFFF
         scattered = ((begin.astype(U) + c1[owner].view(U)) * MIX_A).view(np.int64)
-        run, of = (at << 16 | (at - first) << 8 | (at - last))[keep], of[keep]
-        n, m = len(of), len(owner)
-        columns = (core[keep].view(np.int64), scattered), (full[keep].view(np.int64), end), (rep[of], rep[owner]), (c1[of], c1[owner]), (run, begin), (np.ones(n, np.int32), np.zeros(m, np.int32))
+        run, of, core, full = (at << 16 | (at - first) << 8 | (at - last))[keep], of[keep], core[keep], full[keep]
+        cores, which, counts = np.unique(core, return_inverse=True, return_counts=True)
+        hot = cores[counts > HOT_BATCH].view(np.int64)
+        salt = np.where((counts > HOT_BATCH)[which], (full * MIX_B >> U(32)).astype(np.int64) % SALTS + 1, 0)
+        n, m, none = len(of), len(owner), np.zeros(len(hot), np.int64)
+        columns = (
+            (core.view(np.int64), scattered, hot),
+            (salt.astype(np.int32), np.zeros(m + len(hot), np.int32)),
+            (full.view(np.int64), end, none),
+            (rep[of], rep[owner], none),
+            (c1[of], c1[owner], none),
+            (run, begin, none),
+            (np.full(n, RUN, np.int32), np.full(m, COVERED, np.int32), np.full(len(hot), MARK, np.int32)),
+        )
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -411,13 +427,16 @@ def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None
     kept_schema = StructType([*StructType.fromDDL(KEPT), texts.schema["rest"]])
 
     # two runs of each context go to the family of their core; those beyond are repeated as these are
-    same, core = Window.partitionBy("core", "full"), Window.partitionBy("core")
-    judged = map_arrow(texts.select("rep", "c1", "bytes"), map_anchors, ANCHORS).repartition(n, "core")
+    core = Window.partitionBy("core", "salt")
+    same = Window.partitionBy("core", "salt", "kind", "full")
+    judged = map_arrow(texts.select("rep", "c1", "bytes"), map_anchors, ANCHORS).repartition(n, "core", "salt")
     judged = judged.select("*", F.row_number().over(same.orderBy("rep", "c1", "run")).alias("nth"))
-    judged = judged.select("*", F.sum((F.col("nth") == 1).cast("long")).over(core).alias("contexts"), F.count("*").over(core).alias("runs"))
-    span = F.expr(f"""case when weight = 0 then shiftleft(run, 32) | full
-                      when nth > 2 then shiftleft((run >> 16) - ((run >> 8) & 255), 32) | ((run >> 16) - (run & 255) + {LENGTH}) end""")
-    work = F.when(F.expr("weight > 0 and nth <= 2 and runs > 1"), F.struct("core", "run", F.expr(f"if(contexts > {HOT_CORE}, 1L, 0L)").alias("hot")))
+    count = lambda condition: F.sum(F.expr(condition).cast("long")).over(core)
+    judged = judged.select("*", count(f"kind = {RUN} and nth = 1").alias("contexts"), count(f"kind = {RUN}").alias("runs"), count(f"kind = {MARK}").alias("marks"))
+    judged = judged.withColumn("hot", F.expr(f"salt > 0 or marks > 0 or contexts > {HOT_CORE}"))
+    span = F.expr(f"""case when kind = {COVERED} then shiftleft(run, 32) | full
+                      when kind = {RUN} and nth > 2 then shiftleft((run >> 16) - ((run >> 8) & 255), 32) | ((run >> 16) - (run & 255) + {LENGTH}) end""")
+    work = F.when(F.expr(f"kind = {RUN} and nth <= 2 and (hot or runs > 1)"), F.struct("core", "run", F.col("hot").cast("long").alias("hot")))
     judged = judged.select("rep", "c1", span.alias("span"), work.alias("work")).filter("span is not null or work is not null")
     judged = judged.groupBy("rep", "c1").agg(F.collect_list("span").alias("spans"), F.collect_list("work").alias("work"))
     judged = cut(judged.select("rep", "c1", "spans", F.flatten(F.transform("work", lambda x: F.array(x["core"], x["run"], x["hot"]))).alias("work")))

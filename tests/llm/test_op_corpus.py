@@ -72,9 +72,25 @@ def test_op5_equals_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_CORE", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 500)
     corpus = passages_corpus(seed)
+    corpus += [corpus[k % 60][: 50 + k] + " " + corpus[3][-280:] for k in range(90)]  # a passage that many texts share
     docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, "sha2(kept, 256)").drop("rest").collect()}
-    assert got == dict(enumerate(brute_spans([(t or "").encode() for t in corpus])))
+    for dealt in (docs, docs.coalesce(1), docs.filter("doc_id < 30").unionByName(docs.filter("doc_id >= 30").coalesce(1))):
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(dealt, "sha2(kept, 256)").drop("rest").collect()}
+        assert got == dict(enumerate(brute_spans([(t or "").encode() for t in corpus])))
+
+
+def test_op5_hot_cores_are_marked():
+    """A passage in many texts of a batch: its runs are salted by context, with one mark for the core."""
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(300)
+    rows = [(i, i, (word(100 + i) + shared + word(100)).encode()) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["rep", "c1", "bytes"])
+    got = pa.Table.from_batches(suffix_dedup.map_anchors(iter([batch]))).to_pylist()
+    marked = [r["core"] for r in got if r["kind"] == suffix_dedup.MARK]
+    assert marked and len(set(marked)) == len(marked) and all(r["salt"] == 0 for r in got if r["kind"] != suffix_dedup.RUN)
+    assert all((r["salt"] > 0) == (r["core"] in marked) for r in got if r["kind"] == suffix_dedup.RUN)
+    assert len({r["salt"] for r in got}) > 10
 
 
 def test_op5_query(spark):
