@@ -7,7 +7,7 @@ shard is within one document of its target. Only narrow rows (doc_id, size, chec
 
 Defined results: null text has size 8 and checksum 0; repeated doc_ids and repeated rows each get a place, ordered by
 (doc_id, checksum, size), equal rows being interchangeable; null doc_ids come first; an empty table gives no rows;
-extra columns are ignored. doc_id is taken to be near unique: rows that share one doc_id are summed in one task.
+texts of any length are one size and checksum; extra columns are ignored. doc_id is taken to be near unique: rows that share one doc_id are summed in one task.
 """
 
 from __future__ import annotations
@@ -75,3 +75,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, n_ranges: int | None = None)
 
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_documents(spark, sf_dir), 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: DuckDB SQL with the query's rows; crc32 from its table of 256 remainders, byte by byte.
+OP4_SQL = """WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+e AS (SELECT doc_id, octet_length(b) + 8 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[1 + xor(c & 255, x)])), 4294967295) AS text_crc32 FROM d, crc),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle, sum(size) OVER () AS total FROM e),
+p AS (SELECT *, least(23, CAST(floor(middle * 24 / total) AS INTEGER)) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -32,6 +33,14 @@ def test_op4_equals_brute_force(spark):
         sums += size
 
 
+def test_op4_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = con.execute(sharding.OP4_SQL)
+    columns = [d[0] for d in found.description]
+    assert sorted(found.fetchall()) == sorted(map(tuple, sharding.op4_byte_shards(spark, SMALL).select(*columns).collect()))
+
+
 def test_op4_odd_rows(spark):
     got = sharding.shard_by_bytes(odd(spark), 3).collect()
     assert len(got) == len(ODD) and min(r["size"] for r in got) == 8
