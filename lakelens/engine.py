@@ -1,11 +1,12 @@
 """One object over a store of tables: each service call as a library function on DataFrames.
 
-The store is a folder of Parquet tables: documents, chunks, vectors, runs, keys, spans. Writes append versions or rewrite a
-table from a checkpointed plan, so a table is never read and overwritten by one plan.
+The store is a folder of Parquet tables: documents, chunks, vectors, runs, keys. Writes add batches or new versions
+(``lakelens.sources.store``), so no table is overwritten in place.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -13,34 +14,40 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.functions import models
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
-from lakelens.operators import agent, chunking, evaluate, experiments, guardrails, rag, retrieve, router, security, telemetry
+from lakelens.operators import agent, chunking, evaluate, experiments, guardrails, rag, retrieve, router, security, telemetry, transform
 from lakelens.plans import sqlguard
-from lakelens.sources import files
 from lakelens.session import cut
+from lakelens.sources import files
+from lakelens.sources import store as tables
 from lakelens.streaming import ingest
 
 Embedder = Callable[[Column], Column]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, dims: int = 768, embed: Embedder | None = None, model: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, store: str, dims: int = 768, embed: Embedder | None = None, model: Callable[[str], str] | None = None, batch_model: models.BatchModel | None = None):
         self.spark, self.store, self.dims = spark, store.rstrip("/"), dims
         self.embed = embed or (lambda text: V.hash_embedding(text, dims))
         self.model = model or (lambda prompt: f"[MOCK RESPONSE] Processed query: '{prompt}'. Result: Mock result.")
+        self.batch_model = batch_model or models.each(self.model)
         self.tracer = telemetry.Tracer()
 
     # tables
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store}/{name}")
+        return tables.read(self.spark, self.store, name)
 
     def has(self, name: str) -> bool:
-        return files.exists(self.spark, f"{self.store}/{name}")
+        return tables.has(self.spark, self.store, name)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        cut(rows).write.mode("overwrite").parquet(f"{self.store}/{name}")
+        tables.replace(rows, self.store, name)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        tables.append(rows, self.store, name, uuid.uuid4().hex)
 
     def queries(self, *texts: str) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
@@ -64,11 +71,16 @@ class Engine:
         return {"documents": done[0], "departments": done[1], "chunks": self.table("chunks").count(), "vectors": self.table("vectors").count()}
 
     def index(self) -> None:
-        """Vectors of chunks that have none yet; the last write of a chunk wins."""
+        """Vectors of chunks that have none yet or whose content changed; the last write of a chunk wins."""
         chunks = self.table("chunks")
-        if self.has("vectors"):
-            chunks = chunks.join(self.table("vectors").select("chunk_id"), "chunk_id", "left_anti")
-        chunks.withColumn("embedding", self.embed(F.col("content"))).write.mode("append").parquet(f"{self.store}/vectors")
+        if not self.has("vectors"):
+            return self.append("vectors", chunks.withColumn("embedding", self.embed(F.col("content"))))
+        stored = self.table("vectors")
+        new = cut(chunks.join(stored.select("chunk_id", "chunk_hash"), ["chunk_id", "chunk_hash"], "left_anti").select(*chunks.columns).withColumn("embedding", self.embed(F.col("content"))))
+        if stored.join(new.select("chunk_id"), "chunk_id", "left_semi").isEmpty():
+            self.append("vectors", new)
+        else:
+            self.replace("vectors", files.upsert(stored, new))
 
     def documents(self) -> DataFrame:
         return chunking.document_summary(self.table("documents"), self.table("chunks"))
@@ -103,19 +115,15 @@ class Engine:
 
     def transformed_search(self, query: str, mode: str, answer: str, k: int = 5) -> DataFrame:
         """hyde, multi_query or step_back over a model's answer to the transformation prompt."""
-        if mode == "hyde":
-            return self.search(answer, strategy="semantic", k=k)
-        texts = agent.query_variations(query, answer) if mode == "multi_query" else [query, agent.step_back(query, answer)[0]]
-        lists = [self.search(t, strategy="semantic", k=k) for t in texts]
-        return retrieve.merge_by_max(lists, k)
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        return transform.transformed_search(asked, self.table("vectors"), mode, lambda prompts: [answer] * len(prompts), self.embed, k, rerank=False)
 
     def rag(self, *texts: str, k: int = 5, max_tokens: int = 4000, where: Column | None = None) -> DataFrame:
         queries = self.queries(*texts)
         found = retrieve.dense_search(queries, self.table("vectors"), k, where)
         rows = F.broadcast(found) if retrieve.fits(queries, k) else found
         rows = rows.join(self.table("vectors").select("chunk_id", "document_id", "source", "content"), "chunk_id")
-        answer = F.udf(self.model, "string")  # one call to a model for each query
-        return rag.rag_query(queries, rows, max_tokens, answer)
+        return rag.rag_query(queries, rows, max_tokens, lambda prompt: models.answers(self.batch_model, prompt))
 
     # routing and agent
 
@@ -144,8 +152,8 @@ class Engine:
 
     def dispatch(self, query: str, intent: str | None = None) -> tuple[str, object]:
         """(target, answer); a forced intent skips classification."""
-        intent = intent or self.classify(query).first()["intent"]
-        target = router.dispatch_target(intent, query)
+        asked = self.classify(query) if intent is None else self.queries(query).withColumn("intent", F.lit(intent))
+        target = asked.select(router.dispatch_target(F.col("intent"), F.col("query")).alias("target")).first()["target"]
         run = {"chat": self.model, "rag": lambda q: self.rag(q, k=4).first()["answer"], "sql": lambda q: sqlguard.execute(self.spark, q), "agent": self.agent}[target]
         return target, run(query)
 
@@ -170,24 +178,58 @@ class Engine:
     def log_run(self, row: tuple) -> None:
         """Append a version of a run: (run_id, experiment_name, run_name, parameters, metrics, tags, status, total_latency_ms, created_at, ordinal, version)."""
         schema = "run_id string, experiment_name string, run_name string, parameters map<string,string>, metrics map<string,double>, tags array<string>, status string, total_latency_ms double, created_at string, ordinal int, version long"
-        self.spark.createDataFrame([row], schema).write.mode("append").parquet(f"{self.store}/runs")
+        self.append("runs", self.spark.createDataFrame([row], schema))
+
+    def run(self, run_id: str) -> DataFrame:
+        return experiments.latest(self.table("runs")).filter(F.col("run_id") == run_id)
+
+    def update_run(self, run_id: str, **changes) -> None:
+        """A new version of a run with other values in some columns."""
+        old = self.run(run_id)
+        kinds = dict(old.dtypes)
+        self.append("runs", old.withColumns({c: F.lit(v).cast(kinds[c]) if not isinstance(v, dict) else F.create_map(*(F.lit(x) for kv in v.items() for x in kv)).cast(kinds[c]) for c, v in changes.items()}).withColumn("version", F.col("version") + 1))
+
+    def delete_run(self, run_id: str) -> None:
+        self.replace("runs", self.table("runs").filter(F.col("run_id") != run_id))
+
+    def sweep(self, experiment: str, strategies: list[str], top_k: list[int], run: Callable[[str, int], dict[str, float]], created_at: str) -> DataFrame:
+        """Run every cell of a grid, log it with its metrics and give the winner."""
+        cells = experiments.sweep_grid(self.spark, experiment, strategies, top_k).orderBy("ordinal").collect()  # a grid's cells
+        for c in cells:
+            start = time.perf_counter()
+            metrics = run(c["parameters"]["strategy"], int(c["parameters"]["top_k"]))
+            row = (f"{experiment}-{c['run_name']}", experiment, c["run_name"], c["parameters"], metrics, c["tags"], "completed", (time.perf_counter() - start) * 1000, created_at, c["ordinal"], 1)
+            self.log_run(row)
+        return experiments.sweep_winner(self.runs(experiment, len(cells)))
 
     def runs(self, experiment: str | None = None, limit: int = 50) -> DataFrame:
         return experiments.list_runs(experiments.latest(self.table("runs")), experiment, limit)
 
     def create_key(self, name: str, scopes: list[str], now: datetime) -> str:
         raw, row = security.new_key(self.spark, name, scopes, now)
-        row.write.mode("append").parquet(f"{self.store}/keys")
+        self.append("keys", row)
         return raw
 
     def keys(self) -> DataFrame:
         return experiments.latest(self.table("keys"), "key_id")
 
     def revoke_key(self, key_id: str) -> None:
-        cut(security.revoke_key(self.keys(), key_id)).write.mode("append").parquet(f"{self.store}/keys")
+        self.append("keys", security.revoke_key(self.keys(), key_id))
+
+    def rotate_key(self, key_id: str, now: datetime, grace_hours: int = security.GRACE_HOURS) -> str:
+        raw, rows = security.rotate_key(self.spark, self.keys(), key_id, now, grace_hours)
+        self.append("keys", rows)
+        return raw
 
     def traces(self, **filters) -> DataFrame:
         return telemetry.filter_traces(telemetry.roll_up(self.tracer.table(self.spark)), **filters)
 
+    def trace(self, trace_id: str) -> DataFrame:
+        """The spans of a trace, in order."""
+        return self.tracer.table(self.spark).filter(F.col("trace_id") == trace_id).orderBy("ordinal")
+
+    def clear_traces(self) -> None:
+        self.tracer.rows.clear()
+
     def token_estimates(self) -> DataFrame:
         return self.table("chunks").select("chunk_id", T.estimate_tokens(F.col("content")).alias("tokens"))

@@ -1,7 +1,7 @@
 """Retrieval for whole batches of queries: BM25, dense top-k, fusion, reranking, multi-query merges (RK*, AG1-3, JN*).
 
 An index is tables: postings (term, chunk_id, tf, dl), terms (term, df) and one row of statistics. Queries are a table
-too, so any number of them run in one job. Query terms are broadcast only up to BROADCAST_TERMS rows.
+too, so any number of them run in one job. Sides are broadcast only where a bounded look shows few rows and bytes.
 """
 
 from __future__ import annotations
@@ -14,22 +14,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
+from lakelens.session import cut
 
 K1, B = 1.2, 0.75
 #: Added before rounding, so that ties which floating point leaves undecided always go up.
 TIE = 1e-9
-BROADCAST_TERMS = 200_000
-MATRIX_QUERIES = 4096
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Numbers of the queries' vectors up to which they are one matrix on a worker, and how many a vector counts for besides.
+MATRIX_VALUES, WIDEST = 1 << 22, 64
+NUMBERS = ("float", "double", "integer", "long", "short", "byte")
+#: A term that no text has: its posting carries a chunk's length.
+LENGTH = ""
+
+
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of each different token of an array, from its sorted form: no row leaves its task for that."""
+
+    def runs(sorted_: Column) -> Column:
+        places = F.transform(sorted_, lambda _, i: i)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        ends = lambda firsts, i: F.coalesce(F.get(firsts, i + 1), F.size(sorted_))
+        return V.let(starts, lambda firsts: F.transform(firsts, lambda p, i: F.struct(F.get(sorted_, p).alias("term"), (ends(firsts, i) - p).cast("long").alias("tf"))))
+
+    return V.let(F.array_sort(tokens), runs)
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) from (chunk_id, content); the document length rides along, so no join is needed."""
+    """(chunk_id, dl, term, tf) from (chunk_id, content); counted inside each row, so nothing is shuffled."""
     tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t"))
-    return tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return tokens.select("chunk_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p")).select("chunk_id", "dl", "p.*")
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -41,13 +58,24 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(n), F.lit(1.0)).alias("avgdl"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """Broadcast a side that a bounded look shows to be small; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: eight for each column, and what its texts and arrays hold."""
+    total = F.lit(0)
+    for field in df.schema:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        size = F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind == "array" and field.dataType.elementType.typeName() in NUMBERS else F.length(F.to_json(F.struct(c))) if kind in ("array", "struct", "map") else F.lit(0)
+        total = total + 8 + F.coalesce(size, F.lit(0))
+    return total
 
 
-def fits(queries: DataFrame, per_query: int = 1, rows: int = BROADCAST_TERMS) -> bool:
-    """Whether at most ``per_query`` rows for each query are few enough to broadcast; looks at the queries only."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a side that a bounded look shows to have few rows and bytes; otherwise leave the join to the planner."""
+    seen = df.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(df).cast("long"))).first()
+    return F.broadcast(df) if seen[0] <= rows and (seen[1] or 0) <= size else df
+
+
+def fits(queries: DataFrame, per_query: int = 1, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether at most ``per_query`` narrow rows for each query are few enough to broadcast; looks at the queries only."""
     return queries.limit(rows + 1).count() * per_query <= rows
 
 
@@ -57,16 +85,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Raw positive scores (query_id, chunk_id, raw). Postings are cut to the queries' terms before they are counted."""
+    """Raw positive scores (query_id, chunk_id, raw).
+
+    Texts are tokenized once: postings are counted inside rows, cut to the queries' terms and written to the shared folder,
+    with one posting of LENGTH for each chunk, from which frequencies and statistics come as well.
+    """
     wanted = query_terms(queries)
     hint = F.broadcast if fits(wanted) else (lambda df: df)  # the weights have a row for each query term at most
-    terms = hint(wanted.select("term").distinct())
-    tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    postings = tokens.join(terms, "term").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    frequencies = term_frequencies(postings)
+    terms = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string"))
+    tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.coalesce(term_counts(F.col("t")), F.array()).alias("c"))
+    counted = tokens.select("chunk_id", "dl", F.explode(F.concat("c", F.array(F.struct(F.lit(LENGTH).alias("term"), F.lit(1).cast("long").alias("tf"))))).alias("p"))
+    postings = cut(counted.select("chunk_id", "dl", "p.*").join(hint(terms), "term"))
+    stats = postings.filter(F.col("term") == LENGTH).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.greatest("dl", F.lit(0))), F.lit(1.0)).alias("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = hint(wanted.join(frequencies, "term").crossJoin(F.broadcast(corpus_stats(chunks))))  # statistics: one row
+    weighted = hint(wanted.join(term_frequencies(postings), "term").crossJoin(F.broadcast(stats)))  # statistics: one row
     return postings.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw")).filter("raw > 0")
 
 
@@ -75,28 +108,37 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
-    """Scores over the query's greatest raw score of all chunks, rounded; ``where`` filters chunks after that."""
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, where: Column | None = None, min_score: float = 0.0, over: str = "all") -> DataFrame:
+    """Scores over the query's greatest raw score, rounded; ``where`` filters chunks.
+
+    The greatest is that of all chunks, or with ``over`` "found" that of the chunks that the filter leaves, as an external
+    index normalises (RK11).
+    """
     best = F.max("raw").over(Window.partitionBy("query_id"))
-    scored = bm25_scores(queries, chunks).withColumn("score", F.round(F.col("raw") / best, 4))
-    if where is not None:
-        scored = scored.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi")
+    scored = bm25_scores(queries, chunks)
+    allowed = None if where is None else chunks.filter(where).select("chunk_id")
+    if allowed is not None and over == "found":
+        scored, allowed = scored.join(allowed, "chunk_id", "left_semi"), None
+    scored = scored.withColumn("score", F.round(F.col("raw") / best, 4))
+    if allowed is not None:
+        scored = scored.join(allowed, "chunk_id", "left_semi")
     return top_k(scored.filter(F.col("score") >= min_score).select("query_id", "chunk_id", "score"), k, F.desc("score"), F.asc("chunk_id"))
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
     """Exact cosine top-k of a stated query set against all vectors, which are read once; the filter comes before top-k.
 
-    Up to MATRIX_QUERIES queries are a matrix sent to the workers: each Arrow batch of vectors is one matrix product of which
-    the k best of each query are kept, so only k rows for each query and batch are shuffled. More queries go through a join.
+    Queries of up to MATRIX_VALUES numbers are a matrix sent to the workers: each Arrow batch of vectors is one matrix product
+    of which the k best of each query are kept, so only k rows for each query and batch are shuffled. More queries are blocks
+    that meet the blocks of vectors (``_block_scores``).
     """
     vectors = vectors if where is None else vectors.filter(where)
-    given = queries.select("query_id", "embedding").limit(MATRIX_QUERIES + 1).collect()
-    if len(given) <= MATRIX_QUERIES:
-        scored = _matrix_scores(given, queries.schema["query_id"].dataType, vectors.select("chunk_id", "embedding"), k, min_score)
+    vectors = vectors.select("chunk_id", "embedding")
+    asked, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
+    if asked * WIDEST + numbers <= 2 * MATRIX_VALUES:
+        scored = _matrix_scores(queries.select("query_id", "embedding").collect(), queries.schema["query_id"].dataType, vectors, k, min_score)
     else:
-        pairs = vectors.select("chunk_id", "embedding").join(queries.select("query_id", F.col("embedding").alias("q")))
-        scored = pairs.select("query_id", "chunk_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        scored = _block_scores(queries.select("query_id", "embedding"), vectors, k, min_score)
     scored = scored.filter(F.col("score") >= min_score) if min_score > 0 else scored
     return top_k(scored, k, F.desc("score"), F.asc("chunk_id"))
 
@@ -106,30 +148,71 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def _best(queries: np.ndarray, vectors: np.ndarray, k: int, min_score: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, vectors, scores) of the k best of a block for each query; ties at the k-th score are all kept."""
+    size = queries.shape[1]
+    scores = np.clip(np.round(_unit(queries) @ _unit(vectors).T, 6), -1, 1) if size and size == vectors.shape[1] else np.zeros((len(queries), len(vectors)))
+    floors = np.partition(scores, len(vectors) - k, axis=1)[:, len(vectors) - k] if len(vectors) > k else np.full(len(queries), -2.0)
+    for i, floor in enumerate(floors.tolist()):
+        keep = np.flatnonzero(scores[i] >= max(floor, min_score) if min_score > 0 else scores[i] >= floor)
+        yield i, keep, scores[i, keep]
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrices of the vectors (second column) of each length."""
+    lists = batch.column(1)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield rows, pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+
+
 def _matrix_scores(given: list, id_type: DataType, vectors: DataFrame, k: int, min_score: float) -> DataFrame:
-    """(query_id, chunk_id, score) of the k best of each batch and query; ties at the k-th score are all kept."""
+    """(query_id, chunk_id, score) of the k best of each batch and query."""
     number = vectors.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(given)], StructType().add("_q", "long").add("query_id", id_type))
-    wanted = [np.array(r["embedding"] or [], np.float64) for r in given]
+    wanted: dict[int, list[tuple[int, list]]] = {}
+    for i, r in enumerate(given):
+        wanted.setdefault(len(r["embedding"] or []), []).append((i, r["embedding"] or []))
+    matrices = [(np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64).reshape(len(rows), size)) for size, rows in wanted.items()]
     schema = StructType().add("_q", "long").add(vectors.schema["chunk_id"]).add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size: dict[int, list[int]] = {}
-        for i, q in enumerate(wanted):
-            by_size.setdefault(len(q), []).append(i)
         for batch in batches:
-            lists = batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            for size in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == size)
-                values = pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
-                asked = by_size.get(size, [])
-                same = np.round(_unit(np.stack([wanted[i] for i in asked])) @ _unit(values).T, 6) if asked and size else np.zeros((len(asked), len(rows)))
-                for i, scores in [*zip(asked, np.clip(same, -1, 1), strict=True), *((i, np.zeros(len(rows))) for n, other in by_size.items() if n != size for i in other)]:
-                    floor = np.partition(scores, len(rows) - k)[len(rows) - k] if len(rows) > k else -2.0
-                    keep = np.flatnonzero(scores >= max(floor, min_score) if min_score > 0 else scores >= floor)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), i, np.int64)), batch.column(0).take(pa.array(rows[keep])), pa.array(scores[keep])], names=["_q", "chunk_id", "score"])
-
-    return vectors.mapInArrow(run, schema).join(F.broadcast(number), "_q").drop("_q")  # MATRIX_QUERIES rows at most
+            for rows, values in _by_size(batch):
+                for numbers, matrix in matrices:
+                    for i, keep, scores in _best(matrix, values, k, min_score):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), numbers[i], np.int64)), batch.column(0).take(pa.array(rows[keep])), pa.array(scores)], names=["_q", "chunk_id", "score"])
+
+    return vectors.mapInArrow(run, schema).join(F.broadcast(number), "_q").drop("_q")  # as many rows as ``given``
+
+
+def _blocks(df: DataFrame, prefix: str) -> DataFrame:
+    """One row for each Arrow batch and vector length: the ids and the vectors' numbers."""
+    kind = df.schema[0].dataType
+    schema = StructType().add(f"{prefix}_ids", ArrayType(kind)).add(f"{prefix}_size", "long").add(f"{prefix}_values", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, values in _by_size(batch):
+                ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column(0).take(pa.array(rows)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([values.shape[1]]), pa.array([values.tobytes()])], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _block_scores(queries: DataFrame, vectors: DataFrame, k: int, min_score: float) -> DataFrame:
+    """The same for any number of queries: every block of queries meets every block of vectors once, as one product."""
+    schema = StructType().add(queries.schema["query_id"]).add(vectors.schema["chunk_id"]).add("score", "double")
+    pairs = _blocks(vectors, "v").crossJoin(_blocks(queries, "q"))  # blocks, not rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                v, q = ((batch.column(c)[n].values, np.frombuffer(batch.column(c + 2)[n].as_py()).reshape(len(batch.column(c)[n]), batch.column(c + 1)[n].as_py())) for c in (0, 3))
+                for i, keep, scores in _best(q[1], v[1], k, min_score):
+                    yield pa.RecordBatch.from_arrays([q[0].take(pa.array(np.full(len(keep), i))), v[0].take(pa.array(keep)), pa.array(scores)], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
 
 
 def _sides(dense: DataFrame, sparse: DataFrame) -> DataFrame:

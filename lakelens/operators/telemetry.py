@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -116,10 +119,37 @@ _current: ContextVar[tuple[str, str] | None] = ContextVar("lakelens_span", defau
 
 
 class Tracer:
-    """Driver-side recorder of nested spans; ``table`` gives them as a DataFrame for the operators above."""
+    """Driver-side recorder of nested spans; ``table`` gives them as a DataFrame for the operators above.
 
-    def __init__(self) -> None:
+    Inside a span, ``values`` are its attributes: ``event`` and ``model_call`` add to them, and ``export`` is called with
+    each finished span (``print_span`` for a console).
+    """
+
+    def __init__(self, export: Callable[[dict], None] | None = None) -> None:
         self.rows: list[tuple] = []
+        self.export = export
+
+    @staticmethod
+    def event(values: dict, name: str, **attributes: object) -> None:
+        """A named moment of a span, kept as an attribute with its time."""
+        values[f"event.{sum(k.startswith('event.') for k in values)}"] = json.dumps({"name": name, "time_ns": time.time_ns(), **{k: str(v) for k, v in attributes.items()}})
+
+    @staticmethod
+    def model_call(values: dict, model: str, prompt_tokens: int, completion_tokens: int) -> None:
+        values |= {"gen_ai.request.model": model, "gen_ai.usage.prompt_tokens": str(prompt_tokens), "gen_ai.usage.completion_tokens": str(completion_tokens)}
+
+    def trace(self, name: str | None = None, kind: str = "INTERNAL") -> Callable:
+        """A decorator that runs a function in a span."""
+
+        def wrap(fn: Callable) -> Callable:
+            @functools.wraps(fn)
+            def traced(*args, **kwargs):
+                with self.span(name or fn.__name__, kind):
+                    return fn(*args, **kwargs)
+
+            return traced
+
+        return wrap
 
     @contextmanager
     def span(self, name: str, kind: str = "INTERNAL", **attributes: object):
@@ -135,12 +165,20 @@ class Tracer:
         finally:
             _current.reset(token)
             end = time.time_ns()
-            self.rows.append((trace_id, span_id, parent[1] if parent else None, name, kind, values, start, end, round((end - start) / 1e6, 3), status, error, len(self.rows)))
+            row = (trace_id, span_id, parent[1] if parent else None, name, kind, values, start, end, round((end - start) / 1e6, 3), status, error, len(self.rows))
+            self.rows.append(row)
+            if self.export:
+                self.export(dict(zip([c.split()[0] for c in SPAN.split(", ")], row, strict=True)))
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, SPAN)
 
 
+def print_span(span: dict) -> None:
+    """A line for each finished span."""
+    print(f"[{span['status_code']}] {span['name']} {span['duration_ms']} ms trace={span['trace_id']} parent={span['parent_span_id']}")
+
+
 def running_window_counts(df: DataFrame, key: str, micros: str, seconds: float) -> DataFrame:
     """Rows of the same key in the last ``seconds``, the row itself included (WN4)."""
     own = Window.partitionBy(key).orderBy(micros).rangeBetween(-int(seconds * 1_000_000) + 1, 0)

@@ -88,6 +88,22 @@ def test_gl7_tracer(spark):
     assert got["inner"]["parent_span_id"] == got["outer"]["span_id"] and got["outer"]["status_code"] == "ERROR"
 
 
+def test_gl7_events_models_decorator_and_export(spark, capsys):
+    tracer = telemetry.Tracer(telemetry.print_span)
+
+    @tracer.trace("step", kind="LLM")
+    def step(x):
+        return x + 1
+
+    with tracer.span("outer") as values:
+        tracer.event(values, "cache", hit=True)
+        tracer.model_call(values, "m", 3, 4)
+        assert step(1) == 2
+    got = {r["name"]: r for r in tracer.table(spark).collect()}
+    assert got["step"]["parent_span_id"] == got["outer"]["span_id"] and '"name": "cache"' in got["outer"]["attributes"]["event.0"]
+    assert telemetry.roll_up(tracer.table(spark)).first()["total_tokens"] == 7 and "[OK] outer" in capsys.readouterr().out
+
+
 def test_st1_limiter(spark):
     recent: list[float] = []
     got = [limits.admit(recent, t, 3, 2, 60.0)[0] for t in (0.0, 0.1, 0.2, 2.0, 3.0, 61.0)]
@@ -112,6 +128,40 @@ def test_st4_incremental_ingest(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/documents").count() == 2 and spark.read.parquet(f"{tmp_path}/chunks").count() == 2
 
 
+def test_st4_repeated_rows_batches_and_changes(spark, tmp_path):
+    """A repeated row is chunked once, a batch that comes again changes nothing, and a changed document gives way."""
+    from lakelens.sources import store
+
+    folder = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "document_id string, content string")
+    ingest.ingest_batch(rows(("1", "alpha"), ("1", "alpha"), ("2", "beta")), folder, "s0")
+    ingest.ingest_batch(rows(("3", "gamma"), ("2", "beta")), folder, "s1")
+    ingest.ingest_batch(rows(("3", "gamma"), ("2", "beta")), folder, "s1")
+    table = lambda name: sorted((r["document_id"], r["content"]) for r in store.read(spark, folder, name).collect())
+    assert table("documents") == table("chunks") == [("1", "alpha"), ("2", "beta"), ("3", "gamma")]
+    store.append(spark.createDataFrame([], store.read(spark, folder, "documents").schema), folder, "documents", "s1")  # lost between the two writes
+    ingest.ingest_batch(rows(("3", "gamma"), ("2", "beta")), folder, "s1")
+    assert table("documents") == table("chunks") == [("1", "alpha"), ("2", "beta"), ("3", "gamma")]
+    ingest.ingest_batch(rows(("1", "delta")), folder, "s2")
+    assert table("documents") == table("chunks") == [("1", "delta"), ("2", "beta"), ("3", "gamma")]
+
+
+def test_snk_store_versions(spark, tmp_path):
+    """A rewrite that is not whole is not read."""
+    from lakelens.sources import store
+
+    folder = str(tmp_path)
+    store.append(spark.range(3), folder, "t", "a")
+    store.append(spark.range(3, 5), folder, "t", "b")
+    store.replace(store.read(spark, folder, "t").filter("id > 0"), folder, "t")
+    assert store.read(spark, folder, "t").count() == 4
+    store.replace(store.read(spark, folder, "t").filter("id > 2"), folder, "t")
+    (tmp_path / "t" / "table_version=2" / "table_batch=base" / "_SUCCESS").unlink()
+    assert store.read(spark, folder, "t").count() == 4
+    store.append(spark.range(9, 10), folder, "t", "c")
+    assert store.read(spark, folder, "t").count() == 5
+
+
 def test_src1_directory_scan(spark, tmp_path):
     (tmp_path / "hr").mkdir()
     (tmp_path / "hr" / "leave_policy.md").write_text("# Leave Policy\n\n## Rules\nSixteen weeks.")
@@ -165,9 +215,12 @@ def test_ap1_ap6_agent():
     step = agent.parse_step('Thought: add\nAction: calculator\nAction Input: {"expression": "2+3*4"}')
     assert (step.action, step.action_input) == ("calculator", {"expression": "2+3*4"})
     assert agent.parse_step("Thought: done\nFinal Answer: 14").final_answer == "14"
+    step = agent.parse_step("Thought: Evaluating.\nAction: calculator\nAction Input: ```json\n{\n  \"expression\": \"100 + 250\"\n}\n```\n")
+    assert (step.thought, step.action_input) == ("Evaluating.", {"expression": "100 + 250"})
+    step = agent.parse_step("action: search\nAction Input: plain words\nObservation: none")
+    assert (step.thought, step.action, step.action_input) == ("Invoking tool search", "search", {"input": "plain words"})
+    assert agent.parse_step("Just text.").final_answer == "Just text." and agent.parse_step("Thought: a\n\nb").final_answer == "b"
     assert agent.calculate("2**10/4") == "256" and agent.calculate("1/0").startswith("Error: Division") and "Error" in agent.calculate("9**9999999") and "Error" in agent.calculate("__import__('os')")
     answers = iter(['Thought: a\nAction: calculator\nAction Input: {"expression": "6*7"}', "Final Answer: 42"])
     assert agent.run_agent("6*7?", lambda _: next(answers), agent.Registry(*agent.basic_tools()))[0] == "42"
-    assert agent.query_variations("q", '1. "First"\n- second\nq\n3) third\nfourth') == ["q", "First", "second", "third"]
-    assert agent.step_back("q", "Step-Back Question: why?\nRationale: because") == ("why?", "because")
     assert agent.markdown_table(["a"], [[None]]) == "| a |\n| --- |\n| NULL |"

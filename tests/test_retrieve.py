@@ -56,6 +56,38 @@ def test_rk16_rerank_and_forced(spark):
     assert [r["chunk_id"] for r in forced] == ["c1"]
 
 
+def test_rk5_blocks_of_queries_equal_one_matrix(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    vector = lambda n: [rng.gauss(0, 1) for _ in range(n)]
+    rows = [(f"c{i}", vector(6)) for i in range(70)] + [("other", vector(3)), ("none", None), ("zero", [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, vector(6)) for i in range(30)] + [(99, vector(3)), (98, [])], "query_id long, embedding array<double>").repartition(3)
+    search = lambda: sorted(map(tuple, retrieve.dense_search(queries, vectors, 5).select("query_id", "rank", "chunk_id", "score").collect()))
+    want = search()
+    monkeypatch.setattr(retrieve, "MATRIX_VALUES", 64)
+    assert search() == want and len(want) == 32 * 5
+
+
+def test_ag1_counts_inside_rows(spark):
+    from collections import Counter
+
+    texts = ["b a b c b", "", "one", "x " * 500 + "y", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    got = retrieve.build_postings(rows).collect()
+    want = {(i, w, n, len(t.split())) for i, t in enumerate(texts) if t for w, n in Counter(t.split()).items()}
+    assert {(r["chunk_id"], r["term"], r["tf"], r["dl"]) for r in got} == want
+    plan = retrieve.build_postings(rows)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
+def test_small_sides_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, "t" * 1000, [1.0, 2.0]) for i in range(50)], "id int, t string, v array<double>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(retrieve.small(rows)) and not hinted(retrieve.small(rows, size=40_000)) and not hinted(retrieve.small(rows, rows=49))
+
+
 def test_rk20_merge_keeps_best(spark):
     a, b = lists(spark, [(0, "x", 0.5, 1), (0, "y", 0.4, 2)], [(0, "y", 0.9, 1)])
     got = retrieve.merge_by_max([a, b]).orderBy("rank").collect()
@@ -72,10 +104,18 @@ def test_rt1_heuristics(spark):
     }
     rows = ask(spark, *cases).select("query", router.heuristic_intent(F.col("query"))["intent"].alias("i")).collect()
     assert {r["query"]: r["i"] for r in rows} == cases
-    assert router.parse_model_intent('```json\n{"intent": "rag_search", "confidence": 2}\n```') == ("rag_search", 1.0)
-    assert router.parse_model_intent("maybe sql_database") == ("sql_database", 0.75)
-    assert router.parse_model_intent("?") == ("direct_chat", 0.5)
-    assert router.dispatch_target("sql_database", "select 1") == "sql"
+    cases = {
+        '```json\n{"intent": "rag_search", "confidence": 2}\n```': ("rag_search", 1.0),
+        '{"intent": " SQL_Database "}': ("sql_database", 0.85),
+        '{"intent": "rag_search", "confidence": "high"}': ("rag_search", 0.75),
+        '{"intent": "none", "confidence": 1}': ("direct_chat", 0.5),
+        "maybe sql_database": ("sql_database", 0.75),
+        "?": ("direct_chat", 0.5),
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "a string").select("a", router.model_intent(F.col("a")).alias("m")).collect()
+    assert {r["a"]: tuple(r["m"]) for r in got} == cases
+    targets = spark.createDataFrame([("sql_database", "select 1"), ("sql_database", "how many"), ("rag_search", "x")], "i string, q string")
+    assert [r["t"] for r in targets.select(router.dispatch_target(F.col("i"), F.col("q")).alias("t")).collect()] == ["sql", "agent", "rag"]
 
 
 def found(spark, *contents):
