@@ -10,7 +10,7 @@ from lakelens.functions import text as T
 from lakelens.operators import evaluate, experiments, rag, retrieve, security, telemetry
 from lakelens.plans import sqlguard
 from lakelens.queries.common import micros, query, table
-from lakelens.queries.texts import as_chunks, sql_words
+from lakelens.queries.texts import WHOLE_ITEMS, as_chunks, bm25_sql, sql_words
 from lakelens.session import DEFAULTS, scratch
 from lakelens.streaming import limits
 
@@ -34,15 +34,18 @@ def samples(spark, sf):
     contexts = ranked_documents(spark, sf, 4).groupBy(F.col("query_id").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c"))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("ground_truth"))
     texts = F.coalesce(F.transform("c", lambda x: x["content"]), F.array().cast("array<string>"))
-    return items.join(contexts, "sample_id", "left").select("sample_id", F.substring("ground_truth", 1, 60).alias("query"), F.lit(None).cast("string").alias("answer"), "ground_truth", texts.alias("contexts"))
+    return items.join(contexts, "sample_id", "left").select("sample_id", F.col("ground_truth").alias("query"), F.lit(None).cast("string").alias("answer"), "ground_truth", texts.alias("contexts"))
 
 
 @query(
     "context_precision",
-    f"""WITH s AS (SELECT item_id AS sample_id, {eval_words_sql("b.text")} AS gt, d.doc_id, {EVAL_TOKENS % "left(d.text, 3000)"} AS ct FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE d.doc_id < 160),
-    r AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY doc_id) AS pos, CASE WHEN len(gt) = 0 OR len(list_intersect(gt, ct)) / len(gt) >= 0.25 THEN 1 ELSE 0 END AS rel FROM s),
-    p AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY pos) / pos AS prec FROM r)
-    SELECT sample_id, round(coalesce(avg(CASE WHEN rel = 1 THEN prec END), 0), 4) AS context_precision FROM p GROUP BY sample_id""",
+    bm25_sql(
+        asked=WHOLE_ITEMS,
+        tail=f""", c AS (SELECT b.item_id AS sample_id, {eval_words_sql("b.text")} AS gt, k.rank AS pos, {EVAL_TOKENS % "d.text"} AS ct FROM k JOIN benchmark b ON b.item_id = k.query_id JOIN d ON d.doc_id = k.chunk_id WHERE k.rank <= 4),
+    rated AS (SELECT *, CASE WHEN len(gt) = 0 OR len(list_intersect(gt, ct)) / len(gt) >= 0.25 THEN 1 ELSE 0 END AS rel FROM c),
+    v AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY pos) / pos AS prec FROM rated)
+    SELECT item_id AS sample_id, round(coalesce(avg(CASE WHEN rel = 1 THEN prec END), 0), 4) AS context_precision FROM benchmark LEFT JOIN v ON item_id = sample_id GROUP BY item_id""",
+    ),
 )
 def context_precision(spark, sf):
     return evaluate.context_precision(samples(spark, sf))
@@ -162,7 +165,17 @@ def trace_stats(spark, sf):
     return telemetry.trace_stats(telemetry.roll_up(spans(spark, sf)))
 
 
-@query("otlp_payloads")
+OTLP_SPAN = """'{"traceId":"' || trace_id || '","spanId":"' || event_id || '","name":"' || event_type || '","kind":1,"startTimeUnixNano":"' || st || '","endTimeUnixNano":"' || en || '","attributes":['
+    || '{"key":"gen_ai.usage.prompt_tokens","value":{' || coalesce('"stringValue":"' || k || '"', '') || '}},{"key":"gen_ai.usage.completion_tokens","value":{"stringValue":"1"}}],"status":{"code":'
+    || CASE WHEN event_type = 'error' THEN 2 ELSE 1 END || ',"message":""}' || CASE WHEN event_id % 3 <> 0 THEN ',"parentSpanId":"parent"' ELSE '' END || '}'"""
+
+
+@query(
+    "otlp_payloads",
+    TRACES
+    + f""" SELECT trace_id, '{{"resourceSpans":[{{"resource":{{"attributes":[{{"key":"service.name","value":{{"stringValue":"lakelens"}}}}]}},"scopeSpans":[{{"scope":{{"name":"lakelens.tracer"}},"spans":['
+    || string_agg({OTLP_SPAN}, ',' ORDER BY event_id) || ']}}]}}]}}' AS payload FROM s GROUP BY trace_id""",
+)
 def otlp_payloads(spark, sf):
     return telemetry.otlp_payload(spans(spark, sf).withColumn("error_message", F.lit(None).cast("string")))
 
@@ -177,7 +190,16 @@ def requests(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("client_key"), "event_id", (micros("ts") / 3.6e9).alias("at"))
 
 
-@query("rate_limit_admission")
+ADMISSION = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client_key, event_id, epoch_us(ts) / 3.6e9 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+r AS (SELECT '' AS client_key, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS "at", CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS recent, true AS allowed, 0 AS remaining, 0 AS retry_after
+    UNION ALL SELECT client_key, event_id, "at", n, CASE WHEN burst OR full_ THEN kept ELSE list_append(kept, "at") END, NOT (burst OR full_),
+        CASE WHEN burst OR full_ THEN 0 ELSE CAST(5 - len(kept) - 1 AS INTEGER) END, CASE WHEN burst THEN 1 WHEN full_ THEN greatest(1, CAST(trunc(60.0 - ("at" - kept[1])) AS INTEGER)) ELSE 0 END
+    FROM (SELECT *, len(list_filter(kept, lambda t: t > "at" - 1.0)) >= 2 AS burst, len(kept) >= 5 AS full_ FROM (
+        SELECT e.*, list_filter(CASE WHEN e.n = 1 THEN CAST([] AS DOUBLE[]) ELSE r.recent END, lambda t: t > e."at" - 60.0) AS kept FROM r JOIN e ON e.n = r.n + 1 AND (e.n = 1 OR e.client_key = r.client_key))))
+SELECT client_key, event_id, "at", allowed, remaining, retry_after FROM r WHERE n > 0"""
+
+
+@query("rate_limit_admission", ADMISSION)
 def rate_limit_admission(spark, sf):
     return limits.admit_batch(requests(spark, sf), limit=5, burst=2, window=60.0)
 
@@ -188,7 +210,7 @@ def rate_window_counts(spark, sf):
     return telemetry.running_window_counts(rows, "user_id", "us", 3600).select("event_id", "in_window")
 
 
-@query("rate_limit_stream")
+@query("rate_limit_stream", ADMISSION)
 def rate_limit_stream(spark, sf):
     """The streaming limiter over the table as a stream, run to its end; its state store needs RocksDB."""
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -271,10 +293,17 @@ for _name, _sql in SQL_QUERIES.items():
     guarded(_name, _sql)
 
 
-@query("schema_reflection")
+REFLECTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in REFLECTED)
+
+
+@query(
+    "schema_reflection",
+    f"""SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' ELSE lower(data_type) END AS type,
+    is_nullable = 'YES' AS nullable, n AS row_count FROM information_schema.columns JOIN ({COUNTS}) ON t = table_name""",
+)
 def schema_reflection(spark, sf):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    found = sqlguard.reflect({n: table(spark, sf, n) for n in names}, samples=0)
+    found = sqlguard.reflect({n: table(spark, sf, n) for n in REFLECTED}, samples=0)
     rows = [(t["table"], c["name"], c["type"], c["nullable"], t["row_count"]) for t in found for c in t["columns"]]
     return spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean, row_count long")
 
