@@ -10,7 +10,7 @@ from lakelens.functions import text as T
 from lakelens.operators import evaluate, experiments, rag, retrieve, security, telemetry
 from lakelens.plans import sqlguard
 from lakelens.queries.common import micros, query, table
-from lakelens.queries.texts import WHOLE_ITEMS, as_chunks, bm25_sql, sql_words
+from lakelens.queries.texts import GT, WHOLE_ITEMS, as_chunks, bigrams_sql, bm25_sql, sql_words, words_sql
 from lakelens.session import DEFAULTS, scratch
 from lakelens.streaming import limits
 
@@ -21,6 +21,39 @@ def eval_words_sql(column: str) -> str:
     return f"list_filter(list_distinct({EVAL_TOKENS % column}), lambda w: len(w) > 1 AND NOT list_contains({sql_words(T.EVAL_STOPWORDS)}, w))"
 
 
+def stem_sql(word: str) -> str:
+    cases = " ".join(f"WHEN ends_with({word}, '{s}') AND length({word}) > {len(s) + 2} THEN {word}[:-{len(s) + 1}]" for s in T.SUFFIXES)
+    return f"CASE {cases} ELSE {word} END"
+
+
+def sentences_sql(text: str) -> str:
+    """Sentences of over five characters: lines without list marks are cut at final marks, and pieces after an abbreviation or with a small first letter are put back."""
+    lines = f"list_transform(string_split(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(trim(x), '^[-*•]\\s+|\\d+\\.\\s+', '', 'g')))"
+    word = "regexp_replace(lower(regexp_extract(x, '(\\S*?)[.!?]+$', 1)), '[^\\p{L}\\p{N}_.]', '', 'g')"
+    short = f"(list_contains({sql_words(sorted(T.ABBREVIATIONS))}, {word}) OR list_contains({sql_words(sorted(T.ABBREVIATIONS))}, rtrim({word}, '.')))"
+    small = "(lower(left(y, 1)) = left(y, 1) AND upper(left(y, 1)) <> left(y, 1))"
+    pieces = "string_split(regexp_replace(z, '([.!?]+)\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    joined = f"list_reduce({pieces}, lambda x, y: x || CASE WHEN {short} OR {small} THEN ' ' ELSE chr(2) END || y)"
+    return f"list_filter(list_transform(flatten(list_transform({lines}, lambda z: string_split({joined}, chr(2)))), lambda x: trim(x)), lambda x: length(x) > 5)"
+
+
+NUMBERS_SQL = "list_distinct(regexp_extract_all(%s, '\\b\\d+(?:\\.\\d+)?\\b'))"
+
+
+def metrics_sql(tail: str) -> str:
+    """Items with the joined texts of the four documents that rank best for them (rows ctx) and shares of their sentences (rows m)."""
+    covered = "len(w) = 0 OR len(list_intersect(w, ct)) / len(w) >= 0.4"
+    return bm25_sql(
+        asked=WHOLE_ITEMS,
+        tail=f""", ctx AS (SELECT item_id, b.text, string_agg(d.text, ' ' ORDER BY k.rank) AS ctx FROM benchmark b LEFT JOIN k ON b.item_id = k.query_id AND k.rank <= 4 LEFT JOIN d ON d.doc_id = k.chunk_id GROUP BY ALL),
+    sen AS (SELECT item_id, ctx, unnest({sentences_sql("text")}) AS sentence FROM ctx),
+    wrd AS (SELECT item_id, {eval_words_sql("sentence")} AS w, {EVAL_TOKENS % "ctx"} AS ct, {NUMBERS_SQL % "sentence"} AS sn, {NUMBERS_SQL % "ctx"} AS cn FROM sen),
+    m AS (SELECT item_id, round(avg(CASE WHEN {covered} THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(CASE WHEN len(w) = 0 OR (({covered}) AND len(list_filter(sn, lambda x: NOT list_contains(cn, x))) = 0) THEN 1.0 ELSE 0.0 END), 4) AS faithful FROM wrd GROUP BY item_id),
+    o AS (SELECT ctx.item_id AS sample_id, ctx.text, CASE WHEN trim(text) = '' THEN 1.0 WHEN ctx IS NULL THEN 0.0 ELSE coalesce(recall, 1.0) END AS context_recall, CASE WHEN trim(text) = '' OR contains(lower(text), 'insufficient information') OR contains(lower(text), 'not have enough information') THEN 1.0 WHEN ctx IS NULL THEN 0.0 ELSE coalesce(faithful, 1.0) END AS faithfulness FROM ctx LEFT JOIN m ON ctx.item_id = m.item_id)
+    {tail}""",
+    )
+
+
 def ranked_documents(spark, sf, k: int):
     """query_id, rank and content of the k documents that BM25 over all documents ranks best for each whole item."""
     docs = as_chunks(spark, sf).select("chunk_id", "content")
@@ -37,31 +70,37 @@ def samples(spark, sf):
     return items.join(contexts, "sample_id", "left").select("sample_id", F.col("ground_truth").alias("query"), F.lit(None).cast("string").alias("answer"), "ground_truth", texts.alias("contexts"))
 
 
-@query(
-    "context_precision",
-    bm25_sql(
-        asked=WHOLE_ITEMS,
-        tail=f""", c AS (SELECT b.item_id AS sample_id, {eval_words_sql("b.text")} AS gt, k.rank AS pos, {EVAL_TOKENS % "d.text"} AS ct FROM k JOIN benchmark b ON b.item_id = k.query_id JOIN d ON d.doc_id = k.chunk_id WHERE k.rank <= 4),
-    rated AS (SELECT *, CASE WHEN len(gt) = 0 OR len(list_intersect(gt, ct)) / len(gt) >= 0.25 THEN 1 ELSE 0 END AS rel FROM c),
-    v AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY pos) / pos AS prec FROM rated)
-    SELECT item_id AS sample_id, round(coalesce(avg(CASE WHEN rel = 1 THEN prec END), 0), 4) AS context_precision FROM benchmark LEFT JOIN v ON item_id = sample_id GROUP BY item_id""",
-    ),
-)
+PRECISION = f"""cp AS (SELECT b.item_id AS sample_id, {eval_words_sql("b.text")} AS gt, k.rank AS pos, {EVAL_TOKENS % "d.text"} AS ct FROM k JOIN benchmark b ON b.item_id = k.query_id JOIN d ON d.doc_id = k.chunk_id WHERE k.rank <= 4),
+    rated AS (SELECT *, CASE WHEN len(gt) = 0 OR len(list_intersect(gt, ct)) / len(gt) >= 0.25 THEN 1 ELSE 0 END AS rel FROM cp),
+    v AS (SELECT *, sum(rel) OVER (PARTITION BY sample_id ORDER BY pos) / pos AS prec FROM rated),
+    pr AS (SELECT item_id AS sample_id, round(coalesce(avg(CASE WHEN rel = 1 THEN prec END), 0), 4) AS context_precision FROM benchmark LEFT JOIN v ON item_id = sample_id GROUP BY item_id)"""
+
+
+@query("context_precision", bm25_sql(asked=WHOLE_ITEMS, tail=f", {PRECISION} SELECT * FROM pr"))
 def context_precision(spark, sf):
     return evaluate.context_precision(samples(spark, sf))
 
 
-@query("context_recall")
+@query("context_recall", metrics_sql("SELECT sample_id, context_recall FROM o"))
 def context_recall(spark, sf):
     return evaluate.context_recall(samples(spark, sf))
 
 
-@query("faithfulness")
+@query("faithfulness", metrics_sql("SELECT sample_id, faithfulness FROM o"))
 def faithfulness(spark, sf):
     return evaluate.faithfulness(samples(spark, sf).withColumn("answer", F.col("ground_truth")))
 
 
-@query("evaluation_report")
+STEMS_SQL = "list_distinct(list_transform(%s, lambda x: %s))"
+
+
+@query(
+    "evaluation_report",
+    metrics_sql(f""", {PRECISION}, rv AS (SELECT sample_id, {STEMS_SQL % (eval_words_sql("text"), stem_sql("x"))} AS st, text FROM o),
+    al AS (SELECT faithfulness, context_recall, context_precision, CASE WHEN trim(rv.text) = '' THEN 0.0 WHEN len(st) = 0 THEN 0.75 ELSE 0.95 END AS answer_relevance FROM o JOIN pr USING (sample_id) JOIN rv USING (sample_id)),
+    st AS (SELECT unnest([{", ".join(f"struct_pack(metric := '{m}', threshold := CAST({t} AS DOUBLE), x := CAST({m} AS DOUBLE))" for m, t in evaluate.THRESHOLDS.items())}]) AS e FROM al)
+    SELECT e.metric AS metric, round(avg(e.x), 4) AS mean, round(min(e.x), 4) AS min, round(max(e.x), 4) AS max, any_value(e.threshold) AS threshold, round(avg(e.x), 4) >= any_value(e.threshold) AND round(avg(e.x), 4) > 0 AS passed FROM st GROUP BY 1"""),
+)
 def evaluation_report(spark, sf):
     return evaluate.summarize(evaluate.evaluate(samples(spark, sf)))
 
@@ -72,11 +111,6 @@ def turns(spark, sf):
     return asked.join(rows.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")), ["conv_id", "turn"])
 
 
-def stem_sql(word: str) -> str:
-    cases = " ".join(f"WHEN ends_with({word}, '{s}') AND length({word}) > {len(s) + 2} THEN {word}[:-{len(s) + 1}]" for s in T.SUFFIXES)
-    return f"CASE {cases} ELSE {word} END"
-
-
 @query(
     "answer_relevance",
     f"""WITH p AS (SELECT q.conv_id, q.turn + 1 AS turn, q.text AS query, a.text AS answer FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'),
@@ -224,7 +258,14 @@ def rate_limit_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("cache_hit_ratio")
+CACHE = """WITH RECURSIVE e AS (SELECT event_type AS c, user_id AS k, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS i, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY c, k ORDER BY i) AS before FROM e),
+d AS (SELECT p.c, p.k, p.n, p.t, p.before IS NOT NULL AND count(DISTINCT x.k) < 64 AS kept FROM p LEFT JOIN e x ON x.c = p.c AND x.i > p.before AND x.i < p.i GROUP BY p.c, p.k, p.n, p.t, p.before),
+r AS (SELECT c, k, n, t AS since, false AS hit, kept FROM d WHERE n = 1 UNION ALL SELECT d.c, d.k, d.n, CASE WHEN d.kept AND d.t <= r.since + 86400 THEN r.since ELSE d.t END, d.kept AND d.t <= r.since + 86400, d.kept FROM r JOIN d ON d.c = r.c AND d.k = r.k AND d.n = r.n + 1)
+SELECT c AS cache_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, greatest(0, count(*) FILTER (NOT kept) - 64) AS evictions, least(64, count(*) FILTER (NOT kept)) AS size, round(count(*) FILTER (hit) / count(*), 4) AS hit_ratio FROM r GROUP BY c"""
+
+
+@query("cache_hit_ratio", CACHE)
 def cache_hit_ratio(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_type").alias("cache_id"), F.col("user_id").alias("key"), (micros("ts") / 1e6).alias("at"), F.col("event_id").alias("seq"))
     return limits.simulate_cache(rows, capacity=64, ttl=86_400.0)
@@ -257,7 +298,26 @@ def key_validation(spark, sf):
     return security.validate_keys(asked, keys, F.lit(NOW).cast("timestamp")).select("request_id", "key_id", "error_code")
 
 
-@query("verify_answers")
+CLAIM = "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(sentence, '(?i)\\[(?:Source|Doc)s?\\s*(?::\\s*)?([0-9\\s,]+(?:and\\s*\\d+)?)\\]', '', 'g'), '\\s+([.,!?;:])', '\\1', 'g'), '\\s+', ' ', 'g')), '^ | $', '')"
+GROUND_NUMBERS = "list_distinct(regexp_extract_all(lower(%s), '\\b\\d+(?:\\.\\d+)?\\b|\\$\\d+'))"
+
+
+@query(
+    "verify_answers",
+    bm25_sql(
+        asked=WHOLE_ITEMS,
+        tail=f""", an AS (SELECT item_id AS answer_id, text || ' It holds [Source 1]. This one is invented entirely [Source 2].' AS answer FROM benchmark),
+    se AS (SELECT answer_id, unnest({sentences_sql("answer")}) AS sentence, generate_subscripts({sentences_sql("answer")}, 1) AS no FROM an),
+    cl AS (SELECT answer_id, no, {CLAIM} AS claim, CASE WHEN contains(sentence, '[Source 1]') THEN 1 WHEN contains(sentence, '[Source 2]') THEN 2 END AS source_index FROM se),
+    jo AS (SELECT cl.*, d.text AS content FROM cl LEFT JOIN k ON k.query_id = answer_id AND k.rank = source_index LEFT JOIN d ON d.doc_id = k.chunk_id),
+    fe AS (SELECT *, {words_sql("claim")} AS cw, {words_sql("content")} AS dw, {GT % "claim"} AS ct, {GT % "content"} AS dt, {GROUND_NUMBERS % "claim"} AS cn, {GROUND_NUMBERS % "content"} AS dn FROM jo),
+    bi AS (SELECT *, {bigrams_sql("ct")} AS cb, {bigrams_sql("dt")} AS db FROM fe),
+    gr AS (SELECT *, CASE WHEN content IS NULL THEN NULL WHEN len(cw) = 0 THEN 1.0 ELSE round((0.55 * len(list_intersect(cw, dw)) / len(cw) + 0.25 * len(list_intersect(cw, dw)) / len(list_distinct(list_concat(cw, dw))) + 0.20 * coalesce(len(list_intersect(cb, db)) / nullif(len(cb), 0), 0))
+        * (0.5 + 0.5 * CASE WHEN len(cn) > 0 THEN len(list_intersect(cn, dn)) / len(cn) ELSE 1.0 END), 4) END AS score FROM bi),
+    su AS (SELECT answer_id, count(*) AS total_claims, CAST(sum(CASE WHEN coalesce(score, 0) >= 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS grounded_claims, CAST(sum(CASE WHEN content IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unattributed_claims FROM gr GROUP BY answer_id)
+    SELECT *, round(grounded_claims / total_claims, 4) AS faithfulness_score, CASE WHEN round(grounded_claims / total_claims, 4) >= 0.8 THEN 'verified' WHEN round(grounded_claims / total_claims, 4) >= 0.4 THEN 'partially_grounded' ELSE 'unverified' END AS grounding_status FROM su""",
+    ),
+)
 def verify_answers(spark, sf):
     """Items answered by their own words with citations of the two documents that BM25 ranks best for each."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("item_id").alias("query_id"), F.concat("text", F.lit(" It holds [Source 1]. This one is invented entirely [Source 2].")).alias("answer"))

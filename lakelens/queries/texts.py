@@ -312,12 +312,6 @@ def pii_counts(spark, sf):
     return rows.select("doc_id", n(guardrails.EMAIL).alias("emails"), n(guardrails.PHONE).alias("phones"), (n(guardrails.API_KEYS[0]) + n(guardrails.API_KEYS[1]) + n(guardrails.API_KEYS[2])).alias("api_keys"))
 
 
-@query("pii_redact")
-def pii_redact(spark, sf):
-    got = guardrails.inspect_pii(table(spark, sf, "documents").select("doc_id", "text"))
-    return got.select("doc_id", "redacted", "entity_types", "total_redacted")
-
-
 def luhn_sql(number: str) -> str:
     """Whether a text's digits are 13 to 19 with a right check digit."""
     digits = f"reverse(regexp_replace({number}, '\\D', '', 'g'))"
@@ -325,6 +319,33 @@ def luhn_sql(number: str) -> str:
     return f"(length({digits}) BETWEEN 13 AND 19 AND list_sum(list_transform({doubled}, lambda v: CASE WHEN v > 9 THEN v - 9 ELSE v END)) % 10 = 0)"
 
 
+#: The number pattern without look-ahead.
+SSN_PLAIN = "\\b(?:00[1-9]|0[1-9]\\d|[1-57-9]\\d\\d|6(?:[0-57-9]\\d|6[0-57-9]))[-\\s](?:0[1-9]|[1-9]\\d)[-\\s](?:000[1-9]|00[1-9]\\d|0[1-9]\\d\\d|[1-9]\\d{3})\\b"
+
+
+def redacted_sql(text: str) -> str:
+    """Kinds one after the other: the same as all at once where spans of different kinds do not overlap."""
+    out = text
+    for kind, pattern in [("SSN", SSN_PLAIN), *guardrails.KINDS[1:]]:
+        out = f"regexp_replace({out}, '{pattern}', '[REDACTED_{kind}]', 'g')"
+    return out
+
+
+PII_MARKS = "CAST((length(%s) - length(replace(%s, '[REDACTED_', ''))) / 10 AS INTEGER)"
+
+
+@query(
+    "pii_redact",
+    f"""WITH a AS (SELECT doc_id, text, {redacted_sql("text")} AS t FROM documents),
+    b AS (SELECT *, list_filter(regexp_extract_all(t, '{guardrails.CARD}'), lambda x: {luhn_sql("x")}) AS cards FROM a),
+    c AS (SELECT doc_id, text, list_reduce(list_prepend(t, cards), lambda x, y: replace(x, y, '[REDACTED_CREDIT_CARD]')) AS redacted FROM b)
+    SELECT doc_id, redacted, list_filter(['API_KEY', 'CREDIT_CARD', 'EMAIL', 'PHONE', 'SSN'], lambda k: contains(replace(redacted, text, ''), '[REDACTED_' || k || ']')) AS entity_types, {PII_MARKS % ("redacted", "redacted")} - {PII_MARKS % ("text", "text")} AS total_redacted FROM c""",
+)
+def pii_redact(spark, sf):
+    got = guardrails.inspect_pii(table(spark, sf, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "redacted", "entity_types", "total_redacted")
+
+
 @query("luhn_cards", f"WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{guardrails.CARD}')) AS card FROM documents) SELECT doc_id, card, {luhn_sql('card')} AS valid FROM c")
 def luhn_cards(spark, sf):
     runs = F.regexp_extract_all("text", F.lit(guardrails.CARD), F.lit(0))

@@ -55,6 +55,36 @@ def test_ch4_chunker_invariants():
     assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
 
 
+def test_ch5_windows_are_as_long_as_they_can_be():
+    """One separator: runs of pieces, each as long as fits, beginning with the most pieces before it that fit the overlap."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        pieces = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 60))]
+        size, overlap = rng.randint(13, 60), rng.randint(0, 12)
+        chunks = [c.split(" ") for _, c, _, _ in RecursiveChunker(size, overlap, (" ", "")).chunk(" ".join(pieces))]
+        long = lambda run: len(" ".join(run))
+        at = 0
+        for n, run in enumerate(chunks):
+            if n:
+                before = chunks[n - 1]
+                kept = next(k for k in range(len(before), -1, -1) if k == 0 or (before[-k:] == run[:k] and long(before[-k:]) <= overlap))
+                assert kept == max((k for k in range(len(before) + 1) if long(before[len(before) - k :]) <= overlap), default=0)
+                at -= kept
+            assert run == pieces[at : at + len(run)]
+            at += len(run)
+            # a run after the first has one separator less of room
+            assert long(run) <= size and (at == len(pieces) or long(pieces[at - len(run) : at + 1]) + (n > 0) > size)
+        assert at == len(pieces)
+
+
+def test_ch6_offsets_are_those_of_the_text():
+    text = "same words. same words. same words. " * 40
+    chunks = RecursiveChunker(90, 20).chunk(text)
+    assert all(text[a:b] == c for _, c, a, b in chunks) and [a for _, _, a, _ in chunks] == sorted({a for _, _, a, _ in chunks})
+
+
 def test_ch7_pages_and_summary(spark):
     rows = spark.createDataFrame([(1, "a" * 60 + "\n\n" + "b" * 60, [(1, 60), (2, 122)])], "document_id long, content string, pages array<struct<page:int,end:int>>")
     got = chunking.chunk_documents(rows, 80, 10).orderBy("chunk_index").collect()
@@ -63,9 +93,10 @@ def test_ch7_pages_and_summary(spark):
 
 
 def test_ch3_dedup(spark):
-    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "document_id long, checksum string")
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None), (5, None)], "document_id long, checksum string")
     got = {r["document_id"]: r["status"] for r in chunking.dedup_documents(rows).collect()}
-    assert got == {1: "ingested", 2: "skipped_duplicate", 3: "ingested"}
+    assert got == {1: "ingested", 2: "skipped_duplicate", 3: "ingested", 4: "ingested", 5: "skipped_duplicate"}
+    assert chunking.distinct_documents(rows.unionByName(rows)).count() == 5
 
 
 def test_rk1_hash_embedding(spark):
