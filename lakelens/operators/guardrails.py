@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from lakelens.session import spread
+
 # ---- fixed values: patterns and scores that decide results ----
 SSN = r"\b(?!000|666)\d{3}[-\s](?!00)\d{2}[-\s](?!0000)\d{4}\b"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,7}\b"
@@ -84,29 +86,28 @@ def luhn(number: Column) -> Column:
     return n.between(13, 19) & (total % 10 == 0)
 
 
-def find_pii(text: str | None) -> list[tuple[str, int, int, str]]:
-    """All spans in order of start; a card counts if its check digit is right and it overlaps no other span."""
-    text, out = text or "", []
-    for kind, pattern in KINDS:
-        out += [(kind, m.start(), m.end(), m.group()) for m in re.finditer(pattern, text)]
-    for m in re.finditer(CARD, text):
-        if luhn_ok(re.sub(r"\D", "", m.group())) and all(m.end() <= s or m.start() >= e for _, s, e, _ in out):
-            out.append(("CREDIT_CARD", m.start(), m.end(), m.group()))
-    return sorted(out, key=lambda x: x[1])
-
-
-def kept_spans(spans: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    out, last = [], -1
-    for span in spans:
-        if span[1] >= last:
-            out.append(span)
-            last = span[2]
+def kept_spans(text: str | None) -> list[tuple[str, int, int, str]]:
+    """Spans in order of start, none beginning inside the one before; of kinds that begin at one place, the first listed.
+
+    A number is a card's if its check digit is right and no match of another kind overlaps it.
+    """
+    text = text or ""
+    every = sorted(((m.start(), i, m.end()) for i, (_, p) in enumerate(KINDS) for m in re.finditer(p, text)))
+    taken = bytearray(len(text) + 1)
+    for start, _, end in every:
+        taken[start:end] = b"\1" * (end - start)
+    cards = [(m.start(), len(KINDS), m.end()) for m in re.finditer(CARD, text) if luhn_ok(re.sub(r"\D", "", m.group())) and 1 not in taken[m.start() : m.end()]]
+    out, last = [], 0
+    for start, i, end in sorted(every + cards):
+        if start >= last:
+            out.append((KINDS[i][0] if i < len(KINDS) else "CREDIT_CARD", start, end, text[start:end]))
+            last = end
     return out
 
 
 @F.pandas_udf(MATCHES)
 def pii_spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("entity_type", "start", "end", "raw"), m, strict=True)) for m in kept_spans(find_pii(t))])
+    return text.map(lambda t: [dict(zip(("entity_type", "start", "end", "raw"), m, strict=True)) for m in kept_spans(t)])
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -116,7 +117,8 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def inspect_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    rows = df.withColumn("pii", pii_spans(text))
+    some = F.col(text).rlike("|".join([*(p for _, p in KINDS), CARD]))  # only texts that a pattern hits go to Python
+    rows = spread(df).withColumn("pii", F.when(some, pii_spans(F.when(some, F.col(text)))).otherwise(F.array().cast(MATCHES)))
     return rows.withColumn("redacted", redact(F.col(text), F.col("pii"))).withColumn("entity_types", F.array_sort(F.array_distinct(F.transform("pii", lambda m: m["entity_type"])))).withColumn("total_redacted", F.size("pii"))
 
 

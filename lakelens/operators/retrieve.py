@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
-from lakelens.session import cut
+from lakelens.session import cut, spread
 
 K1, B = 1.2, 0.75
 #: Added before rounding, so that ties which floating point leaves undecided always go up.
@@ -27,6 +27,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Numbers of the queries' vectors up to which they are one matrix on a worker, and how many a vector counts for besides.
 MATRIX_VALUES, WIDEST = 1 << 22, 64
 NUMBERS = ("float", "double", "integer", "long", "short", "byte")
+#: Query terms that are a set in the plan; more are joined.
+LITERAL_TERMS = 10_000
 #: A term that no text has: its posting carries a chunk's length.
 LENGTH = ""
 
@@ -35,17 +37,16 @@ def term_counts(tokens: Column) -> Column:
     """(term, tf) of each different token of an array, from its sorted form: no row leaves its task for that."""
 
     def runs(sorted_: Column) -> Column:
-        places = F.transform(sorted_, lambda _, i: i)
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+        starts = F.filter(F.transform(sorted_, lambda _, i: i), lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
         ends = lambda firsts, i: F.coalesce(F.get(firsts, i + 1), F.size(sorted_))
         return V.let(starts, lambda firsts: F.transform(firsts, lambda p, i: F.struct(F.get(sorted_, p).alias("term"), (ends(firsts, i) - p).cast("long").alias("tf"))))
 
-    return V.let(F.array_sort(tokens), runs)
+    return V.let(F.sort_array(tokens), runs)
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, term, tf) from (chunk_id, content); counted inside each row, so nothing is shuffled."""
-    tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t"))
+    tokens = spread(chunks.select("chunk_id", "content")).select("chunk_id", T.bm25_tokens(F.col("content")).alias("t"))
     return tokens.select("chunk_id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("p")).select("chunk_id", "dl", "p.*")
 
 
@@ -92,10 +93,17 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     wanted = query_terms(queries)
     hint = F.broadcast if fits(wanted) else (lambda df: df)  # the weights have a row for each query term at most
-    terms = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string"))
-    tokens = chunks.select("chunk_id", T.bm25_tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.coalesce(term_counts(F.col("t")), F.array()).alias("c"))
-    counted = tokens.select("chunk_id", "dl", F.explode(F.concat("c", F.array(F.struct(F.lit(LENGTH).alias("term"), F.lit(1).cast("long").alias("tf"))))).alias("p"))
-    postings = cut(counted.select("chunk_id", "dl", "p.*").join(hint(terms), "term"))
+    tokens = spread(chunks.select("chunk_id", "content")).select("chunk_id", T.bm25_tokens(F.col("content")).alias("t"))
+    length = F.struct(F.lit(LENGTH).alias("term"), F.lit(1).cast("long").alias("tf"))
+    given = [r["term"] for r in wanted.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(given) <= LITERAL_TERMS:  # a set in the plan: other tokens go before any is counted
+        counts = term_counts(F.filter("t", lambda x: x.isin(given))) if given else F.array().cast("array<struct<term:string,tf:bigint>>")
+        postings = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode(F.concat(F.coalesce(counts, F.array()), F.array(length))).alias("p")).select("chunk_id", "dl", "p.*")
+    else:
+        terms = wanted.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(LENGTH,)], "term string"))
+        counted = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode(F.concat(F.coalesce(term_counts(F.col("t")), F.array()), F.array(length))).alias("p"))
+        postings = counted.select("chunk_id", "dl", "p.*").join(hint(terms), "term")
+    postings = cut(postings)
     stats = postings.filter(F.col("term") == LENGTH).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.greatest("dl", F.lit(0))), F.lit(1.0)).alias("avgdl"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -82,6 +82,14 @@ def ship_package(spark: SparkSession) -> None:
     context._lakelens_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where an input has fewer partitions than there are cores, as a small file has; else ``df``."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -80,6 +80,13 @@ def test_ag16_trace(spark):
     assert header[0]["p"]["span_id"] == "b" * 16 and header[1]["p"]["trace_id"] is None
 
 
+def test_ag19_percentiles_of_a_sketch(spark):
+    rows = spark.range(20_000).selectExpr("id % 2 as g", "id / 10 as v")
+    exact = {r["g"]: r for r in telemetry.latency_percentiles(rows, "v", "g").collect()}
+    for r in telemetry.latency_percentiles(rows, "v", "g", exact=False).collect():
+        assert all(abs(r[c] - exact[r["g"]][c]) <= 1 for c in ("p50", "p90", "p99")) and r["mean"] == exact[r["g"]]["mean"]
+
+
 def test_gl7_tracer(spark):
     tracer = telemetry.Tracer()
     with pytest.raises(ValueError), tracer.span("outer"), tracer.span("inner", kind="LLM", model="m"):

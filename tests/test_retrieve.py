@@ -82,6 +82,16 @@ def test_ag1_counts_inside_rows(spark):
     assert "Exchange" not in plan
 
 
+def test_rk9_joined_terms_equal_literal_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13}" for k in range(20 + i))) for i in range(40)] + [(99, None), (98, "")], "chunk_id int, content string")
+    queries = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w5 none"), (2, ""), (3, None)], "query_id int, query string")
+    scores = lambda: sorted((r["query_id"], r["chunk_id"], round(r["raw"], 9)) for r in retrieve.bm25_scores(queries, rows).collect())
+    want = scores()
+    monkeypatch.setattr(retrieve, "LITERAL_TERMS", 2)
+    assert scores() == want and len(want) > 40
+    assert retrieve.bm25_scores(queries.filter("query_id > 1"), rows).isEmpty()
+
+
 def test_small_sides_are_bounded_in_bytes(spark):
     rows = spark.createDataFrame([(i, "t" * 1000, [1.0, 2.0]) for i in range(50)], "id int, t string, v array<double>")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()

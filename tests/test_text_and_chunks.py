@@ -65,7 +65,7 @@ def test_ch5_windows_are_as_long_as_they_can_be():
         size, overlap = rng.randint(13, 60), rng.randint(0, 12)
         chunks = [c.split(" ") for _, c, _, _ in RecursiveChunker(size, overlap, (" ", "")).chunk(" ".join(pieces))]
         long = lambda run: len(" ".join(run))
-        at = 0
+        at = kept = 0
         for n, run in enumerate(chunks):
             if n:
                 before = chunks[n - 1]
@@ -74,8 +74,8 @@ def test_ch5_windows_are_as_long_as_they_can_be():
                 at -= kept
             assert run == pieces[at : at + len(run)]
             at += len(run)
-            # a run after the first has one separator less of room
-            assert long(run) <= size and (at == len(pieces) or long(pieces[at - len(run) : at + 1]) + (n > 0) > size)
+            # a run after the first has one separator less of room, but takes the piece that did not fit before it
+            assert (long(run) <= size or n and len(run) == kept + 1) and (at == len(pieces) or long(pieces[at - len(run) : at + 1]) + (n > 0) > size)
         assert at == len(pieces)
 
 
