@@ -36,7 +36,7 @@ SEED = 42
 RADIUS = 4
 TILE = 4096
 #: Tiles of a cell that one task compares with the tiles of another cell.
-SHARE = 2
+SHARE = 1
 RUN = 128
 #: For links by similarity: 256-bit fingerprints of five-word shingle sets. At SIMILARITY they differ in 39 bits +- 6 (in
 #: 48 +- 6 for sets of four and five), in a word in 10 +- 3; the radii leave room, as they only find candidates.
