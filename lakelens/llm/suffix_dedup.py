@@ -13,7 +13,7 @@ by a hash of 128 bits, two are indexed and compared byte by byte; all further on
 
 A hot core, of more than HOT_CORE different contexts in all or HOT_BATCH runs in one batch of texts, is split further by
 what groups of eight windows have in common, so that a passage that a third of all documents share is indexed by many
-tasks. Of the contexts of a batch that repeat, only two leave the task that reads them. Runs of a core that is hot in their
+tasks. Of the contexts of a batch that repeat, and of a task's equal groups, only two leave the task. Runs of a core that is hot in their
 batch are counted by parts of their contexts (salts), and a mark tells the runs of batches where it is not hot that it is.
 There are more tasks the more runs there are (TASK_RUNS).
 
@@ -30,10 +30,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,6 +56,7 @@ BATCH_RUNS = 1 << 19
 TASK_RUNS = 1 << 17
 PIECE = 1 << 21
 REMEMBERED_TEXTS = 200_000
+REMEMBERED_GROUPS = 100_000
 NO_ID = -(1 << 63)
 
 U = np.uint64
@@ -207,8 +210,12 @@ def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs to index; hot cores are cut in groups of windows with a part of their own."""
-    schema = arrow_schema(SUFFIXES)
+    """The bytes of the runs to index; hot cores are cut in groups of windows with a part of their own.
+
+    Of the groups of equal bytes (by 128 bits) that a task has, two go on; the others are repeated as these are: they are told
+    by a negative length instead of the place of the anchor, without bytes and with a part of their own.
+    """
+    schema, seen = arrow_schema(SUFFIXES), Counter()
     for batch in batches:
         rows = []
         for rep, c1, data, work in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -224,7 +231,14 @@ def map_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b = max(first, at - group * GROUP - GROUP + 1), min(last, at - group * GROUP)
                     common = data[at - group * GROUP : at - group * GROUP - GROUP + 1 + LENGTH]
                     digest = hashlib.blake2b(common, digest_size=8, key=group.to_bytes(2, "little")).digest()
-                    rows.append((int.from_bytes(digest, "little", signed=True), core, rep, c1, a, at - a, data[a : b + LENGTH]))
+                    part, held = int.from_bytes(digest, "little", signed=True), data[a : b + LENGTH]
+                    key = core, at - a, hashlib.blake2b(held, digest_size=16).digest()
+                    if seen[key] >= 2:
+                        rows.append((c1 ^ a, core, rep, c1, a, -len(held), b""))
+                        continue
+                    if len(seen) < REMEMBERED_GROUPS:
+                        seen[key] += 1
+                    rows.append((part, core, rep, c1, a, at - a, held))
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -374,7 +388,11 @@ def map_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        known = batch.filter(pc.less(batch.column(5), 0))
+        if known.num_rows:
+            ends = pc.subtract(known.column(4), known.column(5).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), known.column(4), ends], schema=schema)
+        for row in zip(*(c.to_pylist() for c in batch.filter(pc.greater_equal(batch.column(5), 0)).columns[1:]), strict=True):
             rows.append(row)
             size += len(row[-1]) - LENGTH + 1
             if size >= BATCH_SUFFIXES:
