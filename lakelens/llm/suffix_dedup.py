@@ -50,7 +50,7 @@ GRAM = 8
 GROUP = 8
 HOT_CORE = 5000
 HOT_BATCH = 16
-SALTS = 64
+SALTS = 16
 BATCH_SUFFIXES = 1 << 17
 BATCH_RUNS = 1 << 19
 TASK_RUNS = 1 << 17
@@ -469,9 +469,11 @@ def remove_repeats(docs: DataFrame, kept: str = "kept", carry: list[str] | None
     left = dealt.join(spans.hint("shuffle_hash"), ["rep", "c1"], "left").select("rep", "c1", "bytes", "spans", "rest")
     left = map_arrow(left, functools.partial(map_removal, characters=characters), kept_schema)
 
-    # texts that have a copy go whole
+    # texts that have a copy go whole; a group of them is dealt over SALTS keys
     copied = texts.groupBy(F.md5("bytes").alias("digest")).agg(F.count("*").alias("copies")).filter("copies > 1")
-    left = left.select("rep", "digest", "n_bytes", "n_removed", "n_spans", F.expr(kept).alias("kept"), "rest").join(copied.select("digest", F.lit(True).alias("copied")), "digest", "left")
+    copied = copied.select("digest", F.lit(True).alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    left = left.select("rep", "digest", "n_bytes", "n_removed", "n_spans", F.expr(kept).alias("kept"), "rest", F.pmod(F.xxhash64("rep", "digest"), F.lit(SALTS)).cast("int").alias("salt"))
+    left = left.join(copied, ["digest", "salt"], "left")
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= LENGTH)
     return left.select(
         F.when(F.col("rep") != NO_ID, F.col("rep")).alias("doc_id"),
