@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import bpe, decontamination, licences, quality_mil, quality_rules, sharding, simhash, suffix_dedup, toxicity, wavelet
+from lakelens.llm import alignment, bpe, decontamination, licences, packing, quality_mil, quality_rules, sharding, simhash, suffix_dedup, toxicity, wavelet, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": licences.op1_licence_scan,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_jacobi_whitening": whitening.op11_jacobi_whitening,
+    "op12_vector_packing": packing.op12_vector_packing,
+    "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
