@@ -363,9 +363,7 @@ COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t i
     is_nullable = 'YES' AS nullable, n AS row_count FROM information_schema.columns JOIN ({COUNTS}) ON t = table_name""",
 )
 def schema_reflection(spark, sf):
-    found = sqlguard.reflect({n: table(spark, sf, n) for n in REFLECTED}, samples=0)
-    rows = [(t["table"], c["name"], c["type"], c["nullable"], t["row_count"]) for t in found for c in t["columns"]]
-    return spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean, row_count long")
+    return sqlguard.reflected({n: table(spark, sf, n) for n in REFLECTED})
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -475,6 +475,28 @@ def sql_verdicts(spark, sf):
     return spark.createDataFrame(rows, "statement int, verdict string, n_rows int, is_truncated boolean")
 
 
+#: Statements about each part, by its key: a lookup, a stacked one, an update, a forbidden function, a CTE with quoted words, none.
+MADE_STATEMENTS = """CASE p_partkey % 6 WHEN 0 THEN concat('SELECT * FROM part WHERE p_name = "', p_name, '"') WHEN 1 THEN concat('SELECT p_name FROM part; DROP TABLE part -- ', p_name)
+    WHEN 2 THEN concat('update part set p_size = 1 where p_name = "', p_name, '"') WHEN 3 THEN concat('select p_size, readfile("', p_name, '") /* drop */ from part')
+    WHEN 4 THEN concat('WITH x AS (SELECT "', p_name, '; drop" AS w) SELECT * FROM x ;') ELSE '  ' END"""
+SCREEN_WORDS = ", ".join(map(quoted, sqlguard.FORBIDDEN + sqlguard.FORBIDDEN_FUNCTIONS))
+
+
+@query(
+    "statement_screen",
+    f"""WITH s AS (SELECT p_partkey, {MADE_STATEMENTS} AS statement FROM part),
+    b AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_replace(statement, '\\x27(?:[^\\x27]|\\x27\\x27)*\\x27|"[^"]*"|`[^`]*`|--[^\\n]*|/\\*(?s:.*?)\\*/', ' ? ', 'g')), '^[\\s?]+|\\s+$', '', 'g'), '\\s*;$', '') AS bare FROM s),
+    w AS (SELECT *, list_filter(regexp_split_to_array(upper(bare), '[^A-Z0-9_]+'), lambda x: length(x) > 0) AS words FROM b),
+    f AS (SELECT *, list_filter(words, lambda x: x IN ({SCREEN_WORDS}))[1] AS refused FROM w),
+    v AS (SELECT *, CASE WHEN trim(statement) IN ('', ';') THEN 'empty' WHEN contains(bare, ';') THEN 'stacked' WHEN coalesce(words[1], '') NOT IN ('SELECT', 'WITH') THEN 'not_select' WHEN refused IS NOT NULL THEN 'forbidden' ELSE 'ok' END AS verdict FROM f)
+    SELECT p_partkey, verdict, CASE WHEN verdict = 'forbidden' THEN refused END AS word FROM v""",
+)
+def statement_screen(spark, sf):
+    """Verdicts by words on a statement about each part."""
+    statements = table(spark, sf, "part").select("p_partkey", F.expr(MADE_STATEMENTS).alias("statement"))
+    return statements.select("p_partkey", sqlguard.screened(F.col("statement")).alias("s")).select("p_partkey", "s.*")
+
+
 REQUESTS = [({"query": "q"}, True), ({"query": " "}, False), ({"query": "q", "top_k": 0}, False), ({"query": "q", "top_k": 100}, True), ({"query": "q", "top_k": 101}, False), ({"query": "q", "rrf_k": 501}, False), ({"query": "q", "dense_weight": 1.5}, False), ({"query": "q", "fusion": "linear"}, True), ({"query": "q", "fusion": "other"}, False)]
 
 

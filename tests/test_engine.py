@@ -5,6 +5,7 @@ from lakelens.operators import agent, evaluate, experiments, guardrails, securit
 from lakelens.plans import sqlguard
 from lakelens.sources import files
 from lakelens.streaming import ingest, limits
+from tests.conftest import TINY
 
 
 def samples(spark, rows):
@@ -194,6 +195,68 @@ def test_sq1_rejects(spark, bad):
         sqlguard.check(spark, bad)
 
 
+FILE = "/root/testdata/sf0.001/nation.parquet"
+METHOD = "('java.lang.System', 'getProperty', 'user.home')"
+WALKED_AROUND = [
+    f"SELECT count(*) FROM `parquet`.`{FILE}`", f"SELECT count(*) FROM parquet/**/.`{FILE}`", f"SELECT * FROM `PARQUET` . `{FILE}`", f"SELECT `java_method`{METHOD}", f"SELECT `reflect`{METHOD}", f"SELECT java_method /* x */ {METHOD}",
+    f"SELECT * FROM IDENTIFIER('parquet.`{FILE}`')", f"SELECT IDENTIFIER('java_method'){METHOD}", f"WITH a AS (SELECT * FROM csv.`{FILE}`) SELECT * FROM a", f"SELECT (SELECT max(n_name) FROM parquet.`{FILE}`)",
+    f"SELECT id FROM thirty WHERE EXISTS (SELECT 1 FROM text.`{FILE}`)", f"SELECT * FROM thirty JOIN LATERAL (SELECT * FROM orc.`{FILE}`) b", f"SELECT sum(id) OVER w FROM thirty WINDOW w AS (PARTITION BY reflect{METHOD})",
+    f"SELECT sum(id) OVER w FROM thirty WINDOW w AS (PARTITION BY (SELECT max(n_name) FROM parquet.`{FILE}`))", "SELECT TRANSFORM(id) USING 'cat' FROM thirty", "SELECT input_file_name() FROM thirty", f"SELECT system.builtin.reflect{METHOD}",
+    f"SELECT transform(array(1), x -> reflect{METHOD})", f"SELECT * FROM thirty |> WHERE try_reflect{METHOD} = ''", f"SELECT * FROM thirty LATERAL VIEW `reflect`{METHOD} x", "SELECT * FROM sql_keywords()", "SELECT current_user()",
+    "SELECT * FROM thirty VERSION AS OF 1", "SELECT * FROM thirty WITH (path = '/etc')", "SELECT own_code(id) FROM thirty", "FROM thirty SELECT id", "VALUES (1)", "EXPLAIN SELECT 1", "SELECT * FROM default.thirty",
+]
+LEGAL = [
+    "SELECT y FROM thirty LATERAL VIEW explode(array(1, 2)) x AS y", "SELECT * FROM range(5)", "SELECT sum(id) OVER w FROM thirty WINDOW w AS (ORDER BY id)", "SELECT a.id FROM thirty a JOIN LATERAL (SELECT max(id) AS m FROM thirty b WHERE b.id < a.id) c",
+    "SELECT transform(array(1, 2), x -> x + 1), upper('a'), current_date, extract(year FROM DATE '2020-01-01'), (SELECT max(id) FROM thirty)", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 5) SELECT * FROM t",
+    "SELECT * FROM (SELECT id % 3 AS r, id FROM thirty) PIVOT (count(id) FOR r IN (1, 2))", "SELECT count_if(true), try_cast('a' AS int), trim(BOTH 'x' FROM 'xax'), 'a' LIKE 'b%', named_struct('a', 1).a, map('a', 1)['a']",
+    "SELECT `drop`, '; delete' FROM (SELECT id AS `drop` FROM thirty) ORDER BY ALL LIMIT 2 OFFSET 1", "SELECT id FROM thirty TABLESAMPLE (5 ROWS)", "SELECT id FROM thirty WHERE id NOT IN (SELECT id + 1 FROM thirty) UNION SELECT 1",
+]
+
+
+@pytest.mark.parametrize("bad", WALKED_AROUND)
+def test_sq2_refuses_however_written(spark, bad):
+    spark.range(30).createOrReplaceTempView("thirty")
+    spark.udf.register("own_code", lambda x: x, "long")
+    with pytest.raises(sqlguard.UnsafeSQL):
+        sqlguard.run(spark, bad)
+
+
+@pytest.mark.parametrize("good", LEGAL)
+def test_sq2_passes_legal_queries(spark, good):
+    spark.range(30).createOrReplaceTempView("thirty")
+    assert sqlguard.run(spark, good).count() > 0
+
+
+def test_sq2_second_walk_alone(spark):
+    """What names are resolved to is refused also where the first walk would have seen nothing."""
+    for sql in (f"SELECT * FROM parquet.`{FILE}`", f"SELECT reflect{METHOD}", f"SELECT (SELECT max(n_name) FROM parquet.`{FILE}`)"):
+        with pytest.raises(sqlguard.UnsafeSQL):
+            sqlguard.check_resolved(spark, spark.sql(sql)._jdf.queryExecution().analyzed())
+    spark.read.parquet(FILE).createOrReplaceTempView("of_files")
+    sqlguard.check_resolved(spark, spark.sql("SELECT * FROM of_files")._jdf.queryExecution().analyzed())
+
+
+def test_sq2_tables_and_functions_of_a_list(spark):
+    spark.range(30).createOrReplaceTempView("thirty")
+    spark.udf.register("own_code", lambda x: x + 1, "long")
+    assert sqlguard.execute(spark, "WITH a AS (SELECT id FROM Thirty) SELECT * FROM a", 5, ["thirty"]).row_count == 5
+    with pytest.raises(sqlguard.UnsafeSQL):
+        sqlguard.execute(spark, "SELECT * FROM thirty", 5, ["other"])
+    assert sqlguard.run(spark, "SELECT own_code(id) AS x FROM thirty", functions=["own_code"]).agg({"x": "max"}).first()[0] == 30
+    with pytest.raises(sqlguard.UnsafeSQL):
+        sqlguard.run(spark, "SELECT own_code(id), java_method('a', 'b') FROM thirty", functions=["own_code"])
+
+
+def test_fl9_reflection_in_any_session(spark):
+    other = spark.newSession()
+    for setting in ("true", "false"):
+        other.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", setting)
+        orders = other.read.parquet(f"{TINY}/orders.parquet")
+        got = {r["column_name"]: r for r in sqlguard.reflected({"orders": orders, "none": other.range(0)}, ["ORDERS"]).collect()}
+        assert got["o_orderdate"]["type"] == "timestamp" and got["o_orderdate"]["row_count"] == orders.count() and set(got) == set(orders.columns)
+    assert sqlguard.reflected({"a": spark.range(1)}, []).isEmpty()
+
+
 def test_sq5_truncation_and_errors(spark):
     spark.range(20).createOrReplaceTempView("twenty")
     got = sqlguard.execute(spark, "SELECT id FROM twenty ORDER BY id;", 5)
