@@ -2,8 +2,8 @@
 
 A static interval index holds the byte ranges of a text's B tokens; the range of each A token is looked up in it by
 bisection, which lists the B tokens that it overlaps. Gaps between B tokens that no A token spans become the boundaries of
-groups. Neither tokenizer looks across a space that follows other text, so texts are cut there: a stretch is aligned once
-for each worker that remembers it, and a text's alignment is that of its stretches one after another.
+groups. Neither tokenizer looks across a space that follows other text, so texts are cut there: a text's alignment is that
+of its stretches one after another. A worker remembers frequent stretches and aligns all new ones of some texts at once.
 
 The corpus is read twice. The first pass counts linked id pairs, combined in each task before the shuffle; the second
 sums each text's counts. The HELD most frequent pairs are looked up in a broadcast table of bounded size (16 bytes and a
@@ -19,14 +19,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,59 +36,34 @@ from lakelens.session import cut
 #: Before a space that follows neither white space, in any tokenizer's sense, nor B's mark of a space.
 CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff])(?= )")
 MARK = "\u2581"
-#: Characters of texts that are taken together, pairs that a task holds before it hands them on, stretches that a worker remembers.
-TAKEN_CHARS = 4_000_000
-TALLIED = 400_000
-REMEMBERED, REMEMBERED_CHARS = 150_000, 48
+#: Characters of texts that are taken together and of stretches that are encoded together, pairs that a task holds before
+#: it hands them on, and stretches that a worker remembers.
+TAKEN_CHARS, JOINED_CHARS = 4_000_000, 20_000
+TALLIED = 2_000_000
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 #: Pairs whose counts are broadcast.
 HELD = 2_000_000
 
 
 class IntervalIndex:
-    """Static index over consecutive byte ranges: which of them a range overlaps."""
-
-    def __init__(self, sizes: Iterable[int]):
-        self.ends = list(accumulate(sizes))
-        self.starts = [0, *self.ends[:-1]]
-
-    def stab(self, start: int, end: int) -> range:
-        return range(bisect_right(self.ends, start), bisect_left(self.starts, end))
-
-
-def align(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[range], bytearray]:
-    """For each A token the B tokens that it overlaps; for each B token whether an A token spans the gap after it."""
-    index, spanned, links, at = IntervalIndex(b_sizes), bytearray(len(b_sizes)), [], 0
-    for size in a_sizes:
-        found = index.stab(at, at + size)
-        at += size
-        links.append(found)
-        for gap in range(found.start, found.stop - 1):
-            spanned[gap] = 1
-    return links, spanned
-
-
-def groups(links: list[range], spanned: bytearray) -> list[tuple[range, range]]:
-    """The A tokens and the B tokens of each group, in order."""
-    out, i, j = [], 0, 0
-    while j < len(spanned):
-        a, b = i, j
-        while spanned[j]:
-            j += 1
-        j += 1
-        while i < len(links) and links[i].start < j:
-            i += 1
-        out.append((range(a, i), range(b, j)))
-    return out
+    """Static index over consecutive byte ranges: the first and the end of the run of them that each given range overlaps."""
 
+    def __init__(self, sizes: np.ndarray):
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+
+    def stab(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.ends, starts, side="right"), np.searchsorted(self.starts, ends, side="left")
 
-class Aligned(NamedTuple):
-    """Of a stretch: sizes, ids as text, and the key of each link's id pair."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    shown: str
-    keys: tuple[int, ...]
+def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each A token the first B token that it overlaps and the one after the last; for each B token whether an A token
+    spans the gap after it."""
+    a_ends = np.cumsum(a_sizes)
+    first, end = IntervalIndex(b_sizes).stab(a_ends - a_sizes, a_ends)
+    # a token that overlaps B tokens i to j spans the gaps after i to j - 1
+    open_ = np.bincount(first, minlength=len(b_sizes) + 1) - np.bincount(end - 1, minlength=len(b_sizes) + 1)
+    return first, end, np.cumsum(open_)[: len(b_sizes)] > 0
 
 
 def byte_level() -> dict[str, int]:
@@ -99,6 +73,15 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Aligned(NamedTuple):
+    """Of stretches: numbers of A and B tokens, groups and links; keys of all links' id pairs; groups as text; which are broken."""
+
+    sizes: np.ndarray
+    keys: np.ndarray
+    shown: list[str]
+    broken: np.ndarray
+
+
 class Aligner:
     """Two tokenizers and what is known of stretches; A is a byte-level one, B one of pieces that adds a space."""
 
@@ -109,13 +92,18 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         byte = byte_level()
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
+        # ids as they are written at the start of a stretch, of a group and inside one; B ids after the bar and inside
+        self.written = [f"{mark}{i}" for mark in ("", ";", ",") for i in range(len(self.a_bytes))] + [f"{mark}{i}" for mark in ("|", ",") for i in range(len(self.b_bytes))]
         #: Pieces that hold a space after other text could be merged across a cut: then texts stay whole.
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.known: dict[str, Aligned] = {}
+        self.known: dict[str, int] = {}
+        self.memo = Aligned(np.zeros((0, 4), np.int64), np.zeros(0, np.int64), [], np.zeros(0, bool))
 
     def stretches(self, text: str) -> list[str]:
         """Parts of a space and ``text``, each of which begins with a space."""
@@ -123,33 +111,90 @@ class Aligner:
             return []
         return CUT.split(f" {text}") if self.cuts else [f" {text}"]
 
-    def aligned(self, stretches: list[str]) -> list[Aligned | None]:
-        """None for a stretch that either tokenizer does not give back."""
-        of_a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)] if stretches else []
-        of_b = self.b.encode([s[1:] for s in stretches], num_threads=1) if stretches else []
-        return [self._pair(s.encode(), a, b) for s, a, b in zip(stretches, of_a, of_b, strict=True)]
-
-    def _pair(self, data: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        links, spanned = align(list(map(len, a_bytes)), list(map(len, b_bytes)))
-        parts = groups(links, spanned)
-        a_shown, b_shown = list(map(str, a)), list(map(str, b))
-        shown = ";".join(f"{','.join(a_shown[x.start : x.stop])}|{','.join(b_shown[y.start : y.stop])}" for x, y in parts)
-        return Aligned(len(a), len(b), len(parts), shown, tuple(a[i] << 32 | b[j] for i, found in enumerate(links) for j in found))
-
-    def learn(self, new: Iterable[str]) -> dict[str, Aligned | None]:
-        """What ``new`` stretches align to; short ones are remembered while there is room."""
-        fresh = list(new)
-        found = dict(zip(fresh, self.aligned(fresh), strict=True))
-        if len(self.known) < REMEMBERED:
-            self.known.update((s, x) for s, x in found.items() if x is not None and len(s) <= REMEMBERED_CHARS)
-        return found
-
-    def whole(self, text: str) -> Aligned | None:
-        """Without cuts: decides on texts that have a stretch which is not given back."""
-        return self.aligned([f" {text}"])[0]
+    def _encoded(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of the joined stretches by A and B; None if either does not give the bytes back."""
+        joined, starts, chars = [], 0, 0
+        texts: list[str] = []
+        for k, s in enumerate(stretches):
+            chars += len(s)
+            if chars >= JOINED_CHARS or k == len(stretches) - 1:
+                joined.append(stretches[starts : k + 1])
+                texts.append("".join(joined[-1]))
+                starts, chars = k + 1, 0
+        of_a = [self.a.encode(t, add_special_tokens=False).ids for t in texts]
+        of_b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        out: list[tuple[list[int], list[int]] | None] = []
+        for group, text, a, b in zip(joined, texts, of_a, of_b, strict=True):
+            data = text.encode()
+            if b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)):
+                out.append((a, b))
+            else:
+                out += [None] if len(group) == 1 else [x for s in group for x in self._encoded([s])]
+        return out
+
+    def aligned(self, stretches: list[str]) -> Aligned:
+        """All stretches at once: they are one sequence of bytes, whose ends are ends of tokens of both."""
+        encoded = self._encoded(stretches)
+        if None in encoded:  # then those that were joined with a broken one stand alone
+            encoded = self._encoded_alone(stretches)
+            broken = np.array([x is None for x in encoded])
+        else:
+            broken = np.zeros(len(stretches), bool)
+        parts = [x for x in encoded if x is not None]
+        a, b = (np.fromiter((i for x in parts for i in x[k]), np.int64) for k in (0, 1))
+        first, end, spanned = align(self.a_sizes[a], self.b_sizes[b])
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([0 if x else len(s.encode()) for s, x in zip(stretches, broken.tolist(), strict=True)])
+        # ends of each stretch among A tokens, B tokens, groups and links
+        closes = np.cumsum(~spanned)
+        to_a, to_b = np.searchsorted(a_ends, ends, side="right"), np.searchsorted(b_ends, ends, side="right")
+        per_a = end - first
+        links = np.concatenate([[0], np.cumsum(per_a)])
+        to = np.stack([to_a, to_b, np.concatenate([[0], closes])[to_b], links[to_a]], axis=1)
+        sizes = np.diff(to, axis=0, prepend=0)
+        left = np.repeat(np.arange(len(a)), per_a)
+        right = np.arange(len(left)) - np.repeat(links[:-1], per_a) + np.repeat(first, per_a)
+        shown = self._shown(a, b, first, spanned, closes, to_a, to_b)
+        return Aligned(sizes, a[left] << 32 | b[right], shown, broken)
+
+    def _encoded_alone(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        return [x for s in stretches for x in self._encoded([s])]
+
+    def _shown(self, a: np.ndarray, b: np.ndarray, first: np.ndarray, spanned: np.ndarray, closes: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+        """Each stretch's groups as text: the A ids of a group, then its B ids, in one sequence of written ids."""
+        b_group = closes - ~spanned  # groups that are closed before a B token
+        a_group = b_group[first]
+        starts = np.concatenate([[0], to_a[:-1]])
+        a_mark = np.where(np.diff(a_group, prepend=-1) > 0, 1, 2)
+        a_mark[starts[starts < to_a]] = 0
+        b_mark = np.where(np.diff(b_group, prepend=-1) > 0, 0, 1)
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + np.searchsorted(b_group, a_group, side="left")] = a_mark * len(self.a_bytes) + a
+        out[np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")] = 3 * len(self.a_bytes) + b_mark * len(self.b_bytes) + b
+        words, ends = list(map(self.written.__getitem__, out.tolist())), (to_a + to_b).tolist()
+        return ["".join(words[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, stretches: set[str]) -> tuple[list[str], Aligned]:
+        """What is new of ``stretches``, whose places follow the remembered ones until ``settle``."""
+        new = sorted(stretches - self.known.keys(), key=lambda s: len(s) > REMEMBERED_CHARS)
+        found = self.aligned(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return new, found
+
+    def settle(self, new: list[str], found: Aligned) -> int:
+        """Remember short new stretches while there is room and forget the others; how many were kept."""
+        before = len(self.memo.shown)
+        keep = min(REMEMBERED - before, sum(len(s) <= REMEMBERED_CHARS for s in new)) if before < REMEMBERED else 0
+        for s in new[keep:]:
+            del self.known[s]
+        if keep:
+            links = int(found.sizes[:keep, 3].sum())
+            self.memo = Aligned(np.concatenate([self.memo.sizes, found.sizes[:keep]]), np.concatenate([self.memo.keys, found.keys[:links]]), self.memo.shown + found.shown[:keep], np.concatenate([self.memo.broken, found.broken[:keep]]))
+        return keep
+
+    def whole(self, text: str) -> Aligned:
+        """Without cuts: decides on texts with a stretch that is not given back."""
+        return self.aligned([f" {text}"])
 
 
 @functools.lru_cache(maxsize=1)
@@ -172,50 +217,71 @@ def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]
         yield ids, texts
 
 
+class Placed(NamedTuple):
+    """Texts as places of their stretches, one text after another; ``ends`` are those of the texts."""
+
+    places: np.ndarray
+    ends: np.ndarray
+    new: list[str]
+    found: Aligned
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text's stretches."""
+        total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values[self.places], axis=0)])
+        return np.diff(total[np.concatenate([[0], self.ends])], axis=0)
+
+
+def placed(aligner: Aligner, texts: list[str]) -> Placed:
+    """To be followed by ``aligner.settle``."""
+    parts = [aligner.stretches(t) for t in texts]
+    flat = list(chain.from_iterable(parts))
+    new, found = aligner.learn(set(flat))
+    return Placed(np.fromiter(map(aligner.known.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(p) for p in parts], dtype=np.int64), new, found)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
 def link_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """a, b and n: how many links of all texts are of that id pair."""
     schema = arrow_schema("a int, b int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, pairs, seen = load(path_a, path_b), Counter(), Counter()
-
-        def settled() -> None:
-            for stretch, n in seen.items():
-                for key in aligner.known[stretch].keys:
-                    pairs[key] += n
-            seen.clear()
+        aligner = load(path_a, path_b)
+        seen = np.zeros(len(aligner.known), np.int64)  # of remembered stretches, whose links are counted at the end
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def handed_on() -> pa.RecordBatch:
-            keys, counts = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], schema=schema)
+            keys, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], schema=schema)
 
         for _, texts in taken(batches):
-            counted = [Counter(aligner.stretches(t)) for t in texts]
-            learned = aligner.learn(set().union(*counted) - aligner.known.keys())
-            loose = {s: x for s, x in learned.items() if x is not None and s not in aligner.known}
-            broken = {s for s, x in learned.items() if x is None}
-            for text, stretches in zip(texts, counted, strict=True):
-                if broken and not broken.isdisjoint(stretches):
-                    if (found := aligner.whole(text)) is not None:
-                        pairs.update(found.keys)
-                    continue
-                for stretch in stretches.keys() & loose.keys():
-                    n = stretches.pop(stretch)
-                    for key in loose[stretch].keys:
-                        pairs[key] += n
-                seen.update(stretches)
-            if len(seen) > TALLIED:
-                settled()
-            if len(pairs) > TALLIED:
+            p = placed(aligner, texts)
+            broken = p.per_text(np.concatenate([aligner.memo.broken, p.found.broken]).astype(np.int64)) > 0
+            good = np.repeat(~broken, np.diff(p.ends, prepend=0))
+            counts = np.bincount(p.places[good], minlength=len(aligner.known))
+            for i in np.flatnonzero(broken).tolist():
+                held.append((keys := aligner.whole(texts[i]).keys, np.ones(len(keys), np.int64)))
+            before = len(seen)
+            keep = aligner.settle(p.new, p.found)
+            seen = np.concatenate([seen, np.zeros(keep, np.int64)]) + counts[: before + keep]
+            loose = p.found.keys[int(p.found.sizes[:keep, 3].sum()) :]
+            held.append(summed(loose, np.repeat(counts[before + keep :], p.found.sizes[keep:, 3])))
+            if sum(len(k) for k, _ in held) > TALLIED:
                 yield handed_on()
-        settled()
-        if pairs:
-            yield handed_on()
+        held.append((aligner.memo.keys, np.repeat(seen, aligner.memo.sizes[:, 3])))
+        last = handed_on()
+        yield last.filter(pc.greater(last.column(2), 0))
 
     return map_arrow(_texts(docs), run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -233,13 +299,20 @@ class Counts(NamedTuple):
     n: np.ndarray
     best: np.ndarray
 
-    def sums(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best links and summed counts of consecutive runs of keys, and which keys are not held."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1) if len(self.keys) else np.zeros(len(keys), np.int64)
-        held = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
-        return total(self.best[at] & held) if len(self.keys) else np.zeros(len(sizes), np.int64), total(np.where(held, self.n[at], 0)) if len(self.keys) else np.zeros(len(sizes), np.int64), ~held
+    def of(self, found: Aligned) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """Best links and summed counts of each stretch; the keys that are not held, by the place of their stretch."""
+        ends = np.concatenate([[0], np.cumsum(found.sizes[:, 3])])
+        if not len(self.keys):
+            return np.zeros((len(found.sizes), 2), np.int64), {}
+        at = np.minimum(np.searchsorted(self.keys, found.keys), len(self.keys) - 1)
+        held = self.keys[at] == found.keys
+        values = np.stack([self.best[at] & held, np.where(held, self.n[at], 0)], axis=1).astype(np.int64)
+        total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values, axis=0)])
+        missing = np.flatnonzero(~held)
+        others: dict[int, list[int]] = {}
+        for place, key in zip((np.searchsorted(ends, missing, side="right") - 1).tolist(), found.keys[missing].tolist(), strict=True):
+            others.setdefault(place, []).append(key)
+        return np.diff(total[ends], axis=0), others
 
 
 def held_counts(counts: DataFrame, most: int) -> tuple[Counts, DataFrame | None]:
@@ -268,39 +341,28 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, held: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, counts = load(path_a, path_b), table.value
-        stats: dict[str, tuple] = {}
         row = TaskContext.get().partitionId() << 33
-
-        def measured(found: dict[str, Aligned | None]) -> dict[str, tuple | None]:
-            whole = {s: x for s, x in found.items() if x is not None}
-            sizes = np.array([len(x.keys) for x in whole.values()], np.int64)
-            keys = np.fromiter((k for x in whole.values() for k in x.keys), np.int64, int(sizes.sum()))
-            best, total, others = counts.sums(keys, sizes)
-            missing = [()] * len(whole)
-            if others.any():
-                ends = np.cumsum(sizes)
-                missing = [tuple(keys[e - n : e][others[e - n : e]].tolist()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            out = {s: (x.n_a, x.n_b, x.n_groups, len(x.keys), b, t, x.shown, m) for (s, x), b, t, m in zip(whole.items(), best.tolist(), total.tolist(), missing, strict=True)}
-            return out | {s: None for s in found.keys() - whole.keys()}
+        best, others = counts.of(aligner.memo)
 
         for ids, texts in taken(batches):
-            cut_texts = [aligner.stretches(t) for t in texts]
-            fresh = set().union(*cut_texts) - stats.keys()
-            local = measured({s: aligner.known[s] for s in fresh & aligner.known.keys()} | aligner.learn(fresh - aligner.known.keys()))
-            if len(stats) < REMEMBERED:
-                stats.update((s, x) for s, x in local.items() if len(s) <= REMEMBERED_CHARS)
-            rows = []
-            for i, text, stretches in zip(ids, texts, cut_texts, strict=True):
-                parts = [local[s] if s in local else stats[s] for s in stretches]
-                if None in parts:
-                    parts = [*measured({text: aligner.whole(text)}).values()]
-                if not parts or parts == [None]:
-                    rows.append((row, i, 0, 0, 0, 0, 0, 0, "", []))
-                else:
-                    *numbers, shown, others = zip(*parts, strict=True)
-                    digest = hashlib.sha256(";".join(shown).encode()).hexdigest()
-                    rows.append((row, i, *map(sum, numbers), digest, [k for m in others for k in m]))
+            p = placed(aligner, texts)
+            new_best, new_others = counts.of(p.found)
+            broken = np.concatenate([aligner.memo.broken, p.found.broken]).astype(np.int64)
+            numbers = np.concatenate([np.concatenate([aligner.memo.sizes, p.found.sizes]), np.concatenate([best, new_best]), broken[:, None]], axis=1)
+            shown, rare = aligner.memo.shown + p.found.shown, others | {len(best) + k: x for k, x in new_others.items()}
+            rows, start = [], 0
+            for i, text, sums, end in zip(ids, texts, p.per_text(numbers).tolist(), p.ends.tolist(), strict=True):
+                places, start = p.places[start:end].tolist(), end
+                groups, more = list(map(shown.__getitem__, places)), [k for x in places if x in rare for k in rare[x]] if rare else []
+                if sums[-1]:
+                    alone = aligner.whole(text)
+                    of_alone, rare_alone = counts.of(alone)
+                    sums, groups, more = [*alone.sizes[0].tolist(), *of_alone[0].tolist(), 0], [] if alone.broken[0] else alone.shown, rare_alone.get(0, [])
+                rows.append((row, i, *sums[:-1], hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "", more))
                 row += 1
+            keep = aligner.settle(p.new, p.found)
+            others |= {len(best) + k: x for k, x in new_others.items() if k < keep}
+            best = np.concatenate([best, new_best[:keep]])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     found = map_arrow(_texts(docs), run, f"row long, {OUT}, others array<long>")

@@ -28,6 +28,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     """
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     wanted = wanted.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
+    wanted = wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # labels of other documents take no place
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` narrow rows, so safe to broadcast
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(wanted), "doc_id")

@@ -172,6 +172,16 @@ def test_samples_are_bounded_and_whole(spark):
     assert len(take(10, 1 << 20)) <= 10 and len(take(1000, 1000)) == 10 and take(1000, 700) == []
 
 
+def test_samples_ignore_labels_of_other_documents(spark):
+    from lakelens.llm import labelled
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    own = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    foreign = own.unionByName(spark.range(1000, 60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    take = lambda labels: sorted(map(tuple, labelled.training_sample(docs, labels, "quality", labelled.remainder(3) == 1, 50).collect()))
+    assert take(own) == take(foreign) and len(take(own)) == 50
+
+
 def test_op7_gradients():
     rng = np.random.default_rng(0)
     x, first, y = rng.normal(size=(9, 5)).astype(np.float32), np.array([0, 4, 5, 9]), np.array([1, 0, 1], np.float32)

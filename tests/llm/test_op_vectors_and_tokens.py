@@ -1,7 +1,6 @@
 """Whitening, packing and cross-tokenizer alignment, against brute force."""
 
 import hashlib
-import json
 import random
 import zlib
 from bisect import bisect_left
@@ -248,7 +247,11 @@ def test_op13_empty_tables_and_forgetful_workers(spark, monkeypatch):
     assert len(got) == len(ODD) and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in got if r["doc_id"] in (1, 2))
     aligner = alignment.Aligner(A, B)
     monkeypatch.setattr(alignment, "REMEMBERED", 0)
-    assert set(aligner.learn([" a", " b"])) == {" a", " b"} and not aligner.known
+    new, found = aligner.learn({" a", " b"})
+    assert set(aligner.known) == set(new) == {" a", " b"} and found.sizes[:, 0].tolist() == [1, 1]
+    assert aligner.settle(new, found) == 0 and not aligner.known
+    monkeypatch.setattr(alignment, "REMEMBERED", 1)
+    assert aligner.settle(*aligner.learn({" a", " b"})) == 1 and len(aligner.known) == len(aligner.memo.shown) == 1
 
 
 def test_op13_index_equals_brute_force():
@@ -257,11 +260,8 @@ def test_op13_index_equals_brute_force():
         total = rng.randint(1, 30)
         cuts = [[0, *sorted(rng.sample(range(1, total), rng.randint(0, total - 1))), total] for _ in range(2)]
         a, b = ([q - p for p, q in zip(c, c[1:], strict=False)] for c in cuts)
-        links, spanned = alignment.align(a, b)
+        first, end, spanned = alignment.align(np.array(a), np.array(b))
         ends = lambda s: np.cumsum(s).tolist()
         ranges = lambda s: [(e - n, e) for n, e in zip(s, ends(s), strict=True)]
-        assert [list(x) for x in links] == [[j for j, (p, q) in enumerate(ranges(b)) if p < e and q > s] for s, e in ranges(a)]
+        assert [list(range(p, q)) for p, q in zip(first, end, strict=True)] == [[j for j, (p, q) in enumerate(ranges(b)) if p < e and q > s] for s, e in ranges(a)]
         assert [e for e, s in zip(ends(b), spanned, strict=True) if not s] == sorted(set(ends(a)) & set(ends(b)))
-        parts = alignment.groups(links, spanned)
-        assert [i for x, _ in parts for i in x] == list(range(len(a))) and [j for _, y in parts for j in y] == list(range(len(b)))
-    assert json.dumps(alignment.IntervalIndex([2, 3]).stab(1, 3).stop) == "2"
