@@ -35,6 +35,8 @@ from lakelens.session import cut
 
 #: Before a space that follows neither white space, in any tokenizer's sense, nor B's mark of a space.
 CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff])(?= )")
+#: A space before which no text may be cut.
+KEPT = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff] ")
 MARK = "\u2581"
 #: Characters of texts that are taken together and of stretches that are encoded together, pairs that a task holds before
 #: it hands them on, and stretches that a worker remembers.
@@ -106,10 +108,12 @@ class Aligner:
         self.memo = Aligned(np.zeros((0, 4), np.int64), np.zeros(0, np.int64), [], np.zeros(0, bool))
 
     def stretches(self, text: str) -> list[str]:
-        """Parts of a space and ``text``, each of which begins with a space."""
+        """Parts of a space and ``text``, each without the space that it begins with."""
         if not text:
             return []
-        return CUT.split(f" {text}") if self.cuts else [f" {text}"]
+        if not self.cuts:
+            return [text]
+        return [s[1:] for s in CUT.split(f" {text}")] if text[0] == " " or KEPT.search(text) else text.split(" ")
 
     def _encoded(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of the joined stretches by A and B; None if either does not give the bytes back."""
@@ -119,13 +123,13 @@ class Aligner:
             chars += len(s)
             if chars >= JOINED_CHARS or k == len(stretches) - 1:
                 joined.append(stretches[starts : k + 1])
-                texts.append("".join(joined[-1]))
+                texts.append(" ".join(joined[-1]))
                 starts, chars = k + 1, 0
-        of_a = [self.a.encode(t, add_special_tokens=False).ids for t in texts]
-        of_b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
+        of_a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        of_b = self.b.encode(texts, num_threads=1) if texts else []
         out: list[tuple[list[int], list[int]] | None] = []
         for group, text, a, b in zip(joined, texts, of_a, of_b, strict=True):
-            data = text.encode()
+            data = f" {text}".encode()
             if b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)):
                 out.append((a, b))
             else:
@@ -141,10 +145,10 @@ class Aligner:
         else:
             broken = np.zeros(len(stretches), bool)
         parts = [x for x in encoded if x is not None]
-        a, b = (np.fromiter((i for x in parts for i in x[k]), np.int64) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable([x[k] for x in parts]), np.int64) for k in (0, 1))
         first, end, spanned = align(self.a_sizes[a], self.b_sizes[b])
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.cumsum([0 if x else len(s.encode()) for s, x in zip(stretches, broken.tolist(), strict=True)])
+        ends = np.cumsum([0 if x else len(s.encode()) + 1 for s, x in zip(stretches, broken.tolist(), strict=True)])
         # ends of each stretch among A tokens, B tokens, groups and links
         closes = np.cumsum(~spanned)
         to_a, to_b = np.searchsorted(a_ends, ends, side="right"), np.searchsorted(b_ends, ends, side="right")
@@ -194,7 +198,7 @@ class Aligner:
 
     def whole(self, text: str) -> Aligned:
         """Without cuts: decides on texts with a stretch that is not given back."""
-        return self.aligned([f" {text}"])
+        return self.aligned([text])
 
 
 @functools.lru_cache(maxsize=1)
