@@ -104,6 +104,10 @@ class Aligner:
         self.written = [f"{mark}{i}" for mark in ("", ";", ",") for i in range(len(self.a_bytes))] + [f"{mark}{i}" for mark in ("|", ",") for i in range(len(self.b_bytes))]
         #: Pieces that hold a space after other text could be merged across a cut: then texts stay whole.
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.worth, self.writes = 0, True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.memo = Aligned(np.zeros((0, 4), np.int64), np.zeros(0, np.int64), [], np.zeros(0, bool))
 
@@ -158,7 +162,7 @@ class Aligner:
         sizes = np.diff(to, axis=0, prepend=0)
         left = np.repeat(np.arange(len(a)), per_a)
         right = np.arange(len(left)) - np.repeat(links[:-1], per_a) + np.repeat(first, per_a)
-        shown = self._shown(a, b, first, spanned, closes, to_a, to_b)
+        shown = self._shown(a, b, first, spanned, closes, to_a, to_b) if self.writes else [""] * len(stretches)
         return Aligned(sizes, a[left] << 32 | b[right], shown, broken)
 
     def _encoded_alone(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
@@ -178,17 +182,36 @@ class Aligner:
         words, ends = list(map(self.written.__getitem__, out.tolist())), (to_a + to_b).tolist()
         return ["".join(words[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, stretches: set[str]) -> tuple[list[str], Aligned]:
-        """What is new of ``stretches``, whose places follow the remembered ones until ``settle``."""
-        new = sorted(stretches - self.known.keys(), key=lambda s: len(s) > REMEMBERED_CHARS)
+    def split(self, texts: list[str]) -> tuple[list[int], np.ndarray, pa.Array]:
+        """The stretches of all texts, one after another; the texts in the order in which they come, and their numbers of stretches.
+
+        Texts that may be cut at every space are cut by Arrow and come first.
+        """
+        plain = [bool(t) and self.cuts and t[0] != " " and not KEPT.search(t) for t in texts]
+        order = [i for i, p in enumerate(plain) if p] + [i for i, p in enumerate(plain) if not p]
+        words = pc.split_pattern(pa.array([texts[i] for i in order[: sum(plain)]], pa.large_string()), " ")
+        others = [self.stretches(texts[i]) for i in order[sum(plain) :]]
+        sizes = np.concatenate([pc.list_value_length(words).to_numpy(), np.array(list(map(len, others)), np.int64)])
+        return order, sizes, pa.concat_arrays([words.flatten(), pa.array(list(chain.from_iterable(others)), pa.large_string())])
+
+    def learn(self, stretches: list[str], times: list[int]) -> tuple[list[str], Aligned]:
+        """What is new of different ``stretches``, whose places follow the remembered ones until ``settle``.
+
+        Those that are worth remembering, being short and there more than once, come first; half of the room is for any.
+        """
+        fresh = [(s, n) for s, n in zip(stretches, times, strict=True) if s not in self.known]
+        often = [s for s, n in fresh if n > 1 and len(s) <= REMEMBERED_CHARS]
+        once = [s for s, n in fresh if n == 1 and len(s) <= REMEMBERED_CHARS]
+        self.worth = len(often) + min(len(once), max(0, REMEMBERED // 2 - len(self.known)))
+        new = often + once + [s for s, _ in fresh if len(s) > REMEMBERED_CHARS]
         found = self.aligned(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         return new, found
 
     def settle(self, new: list[str], found: Aligned) -> int:
-        """Remember short new stretches while there is room and forget the others; how many were kept."""
+        """Remember new stretches that are worth it while there is room and forget the others; how many were kept."""
         before = len(self.memo.shown)
-        keep = min(REMEMBERED - before, sum(len(s) <= REMEMBERED_CHARS for s in new)) if before < REMEMBERED else 0
+        keep = max(0, min(REMEMBERED - before, self.worth))
         for s in new[keep:]:
             del self.known[s]
         if keep:
@@ -202,15 +225,23 @@ class Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def load(path_a: str, path_b: str) -> Aligner:
-    """One for each worker process."""
+def _load(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def load(path_a: str, path_b: str, writes: bool = True) -> Aligner:
+    """One for each worker process; what it remembers has groups as text or, without ``writes``, has not."""
+    aligner = _load(path_a, path_b)
+    if aligner.writes != writes:
+        aligner.writes = writes
+        aligner.forget()
+    return aligner
+
+
 def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts of a bounded number of characters, or of one text."""
+    ids, texts, chars = [], [], 0
     for batch in batches:
-        ids, texts, chars = [], [], 0
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if ids and chars + len(text) > TAKEN_CHARS:
                 yield ids, texts
@@ -218,12 +249,14 @@ def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]
             ids.append(i)
             texts.append(text)
             chars += len(text)
+    if ids:
         yield ids, texts
 
 
 class Placed(NamedTuple):
-    """Texts as places of their stretches, one text after another; ``ends`` are those of the texts."""
+    """Texts, in the order given, as places of their stretches, one text after another; ``ends`` are those of the texts."""
 
+    order: list[int]
     places: np.ndarray
     ends: np.ndarray
     new: list[str]
@@ -237,10 +270,12 @@ class Placed(NamedTuple):
 
 def placed(aligner: Aligner, texts: list[str]) -> Placed:
     """To be followed by ``aligner.settle``."""
-    parts = [aligner.stretches(t) for t in texts]
-    flat = list(chain.from_iterable(parts))
-    new, found = aligner.learn(set(flat))
-    return Placed(np.fromiter(map(aligner.known.__getitem__, flat), np.int64, len(flat)), np.cumsum([len(p) for p in parts], dtype=np.int64), new, found)
+    order, sizes, flat = aligner.split(texts)
+    coded = flat.dictionary_encode()  # most stretches come again and again, so each is looked up once
+    values, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    new, found = aligner.learn(values, np.bincount(index, minlength=len(values)).tolist())
+    places = np.fromiter(map(aligner.known.__getitem__, values), np.int64, len(values))
+    return Placed(order, places[index], np.cumsum(sizes, dtype=np.int64), new, found)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -260,7 +295,7 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     schema = arrow_schema("a int, b int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = load(path_a, path_b)
+        aligner = load(path_a, path_b, writes=False)
         seen = np.zeros(len(aligner.known), np.int64)  # of remembered stretches, whose links are counted at the end
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -275,7 +310,7 @@ def link_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             good = np.repeat(~broken, np.diff(p.ends, prepend=0))
             counts = np.bincount(p.places[good], minlength=len(aligner.known))
             for i in np.flatnonzero(broken).tolist():
-                held.append((keys := aligner.whole(texts[i]).keys, np.ones(len(keys), np.int64)))
+                held.append((keys := aligner.whole(texts[p.order[i]]).keys, np.ones(len(keys), np.int64)))
             before = len(seen)
             keep = aligner.settle(p.new, p.found)
             seen = np.concatenate([seen, np.zeros(keep, np.int64)]) + counts[: before + keep]
@@ -355,14 +390,14 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, held: int | None
             numbers = np.concatenate([np.concatenate([aligner.memo.sizes, p.found.sizes]), np.concatenate([best, new_best]), broken[:, None]], axis=1)
             shown, rare = aligner.memo.shown + p.found.shown, others | {len(best) + k: x for k, x in new_others.items()}
             rows, start = [], 0
-            for i, text, sums, end in zip(ids, texts, p.per_text(numbers).tolist(), p.ends.tolist(), strict=True):
+            for at, sums, end in zip(p.order, p.per_text(numbers).tolist(), p.ends.tolist(), strict=True):
                 places, start = p.places[start:end].tolist(), end
                 groups, more = list(map(shown.__getitem__, places)), [k for x in places if x in rare for k in rare[x]] if rare else []
                 if sums[-1]:
-                    alone = aligner.whole(text)
+                    alone = aligner.whole(texts[at])
                     of_alone, rare_alone = counts.of(alone)
                     sums, groups, more = [*alone.sizes[0].tolist(), *of_alone[0].tolist(), 0], [] if alone.broken[0] else alone.shown, rare_alone.get(0, [])
-                rows.append((row, i, *sums[:-1], hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "", more))
+                rows.append((row, ids[at], *sums[:-1], hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "", more))
                 row += 1
             keep = aligner.settle(p.new, p.found)
             others |= {len(best) + k: x for k, x in new_others.items() if k < keep}

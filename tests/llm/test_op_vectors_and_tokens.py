@@ -247,11 +247,13 @@ def test_op13_empty_tables_and_forgetful_workers(spark, monkeypatch):
     assert len(got) == len(ODD) and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in got if r["doc_id"] in (1, 2))
     aligner = alignment.Aligner(A, B)
     monkeypatch.setattr(alignment, "REMEMBERED", 0)
-    new, found = aligner.learn({"a", "b"})
+    new, found = aligner.learn(["a", "b"], [2, 2])
     assert set(aligner.known) == set(new) == {"a", "b"} and found.sizes[:, 0].tolist() == [1, 1]
     assert aligner.settle(new, found) == 0 and not aligner.known
     monkeypatch.setattr(alignment, "REMEMBERED", 1)
-    assert aligner.settle(*aligner.learn({"a", "b"})) == 1 and len(aligner.known) == len(aligner.memo.shown) == 1
+    assert aligner.settle(*aligner.learn(["a", "b"], [2, 2])) == 1 and len(aligner.known) == len(aligner.memo.shown) == 1
+    monkeypatch.setattr(alignment, "REMEMBERED", 4)
+    assert aligner.settle(*aligner.learn(["c", "d", "e" * 99, "f"], [1, 2, 3, 1])) == 2 and {"d", "c"} < set(aligner.known) and len(aligner.known) == 3
 
 
 def test_op13_index_equals_brute_force():
