@@ -116,18 +116,26 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def over_best(scored: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scored rows with ``score``, their raw score over the greatest of their query.
+
+    The greatest is combined in the tasks and sent back where a row for each query fits, so no query's rows meet in a task.
+    """
+    best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
+    return scored.join(F.broadcast(best) if fits(queries) else best, "query_id").withColumn("score", F.round(F.col("raw") / F.col("best"), 4)).drop("best")
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, where: Column | None = None, min_score: float = 0.0, over: str = "all") -> DataFrame:
     """Scores over the query's greatest raw score, rounded; ``where`` filters chunks.
 
     The greatest is that of all chunks, or with ``over`` "found" that of the chunks that the filter leaves, as an external
     index normalises (RK11).
     """
-    best = F.max("raw").over(Window.partitionBy("query_id"))
     scored = bm25_scores(queries, chunks)
     allowed = None if where is None else chunks.filter(where).select("chunk_id")
     if allowed is not None and over == "found":
         scored, allowed = scored.join(allowed, "chunk_id", "left_semi"), None
-    scored = scored.withColumn("score", F.round(F.col("raw") / best, 4))
+    scored = over_best(scored, queries)
     if allowed is not None:
         scored = scored.join(allowed, "chunk_id", "left_semi")
     return top_k(scored.filter(F.col("score") >= min_score).select("query_id", "chunk_id", "score"), k, F.desc("score"), F.asc("chunk_id"))
@@ -303,7 +311,10 @@ def merge_by_max(results: list[DataFrame], k: int = 10) -> DataFrame:
 
 
 def route_by_exemplars(queries: DataFrame, exemplars: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """Intent of the nearest exemplar (intent, position, embedding); the first intent wins ties; null below the threshold."""
+    """Intent of the nearest exemplar (intent, position, embedding); the first intent wins ties; null below the threshold.
+
+    Exemplars are a stated list of some hundreds; a look at their size decides whether they are sent to all tasks.
+    """
     pairs = queries.select("query_id", F.col("embedding").alias("q")).join(small(exemplars))
     best = pairs.select("query_id", "intent", "position", V.cosine(F.col("q"), F.col("embedding")).alias("s")).groupBy("query_id").agg(F.max(F.struct(F.col("s"), -F.col("position"), "intent")).alias("b"))
     score = F.round("b.s", 3)

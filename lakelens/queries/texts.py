@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
-from lakelens.operators import chunking, guardrails, rag, retrieve, router
+from lakelens.operators import chunking, guardrails, rag, retrieve, router, textindex, vectorindex
 from lakelens.queries.common import query, table
+from lakelens.session import scratch
 from lakelens.sources import files
 
 
@@ -124,6 +125,29 @@ def bm25_found_topk(spark, sf):
     return found.select("query_id", "chunk_id", "score", "rank")
 
 
+def indexed(spark, sf, name: str):
+    return textindex.TextIndex(spark, f"{scratch(spark, name)}/index")
+
+
+@query("bm25_index_topk", bm25_sql())
+def bm25_index_topk(spark, sf):
+    """The same from an index that stores all documents: blocks of postings that can't matter bring no candidates."""
+    index = indexed(spark, sf, "text-index")
+    index.add(as_chunks(spark, sf))
+    return index.search(benchmark_queries(spark, sf), 10)
+
+
+@query("bm25_index_changes", bm25_sql(docs="(SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN text || ' ' || source ELSE text END AS text) FROM documents WHERE doc_id % 7 <> 0)"))
+def bm25_index_changes(spark, sf):
+    """Two writes, a delete of every seventh document and another text for every eleventh that is left."""
+    index, docs = indexed(spark, sf, "text-index"), as_chunks(spark, sf)
+    index.add(docs.filter("chunk_id % 2 = 0"))
+    index.add(docs.filter("chunk_id % 2 = 1"))
+    index.delete(docs.filter("chunk_id % 7 = 0"))
+    index.add(docs.filter("chunk_id % 7 <> 0 AND chunk_id % 11 = 0").withColumn("content", F.concat_ws(" ", "content", "source")))
+    return index.search(benchmark_queries(spark, sf), 10)
+
+
 def vector_table(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
@@ -148,6 +172,26 @@ def dense_topk_filtered(spark, sf):
     return retrieve.dense_search(vector_queries(spark, sf), vector_table(spark, sf), 10, F.col("label") == 3, 0.05).select("query_id", "chunk_id", "score", "rank")
 
 
+def vector_index(spark, sf):
+    index = vectorindex.VectorIndex(spark, f"{scratch(spark, 'vector-index')}/index")
+    index.build(vector_table(spark, sf))
+    return index
+
+
+@query("vector_index_exact", dense_sql())
+def vector_index_exact(spark, sf):
+    """The same from a stored index: lists near each query, then those that could still hold one of its best."""
+    return vector_index(spark, sf).search(vector_queries(spark, sf), 10, exact=True).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("vector_index_filtered", dense_sql("AND v.label = 3 AND v.vec_id % 7 <> 0 AND round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) >= 0.05"))
+def vector_index_filtered(spark, sf):
+    """A filter inside the lists of an index from which every seventh vector was deleted."""
+    index = vector_index(spark, sf)
+    index.delete(vector_table(spark, sf).filter("chunk_id % 7 = 0"))
+    return index.search(vector_queries(spark, sf), 10, exact=True, where=F.col("label") == 3, min_score=0.05).select("query_id", "chunk_id", "score", "rank")
+
+
 def embedded_chunks(spark, sf):
     """Documents that have a vector, with it."""
     return as_chunks(spark, sf).join(vector_table(spark, sf).drop("label"), "chunk_id")
