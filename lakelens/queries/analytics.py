@@ -159,10 +159,10 @@ def run_leaders(spark, sf):
     return experiments.leaders(priority_runs(spark, sf))
 
 
-def spans(spark, sf):
+def spans(spark, sf, events=None):
     """Events as spans: a user's events of one day are a trace; the value is the span's milliseconds."""
     start = micros("ts") * 1000
-    rows = table(spark, sf, "events").withColumn("at", start)
+    rows = (table(spark, sf, "events") if events is None else events).withColumn("at", start)
     trace = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
     tokens = F.create_map(F.lit("gen_ai.usage.prompt_tokens"), F.get_json_object("props", "$.k"), F.lit("gen_ai.usage.completion_tokens"), F.lit("1"))
     return rows.select(
@@ -188,6 +188,30 @@ def trace_rollup(spark, sf):
     return telemetry.roll_up(spans(spark, sf)).drop("metadata")
 
 
+def event_stream(spark, sf):
+    """The events table as a stream of its files; its state stores need RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, DEFAULTS[key])
+    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")
+
+
+def streamed(rows, name: str):
+    """What a stream gives when it is run to the end of its files."""
+    folder = scratch(rows.sparkSession, name)
+    rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.parquet(f"{folder}/out")
+
+
+@query(
+    "trace_rollup_stream",
+    TRACES + ", w AS (SELECT max(st) - 600000000000 AS seen FROM s), last AS (SELECT trace_id, max(st) + 86400000000000 AS closes FROM s GROUP BY trace_id) SELECT t.* FROM t JOIN last USING (trace_id) CROSS JOIN w WHERE closes <= seen",
+)
+def trace_rollup_stream(spark, sf):
+    """Traces of a stream of spans that were closed by the watermark, ten minutes behind the newest span; a day closes a trace."""
+    rows = spans(spark, sf, event_stream(spark, sf)).withColumn("ts", F.timestamp_micros((F.col("start_time_ns") / 1000).cast("long")))
+    return streamed(telemetry.roll_up_stream(rows, "1 day", "10 minutes").drop("metadata"), "traces")
+
+
 @query("trace_filter", TRACES + " SELECT trace_id, root_span_name, total_duration_ms FROM t WHERE status_code = 'ERROR' AND contains(lower(root_span_name), 'c') AND total_duration_ms >= 1 ORDER BY start_time_ns DESC, trace_id LIMIT 50")
 def trace_filter(spark, sf):
     found = telemetry.filter_traces(telemetry.roll_up(spans(spark, sf)), "ERROR", "C", 1.0, 50)
@@ -247,15 +271,8 @@ def rate_window_counts(spark, sf):
 @query("rate_limit_stream", ADMISSION)
 def rate_limit_stream(spark, sf):
     """The streaming limiter over the table as a stream, run to its end; its state store needs RocksDB."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, DEFAULTS[key])
-    folder = scratch(spark, "limits")
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/event[s].parquet")
-    rows = events.select(F.col("user_id").cast("string").alias("client_key"), "event_id", (micros("ts") / 3.6e9).alias("at"))
-    done = limits.admit_stream(rows, limit=5, burst=2).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    rows = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("client_key"), "event_id", (micros("ts") / 3.6e9).alias("at"))
+    return streamed(limits.admit_stream(rows, limit=5, burst=2), "limits")
 
 
 CACHE = """WITH RECURSIVE e AS (SELECT event_type AS c, user_id AS k, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS i, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
@@ -366,6 +383,29 @@ def schema_reflection(spark, sf):
     return sqlguard.reflected({n: table(spark, sf, n) for n in REFLECTED})
 
 
+SESSIONS = """WITH g AS (SELECT user_id, epoch_us(ts) AS us, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) < 7200000000 THEN 0 ELSE 1 END AS opens FROM events),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nth FROM g),
+    r AS (SELECT user_id, nth, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, nth)"""
+
+
+def session_columns(found):
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.round("total", 4).alias("total"))
+
+
+@query("event_sessions", SESSIONS + " SELECT user_id, start_us, end_us, n, total FROM r")
+def event_sessions(spark, sf):
+    """Each user's runs of events less than two hours apart."""
+    rows = table(spark, sf, "events").withColumn("ts", F.timestamp_micros(micros("ts")))
+    return session_columns(limits.event_sessions(rows, "2 hours", "10 minutes", "user_id"))
+
+
+@query("event_sessions_stream", SESSIONS + ", w AS (SELECT max(us) - 600000000 AS seen FROM g) SELECT user_id, start_us, end_us, n, total FROM r CROSS JOIN w WHERE end_us <= seen")
+def event_sessions_stream(spark, sf):
+    """The same of a stream: sessions that the watermark has closed."""
+    rows = event_stream(spark, sf).withColumn("ts", F.timestamp_micros(micros("ts")))
+    return session_columns(streamed(limits.event_sessions(rows, "2 hours", "10 minutes", "user_id"), "sessions"))
+
+
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     got = limits.event_windows(table(spark, sf, "events"))

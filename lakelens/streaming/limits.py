@@ -52,27 +52,51 @@ def admit_batch(requests: DataFrame, limit: int = 120, burst: int = 30, window:
 
 
 class Limiter(StatefulProcessor):
-    """The same fold on a stream, for transformWithStateInPandas."""
+    """The same fold on a stream, for transformWithStateInPandas.
 
-    def __init__(self, limit: int = 120, burst: int = 30, window: float = 60.0):
-        self.limit, self.burst, self.window = limit, burst, window
+    With ``seconds``, those of one unit of ``at``, a timer in event time clears a key's state once the watermark has passed
+    its window, so keys that never come back cost nothing; else states stay.
+    """
+
+    def __init__(self, limit: int = 120, burst: int = 30, window: float = 60.0, seconds: float | None = None):
+        self.limit, self.burst, self.window, self.seconds = limit, burst, window, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getValueState("recent", "times array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recent = list(self.recent.get()[0]) if self.recent.exists() else []
         frame = pd.concat(rows).sort_values(["at", "event_id"])
         out = [(key[0], int(e), float(at), *admit(recent, float(at), self.limit, self.burst, self.window)) for e, at in zip(frame["event_id"], frame["at"], strict=True)]
         self.recent.update((recent,))
+        if self.seconds is not None:
+            self.handle.registerTimer(self._closes(recent or [out[-1][2]]))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ADMITTED.split(", ")])
 
+    def _closes(self, recent: list[float]) -> int:
+        """Milliseconds at which no admitted time matters any more."""
+        return int((recent[-1] + self.window) * self.seconds * 1000) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        recent = list(self.recent.get()[0]) if self.recent.exists() else []
+        if not recent or self._closes(recent) <= expiredTimerInfo.getExpiryTimeInMs():  # else a later timer is set
+            self.recent.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def admit_stream(requests: DataFrame, limit: int = 120, burst: int = 30, window: float = 60.0) -> DataFrame:
-    return requests.groupBy("client_key").transformWithStateInPandas(Limiter(limit, burst, window), ADMITTED, "Append", "None")
+def admit_stream(requests: DataFrame, limit: int = 120, burst: int = 30, window: float = 60.0, late: str | None = None, seconds: float = 1.0) -> DataFrame:
+    """Requests (client_key, event_id, at) of a stream with their fate; it goes on where a stopped run left off.
+
+    With ``late``, how far the watermark is behind the column ``ts``, states of keys whose window has passed go, and requests
+    behind the watermark are dropped by Spark and counted in its progress. ``seconds``: of one unit of ``at``.
+    """
+    if late is None:
+        return requests.groupBy("client_key").transformWithStateInPandas(Limiter(limit, burst, window), ADMITTED, "Append", "None")
+    return requests.withWatermark("ts", late).groupBy("client_key").transformWithStateInPandas(Limiter(limit, burst, window, seconds), ADMITTED, "Append", "EventTime")
 
 
 class Cache:
@@ -136,3 +160,14 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minu
     """Watermarked tumbling or sliding counts; works on streams and on tables (an extra beyond the surveyed engine)."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide) if slide else F.window("ts", width), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", *by: str) -> DataFrame:
+    """(start, end, n, total) of each key's sessions, runs of events that are less than ``gap`` apart.
+
+    Works on tables and on streams; on a stream, sessions that a new event joins are merged in its state, a session comes
+    out when the watermark has passed its end, and events behind the watermark are dropped and counted by Spark. A third of
+    all events may have one key: rows are merged to sessions in their tasks before they are shuffled.
+    """
+    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), *by)
+    return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(*by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n", "total")
