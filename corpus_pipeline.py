@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.llm import bpe, decontamination, labelled, quality_mil, simhash, suffix_dedup
-from lakelens.llm.common import read_documents
+from lakelens.llm.common import keeps_columns, read_documents
 from lakelens.session import prepare, scratch
 from lakelens.sources.files import exists
 
@@ -58,6 +58,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+@keeps_columns
+def without_repeats(docs: DataFrame) -> DataFrame:
+    found = suffix_dedup.remove_repeats(docs, carry=[c for c in docs.columns if c != "text"], characters=True)
+    found = found.select(F.col("kept").cast("string").alias("text"), "rest").filter(F.expr("text rlike '[^ \\\\t-\\\\r]'"))
+    of = {c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest").getField(c) for c in docs.columns}
+    return found.select(*(value.alias(c) for c, value in of.items()))
+
+
 @prepared
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings of 200 bytes that also start elsewhere; texts of which no word is left go.
@@ -65,10 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A character of which a part goes is dropped whole, no other is touched; n_chars, where there is one, is that of the
     text left. Null and empty texts have no word, so they go; repeated rows of 200 bytes or more remove each other.
     """
-    found = suffix_dedup.remove_repeats(docs, carry=[c for c in docs.columns if c != "text"], characters=True)
-    found = found.select(F.col("kept").cast("string").alias("text"), "rest").filter(F.expr("text rlike '[^ \\\\t-\\\\r]'"))
-    of = {c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest").getField(c) for c in docs.columns}
-    return found.select(*(value.alias(c) for c, value in of.items()))
+    return without_repeats(docs)
 
 
 @prepared

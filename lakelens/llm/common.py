@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,23 @@ def text_bytes(column: str | Column = "text") -> Column:
     return F.coalesce(value.cast("string"), F.lit("")).cast("binary")
 
 
+#: Columns that operators on whole documents know by name.
+NAMED = ("doc_id", "text", "n_chars")
+
+
+def keeps_columns(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function that gives rows of its first argument, with all columns: those that it need not know have plain names
+    inside, so that none can clash with its own, whatever they are called."""
+
+    @functools.wraps(fn)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        plain = [n if n in NAMED and names.index(n) == i else f"c{i}" for i, n in enumerate(names)]
+        return fn(docs.toDF(*plain), *args, **kwargs).select(*plain).toDF(*names)
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose function gets at most BATCH_ROWS rows, or about BATCH_BYTES bytes, at a time.
 

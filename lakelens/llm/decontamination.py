@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import read_documents
+from lakelens.llm.common import keeps_columns, read_documents
 from lakelens.session import cut
 
 SHINGLE_WORDS = 5
@@ -152,6 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "th", "item_id", F.col("best.start").cast("long").alias("window_start"), F.col("best.n").cast("long").alias("window_words"), F.col("best.distance").alias("distance"), F.round("best.similarity", 6).alias("similarity"))
 
 
+@keeps_columns
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")).distinct()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import arrow_schema, map_arrow, read_documents, text_bytes
+from lakelens.llm.common import arrow_schema, keeps_columns, map_arrow, read_documents, text_bytes
 from lakelens.llm.labelled import read_labels, remainder, training_sample
 
 PASSAGE_WORDS = 64
@@ -239,6 +239,7 @@ def score_documents(docs: DataFrame, model: AttentionMIL | Constant, *columns: s
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), run, SCORES)
 
 
+@keeps_columns
 def keep_good(docs: DataFrame, model: AttentionMIL | Constant, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``least`` or more; nothing is shuffled."""
     at = docs.columns.index("text")

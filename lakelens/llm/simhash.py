@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.llm.common import arrow_schema, map_arrow, per_row, read_documents, text_bytes
+from lakelens.llm.common import arrow_schema, keeps_columns, map_arrow, per_row, read_documents, text_bytes
 from lakelens.llm.components import connected_components
 from lakelens.session import cut
 
@@ -291,6 +291,7 @@ def verified_links(named: DataFrame, members: DataFrame, total: int) -> DataFram
     return map_arrow(pairs, run, "u long, v long")
 
 
+@keeps_columns
 def one_of_each(docs: DataFrame, radius: int = WORD_RADIUS, total: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for a component: the least (doc_id, text hash) of each.
 

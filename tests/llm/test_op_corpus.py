@@ -414,6 +414,15 @@ def test_pipeline_run_and_extra_columns(spark):
     assert F is not None
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    names = ["a.b", "__bad_id", "__bad_th", "__stay_id", "__stay_th", "c0", "c3", "one_id", "row", "a b`c", "TEXT2"]
+    docs = spark.createDataFrame([r[:2] for r in ODD], "doc_id long, text string").select(F.lit(7).alias(names[0]), "doc_id", *(F.lit(i).alias(c) for i, c in enumerate(names[1:])), "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, TINY)
+        assert got.columns == docs.columns and all(r[0] == 7 and r[2] == 0 for r in got.collect()), name
+    assert corpus_pipeline.tokens(spark, docs, TINY).count() == len(ODD)
+
+
 def test_pipeline_stages_on_empty_tables_and_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, odd(spark).filter("false"), TINY)
