@@ -11,7 +11,7 @@ from lakelens.operators import evaluate, experiments, rag, retrieve, security, t
 from lakelens.plans import sqlguard
 from lakelens.queries.common import micros, query, table
 from lakelens.queries.texts import GT, WHOLE_ITEMS, as_chunks, bigrams_sql, bm25_sql, sql_words, words_sql
-from lakelens.session import DEFAULTS, scratch
+from lakelens.session import DEFAULTS, cut, scratch
 from lakelens.streaming import limits
 
 EVAL_TOKENS = "list_transform(regexp_extract_all(%s, '[\\p{L}\\p{N}_]+'), lambda x: lower(x))"
@@ -102,7 +102,7 @@ STEMS_SQL = "list_distinct(list_transform(%s, lambda x: %s))"
     SELECT e.metric AS metric, round(avg(e.x), 4) AS mean, round(min(e.x), 4) AS min, round(max(e.x), 4) AS max, any_value(e.threshold) AS threshold, round(avg(e.x), 4) >= any_value(e.threshold) AND round(avg(e.x), 4) > 0 AS passed FROM st GROUP BY 1"""),
 )
 def evaluation_report(spark, sf):
-    return evaluate.summarize(evaluate.evaluate(samples(spark, sf)))
+    return evaluate.summarize(evaluate.evaluate(cut(samples(spark, sf))))  # read by each metric
 
 
 def turns(spark, sf):
