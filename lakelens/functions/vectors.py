@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,14 @@ def hash_embedding(text: Column, dims: int) -> Column:
         return F.when(pair["length"] == 0, F.array_repeat(F.lit(dims**-0.5), dims)).otherwise(scaled)
 
     return let(let(F.sha2(text, 256), raw), lambda r: let(F.struct(r.alias("raw"), norm(r).alias("length")), unit))
+
+
+def hash_vectors(texts: list[str], dims: int) -> list[list[float]]:
+    """The same for a batch of texts, as a model gives it."""
+    at = np.arange(dims)
+    out = []
+    for text in texts:
+        raw = (np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8)[at % 32] ^ (at % 256)) / 127.5 - 1.0
+        length = np.sqrt(np.cumsum(raw * raw)[-1])  # added in order, as columns are
+        out.append((np.round(raw / length, 6) if length else np.full(dims, dims**-0.5)).tolist())
+    return out

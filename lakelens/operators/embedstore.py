@@ -2,7 +2,7 @@
 
 The store is a table (content_hash, embedding) that grows by commits. Texts are reduced to distinct hashes, those that the
 store has are left out by an anti-join, and only the rest go to the model, ``batch`` texts at a time; then the vectors are
-joined back to all rows. The hash is SHA-256 of the sanitized text, so equal contents share a vector whatever their ids.
+joined back to all rows. The hash is SHA-256 of the text, so equal contents share a vector whatever their ids.
 
 Defined results: a null text is the empty text; repeated rows get equal vectors; a write that was lost is not there, so
 its texts are asked for again; an empty table asks for nothing.

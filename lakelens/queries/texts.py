@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
 from lakelens.functions import vectors as V
-from lakelens.operators import chunking, guardrails, rag, retrieve, router, textindex, vectorindex
+from lakelens.operators import chunking, embedstore, guardrails, rag, retrieve, router, textindex, vectorindex
 from lakelens.queries.common import query, table
 from lakelens.session import scratch
 from lakelens.sources import files
@@ -465,6 +467,15 @@ def hash_embeddings(spark, sf):
     return table(spark, sf, "documents").select("doc_id", V.hash_embedding(F.col("text"), 64).alias("embedding"))
 
 
+@query("stored_embeddings", f"SELECT doc_id, {hash_vector_sql('text', 64)} AS embedding FROM documents")
+def stored_embeddings(spark, sf):
+    """The same through a store that has the texts of every second document before."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    store = embedstore.EmbeddingStore(spark, f"{scratch(spark, 'embeddings')}/store", functools.partial(V.hash_vectors, dims=64))
+    store.embed(docs.filter("doc_id % 2 = 0"), "text")
+    return store.embed(docs, "text").select("doc_id", "embedding")
+
+
 @query("html_sections", "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1)) AS BIGINT) AS n_sections FROM pages")
 def html_sections(spark, sf):
     got = table(spark, sf, "pages").select("page_id", files.html_sections(F.col("html")).alias("s"))
