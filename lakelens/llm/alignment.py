@@ -38,6 +38,8 @@ CUT = re.compile("(?<=[^\\s\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff])(?= )")
 #: A space before which no text may be cut.
 KEPT = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\u2060\u2581\ufeff] ")
 MARK = "\u2581"
+#: What ``str.isspace`` leaves out of those.
+UNSEEN = "\u180e\u200b\u2060\u2581\ufeff"
 #: Characters of texts that are taken together and of stretches that are encoded together, pairs that a task holds before
 #: it hands them on, and stretches that a worker remembers.
 TAKEN_CHARS, JOINED_CHARS = 4_000_000, 20_000
@@ -125,7 +127,8 @@ class Aligner:
         texts: list[str] = []
         for k, s in enumerate(stretches):
             chars += len(s)
-            if chars >= JOINED_CHARS or k == len(stretches) - 1:
+            # after an empty stretch or white space, as a text may end, a space is no cut: tokens would span it
+            if chars >= JOINED_CHARS or k == len(stretches) - 1 or not s or s[-1].isspace() or s[-1] in UNSEEN:
                 joined.append(stretches[starts : k + 1])
                 texts.append(" ".join(joined[-1]))
                 starts, chars = k + 1, 0

@@ -256,6 +256,14 @@ def test_op13_empty_tables_and_forgetful_workers(spark, monkeypatch):
     assert aligner.settle(*aligner.learn(["c", "d", "e" * 99, "f"], [1, 2, 3, 1])) == 2 and {"d", "c"} < set(aligner.known) and len(aligner.known) == 3
 
 
+def test_op13_no_cut_after_a_texts_last_white_space(spark):
+    """Stretches that end their texts, alike in all but what is encoded after them, beside ones that B would merge with them."""
+    ends = ["", " ", "  ", "\n", "\n ", "\t", "\u200b", "\u2004 ", "\u3000"]
+    rows = list(enumerate(x for e in ends for w in ("--", "\u65e5\u672c", "'s", "\u0639", "<unk>", "123") for x in (f"{w}{e}", f"a{e} {w}", e)))
+    got = alignment.align_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_alignment(rows))
+
+
 def test_op13_index_equals_brute_force():
     rng = random.Random(6)
     for _ in range(200):
