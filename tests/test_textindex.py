@@ -75,3 +75,52 @@ def test_scored_postings_fall_with_k(spark, tmp_path):
     queries = texts.benchmark_queries(spark, TINY).limit(20)
     found = [index.report(queries, k).agg(F.sum("postings"), F.sum("scored")).first() for k in (1, 10, 100)]
     assert len({f[0] for f in found}) == 1 and found[0][1] < found[1][1] < found[2][1] <= found[2][0]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_writes_and_searches_move_no_entries_between_tasks(spark, tmp_path):
+    index = textindex.TextIndex(spark, f"{tmp_path}/i", 8)
+    index.add(corpus(spark))
+    assert "Exchange" not in plan(index._blocks(index.log.read("chunks", index.log.all())))
+    assert "Join" not in plan(index.search(asked(spark), 5))
+
+
+@pytest.mark.parametrize("segment,block,k", [(1, 2, 3), (50, 4, 1), (2000, 8, 10)])
+def test_segments_of_any_size_give_the_same_rows(spark, tmp_path, segment, block, k):
+    docs, index = corpus(spark, 200).coalesce(2), textindex.TextIndex(spark, f"{tmp_path}/i", block, segment)
+    index.add(docs)
+    index.delete(docs.filter("chunk_id % 3 = 0").select("chunk_id"))
+    index.add(docs.filter("chunk_id % 6 = 0"))
+    assert rows(index.search(asked(spark), k)) == rows(retrieve.bm25_search(asked(spark), docs.filter("chunk_id % 3 <> 0 OR chunk_id % 6 = 0"), k))
+
+
+def test_text_ids_and_no_id_die_like_others(spark, tmp_path):
+    index = textindex.TextIndex(spark, f"{tmp_path}/i", 4)
+    ids = F.when(F.col("chunk_id") % 50 > 0, F.concat(F.lit("id"), "chunk_id"))
+    docs = corpus(spark, 120).select(ids.alias("chunk_id"), "content")
+    index.add(docs)
+    index.delete(docs.filter("chunk_id IS NULL OR chunk_id LIKE '%7'").select("chunk_id"))
+    assert rows(index.search(asked(spark), 5)) == rows(retrieve.bm25_search(asked(spark), docs.filter("NOT (chunk_id IS NULL OR chunk_id LIKE '%7')"), 5))
+
+
+@pytest.mark.parametrize("many", ["terms", "dead ids"])
+def test_what_is_too_much_for_the_workers_is_joined(spark, tmp_path, monkeypatch, many):
+    docs, index = corpus(spark, 200), textindex.TextIndex(spark, f"{tmp_path}/i", 8)
+    index.add(docs)
+    index.delete(docs.filter("chunk_id % 5 = 0").select("chunk_id"))
+    want = rows(index.search(asked(spark), 7))
+    monkeypatch.setattr(*((retrieve, "WEIGHT_ROWS", 1) if many == "terms" else (textindex, "GONE", 1)))
+    assert index._asks(asked(spark)) is None and rows(index.search(asked(spark), 7)) == want
+
+
+def test_words_are_those_of_the_tokenizer(spark, tmp_path):
+    texts_ = ["ΟΔΟΣ ΑΣ.Β ΑΣ-Β Σ ΣΑΣ_Σ", "İstanbul I ǅ É-É ﬁN $Ab-c--D x-", "", None, "...", "A\u200db ÀÉ ẞ\u0345Σ' Σ\u00ad Β", "Aa aA AA\nß SS"]
+    data = spark.createDataFrame(list(enumerate(texts_)), "chunk_id long, content string")
+    index = textindex.TextIndex(spark, f"{tmp_path}/i")
+    index.add(data)
+    found = {r["chunk_id"]: (r["dl"], dict(zip(r["words"].split(" "), r["tfs"], strict=True)) if r["words"] else {}) for r in index.log.read("chunks", index.log.all()).collect()}
+    tokens = {r["chunk_id"]: r["t"] or [] for r in data.select("chunk_id", textindex.T.bm25_tokens(F.col("content")).alias("t")).collect()}
+    assert found == {i: (len(t), {w: t.count(w) for w in t}) for i, t in tokens.items()}
