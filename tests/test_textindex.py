@@ -124,3 +124,17 @@ def test_words_are_those_of_the_tokenizer(spark, tmp_path):
     found = {r["chunk_id"]: (r["dl"], dict(zip(r["words"].split(" "), r["tfs"], strict=True)) if r["words"] else {}) for r in index.log.read("chunks", index.log.all()).collect()}
     tokens = {r["chunk_id"]: r["t"] or [] for r in data.select("chunk_id", textindex.T.bm25_tokens(F.col("content")).alias("t")).collect()}
     assert found == {i: (len(t), {w: t.count(w) for w in t}) for i, t in tokens.items()}
+
+
+def test_changes_shuffle_only_repeated_texts_and_a_search_after_them_joins_nothing(spark, tmp_path):
+    docs, index = corpus(spark, 100), textindex.TextIndex(spark, f"{tmp_path}/i", 8)
+    assert "Exchange" not in plan(index._last(docs))
+    index.add(docs)
+    index.delete(docs.filter("chunk_id % 7 = 0").select("chunk_id"))
+    again = [(1, "w1 w2"), (1, "w9 w9"), (1, None), (None, "w3"), (None, "w1 w3"), (2, "w2 w5")]
+    index.add(spark.createDataFrame(again, "chunk_id long, content string"))
+    last = spark.createDataFrame([(1, "w9 w9"), (None, "w3"), (2, "w2 w5")], "chunk_id long, content string")
+    found = index.search(asked(spark), 10)
+    assert "Join" not in plan(found)
+    got, want = (sorted(map(str, df.collect())) for df in (found.select("query_id", "chunk_id", "score", "rank"), retrieve.bm25_search(asked(spark), docs.filter("chunk_id % 7 <> 0 AND chunk_id > 2").unionByName(last), 10).select("query_id", "chunk_id", "score", "rank")))
+    assert got == want
