@@ -4,10 +4,11 @@ Each write is one commit, a number, with a folder ``commit=<n>`` in each of thes
 
 * ``chunks``: chunk_id, dl, its different words joined by spaces and how often it has each; what a delete takes statistics back by.
 * ``postings``: a row for each block of a term's entries (ids, tfs, dls) in a segment of chunks, strongest first, with the
-  largest tf and the smallest dl of the block, from which the most that any entry can score follows for any statistics.
+  largest tf and the smallest dl of the block (tfs and dls as bytes, four for each entry), from which the most that any entry can score follows for any statistics.
   A task cuts the segments of the chunks that it reads and sorts each by term, so nothing is shuffled and a search reads
   only the pages of its terms.
-* ``frequencies``: changes of document frequencies. ``gone``: ids whose entries of earlier commits are dead.
+* ``frequencies``: by how much document frequencies fall with the dead; those of the living are the sums of ``postings``' n.
+  ``gone``: ids whose entries of earlier commits are dead.
 * ``commits``, written last: changes of the number of chunks and of their length. A commit without it is not there.
 
 A search takes the segments one after another in each task. The first blocks of each query term, and the segments before,
@@ -33,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StructType
 
+from lakelens.functions import latin
 from lakelens.functions import text as T
 from lakelens.operators import retrieve as R
 from lakelens.operators.best import Best
@@ -59,23 +61,29 @@ def contribution(tf: Column | str, dl: Column | str, average: float) -> Column:
 def _counted(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, words, tfs) of (chunk_id, content): each different token of a text and how often it has it.
 
-    A text's tokens go to the worker as one string, since none has a space, nor does lower-casing look beyond one.
+    Latin texts are cut into tokens in the worker, a batch at a time. Of others the tokens go there as one string, since
+    none has a space, nor does lower-casing look beyond one.
     """
     schema = StructType().add(chunks.schema["chunk_id"]).add("dl", "integer").add("words", "string").add("tfs", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = _split(batch.column(1))
-            tokens = lists.flatten().dictionary_encode()
-            sizes = pc.list_value_length(lists).to_numpy()
+            sizes, found = latin.tokens(batch.column(1))
+            others = _split(batch.column(2))
+            chunk, rows = np.repeat(np.arange(len(sizes)), sizes), pc.list_value_length(others).to_numpy()
+            if len(rest := others.flatten()):
+                sizes, chunk, found = sizes + rows, np.append(chunk, np.repeat(np.arange(len(rows)), rows)), pa.concat_arrays([found, rest])
+            tokens = found.dictionary_encode()
             many = max(len(tokens.dictionary), 1)
-            keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + tokens.indices.to_numpy(), return_counts=True)
+            keys, times = np.unique(chunk * many + tokens.indices.to_numpy(), return_counts=True)
             ends = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * many).astype(np.int32))
             words = pa.ListArray.from_arrays(ends, tokens.dictionary.take(pa.array(keys % many)))
             tfs = pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pc.binary_join(words, " "), tfs], names=schema.names)
 
-    return chunks.select("chunk_id", F.lower(F.array_join(T.found(F.col("content"), T.BM25_TOKEN), " ")).alias("t")).mapInArrow(run, schema)
+    other = chunks.select("chunk_id", "content", latin.is_other(F.col("content")).alias("other"))
+    found = F.lower(F.array_join(T.found(F.col("content"), T.BM25_TOKEN), " "))
+    return other.select("chunk_id", F.when(~F.col("other"), F.col("content")).alias("text"), F.when(F.col("other"), found).alias("t")).mapInArrow(run, schema)
 
 
 def _split(texts: pa.Array) -> pa.ListArray:
@@ -107,6 +115,27 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa
         yield joined()
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The blocks of ``values`` between ``ends`` as bytes, four for each: one value of a row, not one for each entry."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+
+
+def _unpacked(blocks: pa.Array) -> np.ndarray:
+    """The values of all blocks, one after another."""
+    at = np.frombuffer(blocks.buffers()[1], np.int32)[blocks.offset : blocks.offset + len(blocks) + 1]
+    return np.frombuffer(blocks.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(np.int32)
+
+
+def _strongest(term: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Order of entries by term, then by falling ``strength`` (0 to 1) as far as its bits go beside the others in one number."""
+    bits, low = len(term).bit_length(), int(term.max(initial=0)).bit_length()
+    free = min(63 - bits - low, 30)
+    weak = ((1 - strength) * ((1 << free) - 1)).astype(np.int64)
+    keys = (term.astype(np.int64) << free | weak) << bits | np.arange(len(term))
+    keys.sort()
+    return keys & ((1 << bits) - 1)
+
+
 class Asks(NamedTuple):
     """Query ids and terms, each query's first and last pair with a term, the pairs' terms and weights, the average length and dead ids."""
 
@@ -132,7 +161,7 @@ class Segment:
         lists = blocks.column("ids")
         sizes = pc.list_value_length(lists).to_numpy()
         ids = lists.flatten().dictionary_encode(null_encoding="encode")
-        chunk, tf, dl = ids.indices.to_numpy(), blocks.column("tfs").flatten().to_numpy(), blocks.column("dls").flatten().to_numpy()
+        chunk, tf, dl = ids.indices.to_numpy(), _unpacked(blocks.column("tfs")), _unpacked(blocks.column("dls"))
         self.ids, self.postings = ids.dictionary, sizes
         if asks.gone is not None:
             named = pc.index_in(self.ids, value_set=asks.gone)
@@ -198,17 +227,14 @@ class TextIndex:
         out = lambda table: self.log.path(table, number)
         chunks.write.parquet(out("chunks"))
         chunks = self.spark.read.parquet(out("chunks"))
-        self._blocks(chunks).write.parquet(out("postings"))
-        added = self.spark.read.parquet(out("postings")).groupBy("term").agg(F.sum("n").alias("df"))
+        self._blocks(chunks).write.option("compression", "zstd").parquet(out("postings"))
         dead = None
         if gone is not None and earlier:
             stored = self.log.read("chunks", earlier)
             dead = cut(self.log.with_ids(self.log.living(stored.select("chunk_id", "commit", "dl"), earlier), gone))
             named = R.small(dead.select(F.col("chunk_id").alias("dead_id"), F.col("commit").alias("of")), GONE, GONE_BYTES)
-            taken = stored.join(named, F.col("chunk_id").eqNullSafe(F.col("dead_id")) & (F.col("commit") == F.col("of")), "left_semi").filter("words <> ''")
-            fewer = taken.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
-            added = added.unionByName(fewer).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-        added.write.parquet(out("frequencies"))
+            taken = stored.join(named, F.col("chunk_id").eqNullSafe(F.col("dead_id")) & (F.col("commit") == F.col("of")), "left_semi")
+            self._fewer(taken).write.parquet(out("frequencies"))
         (chunks if dead is None else dead).select("chunk_id").filter(F.lit(dead is not None)).write.parquet(out("gone"))
         sums = [F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("length")]
         totals = chunks.agg(*sums).select("n", "length", F.lit(0).cast("long").alias("n_gone"))
@@ -224,7 +250,7 @@ class TextIndex:
         """
         kind, size, segment = chunks.schema["chunk_id"].dataType, self.block, self.segment
         schema = StructType().add("term", "string").add("share", "long").add("block", "integer").add("max_tf", "integer").add("min_dl", "integer").add("n", "long")
-        schema = schema.add("ids", ArrayType(kind)).add("tfs", ArrayType(IntegerType())).add("dls", ArrayType(IntegerType()))
+        schema = schema.add("ids", ArrayType(kind)).add("tfs", BinaryType()).add("dls", BinaryType())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             share = TaskContext.get().partitionId() << 20
@@ -233,9 +259,8 @@ class TextIndex:
                 order = pc.sort_indices(words.dictionary)
                 place = np.empty(len(order), np.int32)
                 place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
-                term, length = place[words.indices.to_numpy()], dl[chunk]
-                at = np.lexsort((-(tf / (tf + np.maximum(length, 1) / 256.0)), term))
-                term, tf, length = term[at], tf[at], length[at]
+                at = _strongest(place[words.indices.to_numpy()], tf / (tf + np.maximum(dl[chunk], 1) / 256.0))
+                term, tf, length = place[words.indices.to_numpy()[at]], tf[at], dl[chunk[at]]
                 nth = np.arange(len(at)) - np.repeat(starts := np.flatnonzero(np.diff(term, prepend=-1)), np.diff(starts, append=len(at)))
                 cuts = np.flatnonzero(nth % size == 0)
                 ends = pa.array(np.append(cuts, len(at)).astype(np.int32))
@@ -246,13 +271,31 @@ class TextIndex:
                     pa.array(np.maximum.reduceat(tf, cuts)),
                     pa.array(np.minimum.reduceat(length, cuts)),
                     pa.array(np.diff(cuts, append=len(at))),
-                    *(pa.ListArray.from_arrays(ends, values) for values in (ids.take(pa.array(chunk[at])), pa.array(tf), pa.array(length))),
+                    pa.ListArray.from_arrays(ends, ids.take(pa.array(chunk[at]))),
+                    *(_packed(values, np.append(cuts, len(at))) for values in (tf, length)),
                 ]
                 blocks, share = pa.RecordBatch.from_arrays(columns, names=schema.names), share + 1
                 yield from (blocks.slice(i, ROWS) for i in range(0, blocks.num_rows, ROWS))
 
         return chunks.select("chunk_id", "dl", "words", "tfs").mapInArrow(run, schema)
 
+    def _fewer(self, chunks: DataFrame) -> DataFrame:
+        """(term, df): by how many of ``chunks`` a term is in fewer texts; a row for each term and segment, as in postings."""
+        segment = self.segment
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, _, terms, _ in _segments(batches, segment):
+                counts = terms.value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field("values"), pc.negate(counts.field("counts"))], names=["term", "df"])
+
+        return chunks.select("chunk_id", "dl", "words", "tfs").mapInArrow(run, "term string, df long")
+
+    def _frequencies(self, commits: list[Commit]) -> DataFrame:
+        """(term, df): parts whose sum over a term's rows is its document frequency."""
+        parts = self.log.read("postings", commits).select("term", F.col("n").alias("df"))
+        changed = [c for c in commits if c.n_gone]
+        return parts.unionByName(self.log.read("frequencies", changed).select("term", "df")) if changed else parts
+
     # writes
 
     def add(self, chunks: DataFrame) -> int:
@@ -294,7 +337,7 @@ class TextIndex:
         """(query_id, term, weight) of the query terms that the index has."""
         n, _ = self.statistics()
         wanted = R.query_terms(queries)
-        df = R.small(self.log.read("frequencies", self.log.all()).join(R.small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"))
+        df = R.small(self._frequencies(self.log.all()).join(R.small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"))
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
 
@@ -344,7 +387,7 @@ class TextIndex:
             gone, until = (found.column(c).combine_chunks() for c in ("chunk_id", "until"))
             until = until.to_numpy()
         terms = given.terms.to_pylist()
-        counted = self._with_terms(self.log.read("frequencies", commits), terms).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").toArrow()
+        counted = self._with_terms(self._frequencies(commits), terms).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").toArrow()
         df = np.zeros(len(terms))
         df[pc.index_in(counted.column("term"), value_set=given.terms).to_numpy()] = counted.column("df").to_numpy()
         order = np.lexsort((given.term, given.query))
@@ -420,5 +463,14 @@ class TextIndex:
 
     def _entries(self, postings: DataFrame, commits: list[Commit]) -> DataFrame:
         """Living entries of blocks."""
-        rows = postings.select("term", "commit", "share", "block", F.explode(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))).alias("e")).select("term", "commit", "share", "block", "e.*")
-        return self.log.living(rows, commits)
+        names = ["term", "commit", "share", "block"]
+        schema = StructType([*postings.select(names).schema, StructType().add("chunk_id", postings.schema["ids"].dataType.elementType)[0]]).add("tf", "integer").add("dl", "integer")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("ids")
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy()))
+                columns = [*(batch.column(n).take(rows) for n in names), ids.flatten(), *(pa.array(_unpacked(batch.column(n))) for n in ("tfs", "dls"))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return self.log.living(postings.select(*names, "ids", "tfs", "dls").mapInArrow(run, schema), commits)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakelens.functions import latin
 from lakelens.operators import retrieve, textindex
 from lakelens.queries import texts
 from tests.conftest import TINY
@@ -138,3 +139,28 @@ def test_changes_shuffle_only_repeated_texts_and_a_search_after_them_joins_nothi
     assert "Join" not in plan(found)
     got, want = (sorted(map(str, df.collect())) for df in (found.select("query_id", "chunk_id", "score", "rank"), retrieve.bm25_search(asked(spark), docs.filter("chunk_id % 7 <> 0 AND chunk_id > 2").unionByName(last), 10).select("query_id", "chunk_id", "score", "rank")))
     assert got == want
+
+
+def test_latin_texts_are_cut_as_by_the_regular_expression(spark):
+    rng = random.Random(2)
+    known = [chr(i) for i in [*range(0x250), *range(0x2010, 0x203F), 0x20AC]]
+    texts_ = [t for c in known for t in (c, f"a{c}B", f"A-{c}-b {c}{c}", f"${c}-x${c}")]
+    texts_ += ["".join(rng.choice(known + list("aB9_$--  ΣĀ😀")) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts_ += ["".join(rng.choice("aB9_$-- é\nß²") for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["", None, "a-", "$", "-b", "ab"]
+    data = spark.createDataFrame(list(enumerate(texts_)), "chunk_id long, content string")
+    others = {r[0] for r in data.filter(latin.is_other(F.col("content"))).select("chunk_id").collect()}
+    assert 0 < len(others) < len(texts_) / 2 and all(texts_[i].isascii() is False for i in others)
+    found = {r["chunk_id"]: (r["dl"], dict(zip(r["words"].split(" "), r["tfs"], strict=True)) if r["words"] else {}) for r in textindex._counted(data).collect()}
+    tokens = {r["chunk_id"]: r["t"] or [] for r in data.select("chunk_id", textindex.T.bm25_tokens(F.col("content")).alias("t")).collect()}
+    assert found == {i: (len(t), {w: t.count(w) for w in t}) for i, t in tokens.items()}
+
+
+def test_no_write_shuffles_terms_for_their_frequencies(spark, tmp_path):
+    docs, index = corpus(spark, 60), textindex.TextIndex(spark, f"{tmp_path}/i", 8)
+    index.add(docs)
+    assert not (tmp_path / "i" / "frequencies").exists()
+    chunks = index.log.read("chunks", index.log.all())
+    assert "Exchange" not in plan(index._fewer(chunks))
+    index.delete(docs.filter("chunk_id % 2 = 0").select("chunk_id"))
+    frequencies = lambda df: {r["term"]: r["df"] for r in df.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").collect()}
+    assert frequencies(index._frequencies(index.log.all())) == frequencies(retrieve.term_frequencies(retrieve.build_postings(docs.filter("chunk_id % 2 = 1"))))
